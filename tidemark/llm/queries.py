@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, packing
+from tidemark.llm import byte_bpe, packing, simhash
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -40,3 +40,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, _vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@registered
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
