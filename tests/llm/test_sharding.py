@@ -22,7 +22,7 @@ def check(rows, docs, shards):
 
 def test_shards_are_balanced_contiguous_and_complete(spark):
     docs = [(i, "é" * (i * 37 % 501)) for i in range(2000)] + [(5000 + i, "copy " * 20) for i in range(1500)]
-    docs += [(None, "x"), (None, "x"), (7, None), (7, None), (9000, "long " * 5000)]
+    docs += [(None, "x"), (None, "x"), (70007, None), (70007, None), (9000, "long " * 5000)]
     df = spark.createDataFrame([(k, t, 1, 2) for k, t in docs], "doc_id long, text string, shard int, size int")
     rows = shard(df.repartition(7), 24).collect()
     by = check(rows, docs, 24)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, packing, rules, sharding, simhash
+from tidemark.llm import byte_bpe, packing, rules, sharding, simhash, topk
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -60,3 +60,11 @@ ORACLES["op9_quality_rules"] = rules.ORACLE
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(read_table(spark, sf_dir, "documents"), 24)
     return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+@registered
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+ORACLES["op8_topk"] = topk.ORACLE
