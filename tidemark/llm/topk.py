@@ -1,13 +1,14 @@
 """Operator 8: exact top-k inner products with an impact-ordered index.
 
-Rows are cut into candidate blocks and query blocks; each pair of blocks is
-one group, of bounded size whatever the ids are. In a group, the candidates'
-components are quantised into bands, and the ids with one dimension's component
-in one band are a posting segment. A query adds segments to its accumulators
-score at a time: those whose band adds most over the dimension's least value
-come first. Accumulators are lower bounds; what unread segments and band widths
-could still add bounds them from above. Reading stops only when that proves
-which few candidates can be members, and those are rescored exactly.
+Rows are cut into candidate blocks and query blocks; each pair of blocks is one
+group of bounded size whatever the ids are. In a group, the candidates'
+components are quantised into bands, and the rows with one dimension's component
+in one band are a posting segment. A query reads segments score at a time:
+those whose band adds most over the dimension's least value come first. Each
+row's accumulator is an upper bound: what it has read, and for each dimension
+not read the best that is left there. The best accumulators' rows are scored
+exactly; a row whose bound is below the k-th of those scores is proven out, and
+all others are rescored exactly.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 CANDIDATES, QUERIES = 65536, 512
 #: Integers of a component that share a band.
 BAND = 2
+#: Shares of the postings to read: the second only if the first leaves over a quarter of the rows possible.
+READ = (0.5, 0.8)
 
 
 class ImpactIndex:
@@ -29,6 +32,8 @@ class ImpactIndex:
 
     def __init__(self, vectors: np.ndarray, band: int = BAND):
         self.vectors, self.band = vectors, band
+        self.most = float(np.abs(vectors).max(initial=0))
+        self.floats = vectors.astype(np.float64) if self.most < 2**53 else None
         n, dims = vectors.shape
         bands = np.floor_divide(vectors, band)
         order = np.argsort(bands, axis=0, kind="stable")
@@ -51,34 +56,41 @@ class ImpactIndex:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         weight = query[self.dim]
         ends = np.stack([weight * (self.level * self.band), weight * (self.level * self.band + self.band - 1)])
-        low, high = ends.min(axis=0), ends.max(axis=0)
         least = np.full(dims, np.iinfo(np.int64).max)
-        np.minimum.at(least, self.dim, low)
-        gain = low - least[self.dim]
+        np.minimum.at(least, self.dim, ends.min(axis=0))
+        gain = ends.max(axis=0) - least[self.dim]
         order = np.argsort(-gain, kind="stable")
-        slack = np.abs(query) * (self.band - 1)
-        # What a dimension can still add after the first segments of the order: its next band over its least.
-        sums = np.zeros(n, dtype=np.int64)
-        starts, stops, gains = self.start[order].tolist(), self.stop[order].tolist(), gain[order].tolist()
         read = np.cumsum(self.stop[order] - self.start[order])
-        rows, members = self.rows, np.nonzero(valid)[0]
-        at = 0
-        for share in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
-            upto = int(np.searchsorted(read, share * read[-1])) + 1 if share < 1 else len(order)
-            for a, b, g in zip(starts[at:upto], stops[at:upto], gains[at:upto], strict=True):
+        base = int(least.sum())
+        for share in READ:
+            upto = int(np.searchsorted(read, share * read[-1])) + 1
+            # A dimension whose segment of a row is unread adds its best unread gain at most.
+            rest = np.zeros(dims, dtype=np.int64)
+            np.maximum.at(rest, self.dim[order[upto:]], gain[order[upto:]])
+            first = order[:upto]
+            more = gain[first] - rest[self.dim[first]]
+            wide = np.abs(more).sum() > 2**30 or int(rest.sum()) > 2**30
+            bound = np.full(n, rest.sum(), dtype=np.int64 if wide else np.int32)
+            for a, b, g in zip(self.start[first].tolist(), self.stop[first].tolist(), more.tolist(), strict=True):
                 if g:
-                    sums[rows[a:b]] += g
-            at = max(at, upto)
-            rest = slack.copy()
-            np.maximum.at(rest, self.dim[order[at:]], (high - least[self.dim])[order[at:]])
-            if len(members) > k:
-                kth = np.partition(sums[valid], -k)[-k] if valid.sum() >= k else np.iinfo(np.int64).min
-                members = np.nonzero(valid & (sums + rest.sum() >= kth))[0]
-            if len(members) <= max(4 * k, n // 32) or at >= len(order):
+                    bound[self.rows[a:b]] += g
+            possible = np.nonzero(valid)[0]
+            if len(possible) > k:
+                some = np.argpartition(np.where(valid, bound, -1), n - min(n, 4 * k))[-4 * k :]
+                some = some[valid[some]]
+                kth = np.sort(self._scores(some, query))[-k] if len(some) >= k else -np.inf
+                possible = np.nonzero(valid & (bound >= kth - base))[0]
+            if len(possible) <= max(4 * k, n // 4):
                 break
-        scores = self.vectors[members] @ query
-        best = np.lexsort((ids[members], -scores))[:k]
-        return members[best], scores[best]
+        scores = self._scores(possible, query)
+        best = np.lexsort((ids[possible], -scores))[:k]
+        return possible[best], scores[best]
+
+    def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Exact inner products; floating point where it is exact."""
+        if self.floats is not None and np.abs(query).sum() * self.most < 2**53:
+            return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
+        return self.vectors[rows] @ query
 
 
 def integer_vectors(column: pa.ChunkedArray, scale: float, dims: int) -> np.ndarray:
