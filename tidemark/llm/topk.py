@@ -24,7 +24,7 @@ CANDIDATES, QUERIES = 65536, 512
 #: Integers of a component that share a band.
 BAND = 2
 #: Shares of the postings to read: the second only if the first leaves over a quarter of the rows possible.
-READ = (0.5, 0.8)
+READ = (0.65, 0.85)
 
 
 class ImpactIndex:
@@ -38,7 +38,7 @@ class ImpactIndex:
         bands = np.floor_divide(vectors, band)
         order = np.argsort(bands, axis=0, kind="stable")
         self.dim, self.level, self.start, self.stop = [], [], [], []
-        self.rows = order.T.ravel().astype(np.int32)
+        self.rows = order.T.ravel()
         for d in range(dims):
             own = bands[order[:, d], d]
             cuts = np.concatenate([[0], np.nonzero(own[1:] != own[:-1])[0] + 1]) if n else np.zeros(0, dtype=np.int64)
