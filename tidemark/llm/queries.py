@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, packing, rules, sharding, simhash, topk
+from tidemark.llm import byte_bpe, language, packing, rules, sharding, simhash, topk
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -68,3 +68,15 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op8_topk"] = topk.ORACLE
+
+
+def _fold(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@registered
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(_fold(4) != 2), language.vocabulary(_vocabulary("piece_bpe_32k.model")))
+    found = language.predict(docs, model).withColumn("held_out", _fold(4) == 2)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
