@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, packing, rules, sharding, simhash, topk
+from tidemark.llm import byte_bpe, language, packing, quality, rules, sharding, simhash, topk
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -80,3 +80,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.filter(_fold(4) != 2), language.vocabulary(_vocabulary("piece_bpe_32k.model")))
     found = language.predict(docs, model).withColumn("held_out", _fold(4) == 2)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.FactorisationMachine:
+    """Fitted on labelled documents outside the held-out fold."""
+    labels = read_table(spark, sf_dir, "labels").filter(_fold(3) != 1)
+    return quality.train(read_table(spark, sf_dir, "documents"), labels, "quality", metadata=("n_chars",))
+
+
+@registered
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(read_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), metadata=("n_chars",))
+    return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
