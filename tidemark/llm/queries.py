@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, packing, quality, rules, sharding, simhash, topk
+from tidemark.llm import byte_bpe, language, lines, packing, quality, rules, sharding, simhash, topk
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -92,3 +92,11 @@ def quality_model(spark: SparkSession, sf_dir: str) -> quality.FactorisationMach
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(read_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), metadata=("n_chars",))
     return scored.select("doc_id", (_fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@registered
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_line_dedup"] = lines.ORACLE
