@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ def plain(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    hit = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+    times = Counter(grams)
+    hit = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(3)}
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
 

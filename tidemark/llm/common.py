@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are maximal runs of bytes other than space and U+0009..U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -42,6 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_where(df: DataFrame, condition: Column, columns: list[Column]) -> DataFrame:
+    """df.filter(condition).select(columns) for a condition that is costly to compute.
+
+    A plain filter would be pushed down with all its expressions copied into
+    it, so that they are computed twice; a generator stays where it is."""
+    out = df.select(F.explode_outer(F.when(condition, F.array(F.struct(*columns)))).alias("_row"))
+    return out.filter("_row IS NOT NULL").select("_row.*")
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that Python objects for one part stay small."""
     for batch in batches:

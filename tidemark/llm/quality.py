@@ -210,3 +210,22 @@ def score(docs: DataFrame, machine: FactorisationMachine, *, key: str = "doc_id"
 
     kind = docs.schema[key].dataType.simpleString()
     return _picked(docs, key, text, list(metadata)).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+
+
+def with_score(docs: DataFrame, machine: FactorisationMachine, *, text: str = "text", metadata: tuple[str, ...] = (), score: str = "_score") -> DataFrame:
+    """docs with a score column, in one pass; whatever the columns are called."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    names = docs.columns
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *[docs[c].cast("double").alias(f"m{i}") for i, c in enumerate(metadata)])
+    at = names.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for part in slices(batches, 128):
+            texts = [t or "" for t in part.column(0).flatten()[at].to_pylist()]
+            found = own.score(*feature_rows(texts, _metadata(part, 1), _table()), len(texts))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], names=["row", "score"])
+
+    kind = packed.schema["row"].dataType.simpleString()
+    scored = packed.mapInArrow(run, f"row {kind}, score double")
+    return scored.select(*[F.col("row")[c].alias(c) for c in names], F.col("score").alias(score))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, SPACES
+from tidemark.llm.common import SPACE_CLASS, SPACES, rows_where
 
 SYMBOLS = "#*$%&|<>"
 #: A line may end in these.
@@ -113,8 +113,8 @@ def clean(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents that pass, with the lines that failed removed from text; columns as in docs."""
     names = docs.columns
     picked = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.col(text).alias("_in"))
-    done = measured(picked, "_in").filter("kept")
-    return done.select(*[F.col("kept_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in names])
+    columns = [F.col("kept_text").alias(text) if c == text else F.col("_row")[c].alias(c) for c in names]
+    return rows_where(measured(picked, "_in"), F.col("kept"), columns)
 
 
 ORACLE = r"""

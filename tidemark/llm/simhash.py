@@ -233,3 +233,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = rooted.join(groups, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """The documents of docs that have the smallest key of their group; columns as in docs.
+
+    Of rows that repeat a key one stays. Rows without a key belong to no group and stay."""
+    found = near_duplicates(docs, key=key, text=text, **settings)
+    keep = found.filter(F.col(key) == F.col("component_id")).select(key)
+    return docs.join(keep, key, "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
