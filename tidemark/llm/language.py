@@ -11,7 +11,6 @@ each piece, which Spark adds up over the sample's distinct words.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ SAMPLE_DOCS = 6000
 #: Words a task takes into its expected counts at a time, EM rounds, and the prior count of a piece.
 ROUNDS, PRIOR = 3, 0.05
 #: Characters that one forward pass covers; longer words are scored in parts of so many.
-PART = 48
+PART = 32
 #: Probability of a character that no piece begins with.
 UNKNOWN = 1e-7
 
@@ -55,65 +54,77 @@ class Pieces:
 
     def __init__(self, pieces: list[str], probability: np.ndarray):
         """probability: a row for each piece, a column for each language."""
-        self.languages = probability.shape[1]
-        self.number = {p: i for i, p in enumerate(pieces)}
-        self.table: dict[str, tuple | None] = {}
-        for p, row in zip(pieces, probability.tolist(), strict=True):
+        self.table: dict[str, int] = {}  # -1: only a prefix of pieces
+        for i, p in enumerate(pieces):
             for cut in range(1, len(p)):
-                self.table.setdefault(p[:cut], None)
-            self.table[p] = tuple(row)
-        self.absent = (UNKNOWN,) * self.languages
+                self.table.setdefault(p[:cut], -1)
+            self.table[p] = i
+        self.unknown = len(pieces)
+        self.probability = np.concatenate([probability, np.full((1, probability.shape[1]), UNKNOWN)])
 
-    def arcs(self, word: str) -> list[tuple[int, int, str, tuple]]:
-        """(from, to, piece, probabilities) for all pieces in word; single unknown characters too."""
+    def arcs(self, word: str) -> list[tuple[int, int, int]]:
+        """(from, to, piece) for all pieces in word; a character that is no piece is an unknown one."""
         n, out, table = len(word), [], self.table
         for i in range(n):
-            known = False
+            if table.get(word[i], -1) < 0:
+                out.append((i, i + 1, self.unknown))
             for j in range(i + 1, n + 1):
-                sub = word[i:j]
-                if sub not in table:
+                piece = table.get(word[i:j])
+                if piece is None:
                     break
-                if (p := table[sub]) is not None:
-                    out.append((i, j, sub, p))
-                    known = known or j == i + 1
-            if not known:
-                out.append((i, i + 1, "", self.absent))
+                if piece >= 0:
+                    out.append((i, j, piece))
         return out
 
-    def log_likelihood(self, word: str) -> list[float]:
-        """The log of the word's probability in each language; all segmentations summed."""
-        word = START + word
-        total = [0.0] * self.languages
-        for at in range(0, len(word), PART):
-            part = word[at : at + PART]
-            n = len(part)
-            forward = [[0.0] * (n + 1) for _ in range(self.languages)]
-            for f in forward:
-                f[0] = 1.0
-            for i, j, _, p in self.arcs(part):
-                for f, x in zip(forward, p, strict=True):
-                    f[j] += f[i] * x
-            for k, f in enumerate(forward):
-                total[k] += math.log(f[n]) if f[n] > 0 else -700.0
+    def log_likelihoods(self, words: list[str]) -> np.ndarray:
+        """The log of each word's probability in each language; all segmentations summed.
+
+        The forward sums of all words advance together, a start position at a time."""
+        parts, owner = [], []
+        for k, word in enumerate(words):
+            word = START + word
+            for at in range(0, len(word), PART):
+                parts.append(word[at : at + PART])
+                owner.append(k)
+        found = [self.arcs(p) for p in parts]
+        row = np.repeat(np.arange(len(parts)), [len(x) for x in found])
+        start, stop, piece = np.array([x for own in found for x in own], dtype=np.int64).reshape(-1, 3).T
+        order = np.argsort(start, kind="stable")
+        row, start, stop, piece = row[order], start[order], stop[order], piece[order]
+        longest = max(map(len, parts), default=0)
+        forward = np.zeros((len(parts), longest + 1, self.probability.shape[1]))
+        forward[:, 0] = 1.0
+        cuts = np.searchsorted(start, np.arange(longest + 1))
+        for i in range(longest):
+            own = slice(cuts[i], cuts[i + 1])  # a word has at most one arc to each position here
+            forward[row[own], stop[own]] += forward[row[own], i] * self.probability[piece[own]]
+        total = np.zeros((len(words), self.probability.shape[1]))
+        np.add.at(total, np.array(owner, dtype=np.int64), np.log(forward[np.arange(len(parts)), [len(p) for p in parts]]))
         return total
 
     def expected(self, word: str, language: int, times: float, counts: np.ndarray) -> None:
         """Adds the expected uses of pieces in times words to counts."""
         word = START + word
+        p = self.columns[language]
         for at in range(0, len(word), PART):
             part = word[at : at + PART]
             n, arcs = len(part), self.arcs(part)
             forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
             forward[0] = backward[n] = 1.0
-            for i, j, _, p in arcs:
-                forward[j] += forward[i] * p[language]
-            for i, j, _, p in reversed(arcs):
-                backward[i] += backward[j] * p[language]
-            if forward[n] > 0:
-                scale = times / forward[n]
-                for i, j, piece, p in arcs:
-                    if piece:
-                        counts[self.number[piece]] += forward[i] * p[language] * backward[j] * scale
+            for i, j, piece in arcs:
+                forward[j] += forward[i] * p[piece]
+            for i, j, piece in reversed(arcs):
+                backward[i] += backward[j] * p[piece]
+            scale = times / forward[n]
+            for i, j, piece in arcs:
+                if piece != self.unknown:
+                    counts[piece] += forward[i] * p[piece] * backward[j] * scale
+
+    @property
+    def columns(self) -> list[list[float]]:
+        if not hasattr(self, "_columns"):
+            self._columns = self.probability.T.tolist()
+        return self._columns
 
 
 class LanguageModel:
@@ -130,7 +141,9 @@ def train(docs: DataFrame, pieces: list[str], *, key: str = "doc_id", text: str
     expected counts are added up there too. Without labelled rows there are no
     languages, and every text is undetermined."""
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    chosen = picked.orderBy(F.xxhash64("key", F.lit(4)), "key").limit(sample).select("lang", "text")
+    # The sample's keys, at most so many, are sent to the texts; a key that repeats is taken with all its rows.
+    keys = picked.select("key").orderBy(F.xxhash64("key", F.lit(4)), "key").limit(sample).distinct()
+    chosen = picked.join(F.broadcast(keys), "key").select("lang", "text")
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), "\\P{L}+")).alias("word")).filter("word <> ''")
     counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
     languages = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
@@ -177,15 +190,25 @@ def predict(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text:
         if id(own) not in _HELD:
             pieces = Pieces(own.pieces, own.probability)
 
+            known: dict[str, np.ndarray] = {}  # by a word's letters
+
             def describe(words: list[str]) -> np.ndarray:
+                bare = [letters(w) for w in words]
+                fresh = list({w for w in bare if w and w not in known})
+                if len(known) > 400_000:
+                    known.clear()
+                    fresh = list({w for w in bare if w})
+                for at in range(0, len(fresh), 4096):
+                    some = fresh[at : at + 4096]
+                    known.update(zip(some, pieces.log_likelihoods(some), strict=True))
                 out = np.zeros((len(words), len(names) + 1))
-                for row, word in zip(out, map(letters, words), strict=True):
+                for row, word in zip(out, bare, strict=True):
                     if word:
-                        row[0], row[1:] = 1.0, pieces.log_likelihood(word)
+                        row[0], row[1:] = 1.0, known[word]
                 return out
 
             _HELD.clear()
-            _HELD[id(own)] = (own, WordTable(describe, 400_000))
+            _HELD[id(own)] = (own, WordTable(describe, 600_000))
         table = _HELD[id(own)][1]
         for part in slices(batches, 128):
             values, ends = table.look_up([t or "" for t in part.column(1).to_pylist()])
