@@ -1,4 +1,458 @@
-"""Registered queries of the catalogue operators, with their DuckDB oracles."""
+"""Registered queries of the catalogue operators on the driver's tables, with DuckDB oracles.
+
+The driver's tables stand in for the domain's: an order is a listing, its lines
+are bids or income, a customer is an asset, events are monthly income. Money is
+summed as DECIMAL(18,2) so that a result doesn't depend on the order of rows.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import coerce as fn
+from tidemark.operators import flags, ladder, metrics, observations, star
+from tidemark.sources import payloads
+from tidemark.streaming import ingest
 
 QUERIES = {}
 ORACLES = {}
+c = F.col
+
+
+def query(oracle: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where it is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+
+
+def day(name: str):
+    return c(name).cast("date")
+
+
+def iso(name: str):
+    """A date as text: alike in every engine."""
+    return day(name).cast("string").alias(name)
+
+
+# -- observations ---------------------------------------------------------------
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice, n_obs, first_obs::DATE::VARCHAR AS first_obs, last_obs::DATE::VARCHAR AS last_obs FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn, count(*) OVER (PARTITION BY o_custkey) AS n_obs,
+         min(o_orderdate) OVER (PARTITION BY o_custkey) AS first_obs, max(o_orderdate) OVER (PARTITION BY o_custkey) AS last_obs FROM orders) WHERE rn = 1""")
+def latest_observation(spark, sf):
+    found = observations.latest_observation(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    return found.select("o_custkey", "o_orderkey", "o_totalprice", "n_obs", iso("first_obs"), iso("last_obs"))
+
+
+@query("""WITH i AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0),
+d AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT coalesce(i.k, d.k) AS k, coalesce(d.v, i.v) AS v, least(d.v, i.v) AS low, greatest(d.v, i.v) AS high, d.k IS NOT NULL AS has_detail
+FROM i FULL OUTER JOIN d ON i.k = d.k""")
+def spine_full_outer(spark, sf):
+    i = table(spark, sf, "customer").filter("c_custkey % 2 = 0").select(c("c_custkey").alias("k"), c("c_acctbal").alias("v"))
+    d = table(spark, sf, "orders").filter("o_orderstatus = 'F'").groupBy(c("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    dv, iv = c("d")["v"], c("i")["v"]
+    return star.spine(i, d, "k").select("k", star.first_of("v").alias("v"), F.least(dv, iv).alias("low"), F.greatest(dv, iv).alias("high"), c("d").isNotNull().alias("has_detail"))
+
+
+@query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def keep_last_upsert(spark, sf):
+    found = observations.keep_last(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")
+    return found.select("l_orderkey", c("l_linenumber").cast("long").alias("l_linenumber"), "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query("""SELECT sha256(text) AS content_sha256, min(doc_id) AS first_key, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def content_hash_dedupe(spark, sf):
+    return observations.distinct_payloads(table(spark, sf, "documents"), "text", "doc_id")
+
+
+@query("""WITH latest AS (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+SELECT o_custkey, l_orderkey, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total
+FROM latest JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""")
+def children_of_latest(spark, sf):
+    latest = observations.latest_observation(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey")
+    lines = table(spark, sf, "lineitem").join(latest.select("o_custkey", c("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    lines = lines.join(table(spark, sf, "customer").select(c("c_custkey").alias("o_custkey")), "o_custkey")
+    return lines.groupBy("o_custkey", "l_orderkey").agg(F.count("*").alias("n"), fn.money_sum(c("l_extendedprice")).alias("total"))
+
+
+@query("""SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""")
+def anti_join(spark, sf):
+    lines = table(spark, sf, "lineitem").select(c("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf, "orders").join(lines, "o_orderkey", "left_anti").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+# -- ladders and outcomes ---------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, l_extendedprice,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice NULLS LAST, l_partkey, l_suppkey, l_linenumber) AS ladder_rank FROM lineitem""")
+def ladder_rank(spark, sf):
+    ranked = ladder.rank_ladder(table(spark, sf, "lineitem"), "l_orderkey", "l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")
+    return ranked.select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "ladder_rank")
+
+
+def bids(spark, sf) -> DataFrame:
+    """Lines as bids; the highest of an order wins."""
+    best = F.max("l_extendedprice").over(W.partitionBy("l_orderkey"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", (c("l_extendedprice") == best).alias("won"))
+
+
+LADDER = """b AS (SELECT l_orderkey, l_suppkey, l_extendedprice, l_extendedprice = max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS won FROM lineitem),
+w AS (SELECT l_orderkey, min(l_suppkey) FILTER (won) AS winner FROM b GROUP BY 1),
+ladder AS (SELECT l_orderkey, any_value(winner) AS winner, max(l_extendedprice) FILTER (NOT won) AS second_price, min(l_extendedprice) AS opening_price,
+  count(*) FILTER (l_suppkey = winner) AS n_bids_by_winner, count(*) AS n_bids FROM b JOIN w USING (l_orderkey) GROUP BY 1)"""
+
+
+@query(f"WITH {LADDER} SELECT * FROM ladder")
+def ladder_summary(spark, sf):
+    return ladder.summarise_ladder(bids(spark, sf), "l_orderkey", "l_suppkey", "l_extendedprice", "won")
+
+
+@query("""WITH b AS (SELECT l_orderkey, l_suppkey, l_extendedprice,
+  (CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'awaiting_transfer' ELSE 'open' END = 'awaiting_transfer')
+   OR (l_partkey = CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE max(l_partkey) OVER (PARTITION BY l_orderkey) END) AS won FROM lineitem),
+w AS (SELECT l_orderkey, min(l_suppkey) FILTER (won) AS winner FROM b GROUP BY 1)
+SELECT l_orderkey, any_value(winner) AS winner, max(l_extendedprice) FILTER (NOT won) AS second_price, count(*) FILTER (l_suppkey = winner) AS n_bids_by_winner FROM b JOIN w USING (l_orderkey) GROUP BY 1""")
+def three_valued_winner(spark, sf):
+    deal = F.when(c("l_orderkey") % 3 != 0, F.max("l_partkey").over(W.partitionBy("l_orderkey")))
+    state = F.when((c("l_returnflag") == "R") & (c("l_linestatus") == "F"), "awaiting_transfer").otherwise("open")
+    offers = table(spark, sf, "lineitem").withColumn("deal", deal).withColumn("won", ladder.winning(state, c("l_partkey"), c("deal")))
+    return ladder.summarise_ladder(offers, "l_orderkey", "l_suppkey", "l_extendedprice", "won").select("l_orderkey", "winner", "second_price", "n_bids_by_winner")
+
+
+def priced_orders(spark, sf) -> DataFrame:
+    """Orders as listings: open ones have no price, some went at their reserve or for nothing."""
+    o = table(spark, sf, "orders")
+    spent = o.groupBy("o_custkey").agg(fn.money_sum(c("o_totalprice")).alias("ltm"), F.max("o_totalprice").alias("top"))
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_offers"))
+    price = F.when(c("o_orderkey") % 11 == 0, 0.0).when(c("o_orderstatus") != "O", c("o_totalprice"))
+    base = o.join(spent, "o_custkey").join(lines, o.o_orderkey == lines.l_orderkey, "left").drop("l_orderkey")
+    return base.select(
+        c("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority", price.alias("price"), "ltm", c("top").alias("three_years_average"), F.nullif(c("o_orderkey") % 5, F.lit(0)).cast("double").alias("median_multiplier"),
+        F.when(c("o_orderkey") % 7 == 0, c("o_totalprice")).alias("minimum_price"), "n_offers",
+    )
+
+
+PRICED = """spent AS (SELECT o_custkey, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS ltm, max(o_totalprice) AS top FROM orders GROUP BY 1),
+n AS (SELECT l_orderkey, count(*) AS n_offers FROM lineitem GROUP BY 1),
+priced AS (SELECT o_orderkey AS l_orderkey, o_custkey, o_orderdate, o_orderpriority, CASE WHEN o_orderkey % 11 = 0 THEN 0.0::DOUBLE WHEN o_orderstatus <> 'O' THEN o_totalprice END AS price, ltm, top AS three_years_average,
+  nullif(o_orderkey % 5, 0)::DOUBLE AS median_multiplier, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice END AS minimum_price, n_offers
+  FROM orders JOIN spent USING (o_custkey) LEFT JOIN n ON l_orderkey = o_orderkey)"""
+
+
+def outcome_sql(fee: str) -> str:
+    return f"""WITH {LADDER}, {PRICED},
+f AS (SELECT p.*, winner, second_price, opening_price, n_bids_by_winner, CASE WHEN price IS NOT NULL THEN {fee} END AS fee FROM priced p LEFT JOIN ladder USING (l_orderkey))
+SELECT l_orderkey, coalesce(price > 0, false) AS sold, CASE WHEN price > 0 THEN 'sold' WHEN coalesce(n_offers, 0) = 0 THEN 'no_offers' ELSE 'unknown' END AS outcome_reason,
+  fee AS buyer_fee_standard, price - second_price AS winner_margin_over_second, n_bids_by_winner, price + fee AS all_in_cost, price / nullif(ltm, 0) AS multiple_gross, (price + fee) / nullif(ltm, 0) AS multiple_all_in,
+  price / nullif(three_years_average, 0) AS multiple_normalized, (price / nullif(ltm, 0)) / nullif(median_multiplier, 0) AS multiple_vs_median,
+  CASE WHEN price IS NULL THEN 'unsold' WHEN minimum_price IS NOT NULL AND abs(price - minimum_price) < 1e-6 THEN 'left_at_reserve' ELSE 'none' END AS censoring_flag FROM f"""
+
+
+OUTCOME = ["l_orderkey", "sold", "outcome_reason", "buyer_fee_standard", "winner_margin_over_second", "n_bids_by_winner", "all_in_cost", "multiple_gross", "multiple_all_in", "multiple_normalized", "multiple_vs_median", "censoring_flag"]
+
+
+@query(outcome_sql("greatest(500.0::DOUBLE, price * 0.01::DOUBLE)"))
+def outcome_multiples(spark, sf):
+    return star.outcome(priced_orders(spark, sf), ladder_summary(spark, sf), "l_orderkey").select(*OUTCOME)
+
+
+@query(outcome_sql("0.0::DOUBLE"))
+def outcome_all_access(spark, sf):
+    return star.outcome(priced_orders(spark, sf), ladder_summary(spark, sf), "l_orderkey", all_access=True).select(*OUTCOME)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0.0::DOUBLE ELSE greatest(500.0::DOUBLE, o_totalprice * 0.01::DOUBLE) END AS fee,
+  CASE WHEN o_orderstatus = 'O' THEN 0.0::DOUBLE ELSE greatest(500.0::DOUBLE, o_totalprice * 0.01::DOUBLE) END AS fee_null_price FROM orders""")
+def fee_waivers(spark, sf):
+    open_price = F.when(c("o_orderstatus") != "O", c("o_totalprice"))
+    return table(spark, sf, "orders").select("o_orderkey", fn.buyer_fee(c("o_totalprice"), opened_bidding=c("o_orderkey") % 2 == 0).alias("fee"), fn.buyer_fee(open_price, null_price=0.0).alias("fee_null_price"))
+
+
+# -- panels, shares, assets ---------------------------------------------------------
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_returnflag, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount FROM lineitem GROUP BY 1, 2)
+SELECT *, amount / nullif(sum(amount::DECIMAL(18,2)) OVER (PARTITION BY l_orderkey)::DOUBLE, 0) AS share FROM m""")
+def source_mix_share(spark, sf):
+    mix = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(fn.money_sum(c("l_extendedprice")).alias("amount"))
+    return metrics.share_of_total(mix, ["l_orderkey"], "amount")
+
+
+@query("""WITH q AS (SELECT l_suppkey, date_trunc('quarter', l_shipdate)::DATE AS period, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, period::VARCHAR AS period, total, (datediff('month', min(period) OVER (PARTITION BY l_suppkey), period) // 3)::BIGINT AS quarter_index,
+  datediff('day', DATE '1995-01-01' + (l_suppkey % 400)::INTEGER, period) / 91.31::DOUBLE AS quarters_before_listing FROM q""")
+def quarterly_panel(spark, sf):
+    q = table(spark, sf, "lineitem").groupBy("l_suppkey", F.date_trunc("quarter", "l_shipdate").cast("date").alias("period")).agg(fn.money_sum(c("l_extendedprice")).alias("total"))
+    q = q.withColumn("deal", F.date_add(F.lit("1995-01-01").cast("date"), (c("l_suppkey") % 400).cast("int")))
+    return star.earnings_panel(q, "l_suppkey", "period", "deal").select("l_suppkey", iso("period"), "total", "quarter_index", "quarters_before_listing")
+
+
+@query("""SELECT o_custkey AS asset_id, min_by(o_orderpriority, o_orderkey) AS title, count(*) AS n_listings, count(*) FILTER (o_orderstatus = 'F') AS n_sold_listings,
+  min(o_orderdate)::DATE::VARCHAR AS first_published, max(o_orderdate)::DATE::VARCHAR AS last_published, count(*) FILTER (o_orderstatus = 'F') > 1 AS has_repeat_sale FROM orders GROUP BY 1""")
+def asset_rollup(spark, sf):
+    o = table(spark, sf, "orders")
+    dim = o.select(c("o_orderkey").alias("listing_id"), c("o_custkey").alias("asset_id"), c("o_orderpriority").alias("title"), day("o_orderdate").alias("published_date"))
+    found = star.dim_asset(dim, o.select(c("o_orderkey").alias("listing_id"), (c("o_orderstatus") == "F").alias("sold")))
+    return found.withColumns({x: iso(x) for x in ("first_published", "last_published")})
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey AS sale, o_orderdate::DATE AS date, o_totalprice AS price, nullif(o_orderkey % 4, 0)::DOUBLE AS size FROM orders WHERE o_orderstatus = 'F')
+SELECT a.o_custkey, a.sale AS first_sale, b.sale AS later_sale, datediff('day', a.date, b.date) / 365.25::DOUBLE AS years_held, b.size / a.size AS size_ratio, b.price / nullif(a.price, 0) AS price_ratio
+FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND b.date > a.date""")
+def repeat_pairs(spark, sf):
+    sold = table(spark, sf, "orders").filter("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", day("o_orderdate").alias("date"), "o_totalprice", F.nullif(c("o_orderkey") % 4, F.lit(0)).cast("double").alias("size"))
+    pairs = star.repeat_pairs(sold, "o_custkey", "o_orderkey", "date", "o_totalprice", "size")
+    return pairs.select("o_custkey", "first_sale", "later_sale", "years_held", "size_ratio", "price_ratio")
+
+
+# -- flags, frames, coverage ------------------------------------------------------------
+
+ORDER_RULES = [
+    flags.Rule("missing_price", "exclude", "no price, or none above zero", "price IS NULL OR price <= 0"),
+    flags.Rule("urgent", "exclude", "urgent", "o_orderpriority = '1-URGENT'"),
+    flags.Rule("no_lines", "warn", "no lines", "n_offers IS NULL"),
+    flags.Rule("far_above_top", "info", "above nine tenths of the customer's largest", "three_years_average > 0 AND price / nullif(three_years_average, 0D) > 0.9"),
+    flags.Rule("above_reserve", "warn", "above its reserve", "price IS NOT NULL AND minimum_price IS NOT NULL AND price > minimum_price + 0.51"),
+    flags.Rule("one_line", "warn", "one line", "n_offers = 1"),
+    flags.Rule("fee_material_vs_price", "warn", "fee above two percent", "greatest(500D, price * 0.01D) > 0.02D * price"),
+]
+FLAGS_SQL = "flags AS (" + " UNION ALL ".join(
+    f"SELECT l_orderkey, '{r.flag}' AS flag, '{r.severity}' AS severity FROM priced WHERE "
+    + r.when.replace("500D", "500::DOUBLE").replace("0.01D", "0.01::DOUBLE").replace("0.02D", "0.02::DOUBLE").replace("0D", "0::DOUBLE")
+    for r in ORDER_RULES
+) + ")"
+
+
+@query(f"WITH {PRICED}, {FLAGS_SQL} SELECT * FROM flags")
+def quality_flags(spark, sf):
+    return flags.flag_rows(priced_orders(spark, sf), "l_orderkey", ORDER_RULES).select("l_orderkey", "flag", "severity")
+
+
+@query(f"""WITH {LADDER}, {PRICED}, {FLAGS_SQL}
+SELECT l_orderkey, o_custkey, date_trunc('quarter', o_orderdate)::DATE::VARCHAR AS deal_quarter, ltm / nullif(three_years_average, 0) AS ltm_vs_3yr, price, second_price,
+  (SELECT count(*) FROM flags q WHERE q.l_orderkey = p.l_orderkey AND severity = 'exclude') AS n_exclude_flags FROM priced p LEFT JOIN ladder USING (l_orderkey)""")
+def pricing_frame(spark, sf):
+    base = priced_orders(spark, sf)
+    n = flags.count_severity(flags.flag_rows(base, "l_orderkey", ORDER_RULES), "l_orderkey", "exclude", "n")
+    wide = base.join(ladder_summary(spark, sf), "l_orderkey", "left").join(n, "l_orderkey", "left")
+    return wide.select("l_orderkey", "o_custkey", F.date_trunc("quarter", "o_orderdate").cast("date").cast("string").alias("deal_quarter"), fn.ratio(c("ltm"), c("three_years_average")).alias("ltm_vs_3yr"), "price", "second_price", F.coalesce("n", F.lit(0)).alias("n_exclude_flags"))
+
+
+@query(f"""WITH {PRICED} SELECT date_trunc('year', o_orderdate)::DATE::VARCHAR AS deal_year, o_orderpriority AS kind, count(*) AS n, sum(CASE WHEN price > 0 THEN 1 ELSE 0 END)::BIGINT AS n_sold,
+  avg(CASE WHEN price IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS cov_price, avg(CASE WHEN n_offers IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS cov_n_offers FROM priced GROUP BY 1, 2""")
+def field_coverage(spark, sf):
+    found = star.field_coverage(priced_orders(spark, sf).withColumn("sold", c("price") > 0), "o_orderdate", "o_orderpriority", "sold", ["price", "n_offers"])
+    return found.withColumn("deal_year", iso("deal_year"))
+
+
+def _corr(x: str, y: str) -> str:
+    return f"CASE WHEN stddev_pop({x}) * stddev_pop({y}) > 0 THEN round(covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})), 6) END"
+
+
+@query(f"""SELECT count(*) AS n, {_corr("l_discount", "ln(l_quantity)")} AS corr_with_log_size, {_corr("l_discount", "l_tax")} AS corr_with_age,
+  count(*) FILTER (l_discount > l_tax + 0.51) AS n_exceeds_age, median(l_discount) AS median_reported, max(l_discount) AS max_reported FROM lineitem WHERE l_discount IS NOT NULL AND l_quantity > 0""")
+def correlation_check(spark, sf):
+    found = star.age_check(table(spark, sf, "lineitem"), "l_discount", "l_quantity", "l_tax")
+    return found.withColumns({x: F.round(x, 6) for x in ("corr_with_log_size", "corr_with_age")})
+
+
+# -- numeric operators ----------------------------------------------------------------------
+
+
+@query("""SELECT p_brand, CASE WHEN sum(p_retailprice::DECIMAL(28,6)) > 0 THEN sum((p_size * p_retailprice)::DECIMAL(28,6))::DOUBLE / sum(p_retailprice::DECIMAL(28,6))::DOUBLE END AS weighted_average,
+  sum((p_size * p_retailprice)::DECIMAL(28,6))::DOUBLE AS weighted_total FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL GROUP BY 1""")
+def weighted_age(spark, sf):
+    return metrics.weighted_age(table(spark, sf, "part"), ["p_brand"], "p_size", "p_retailprice")
+
+
+def _diagnosis(name: str, column: str) -> str:
+    r = f"l_extendedprice / nullif({column}, 0)"
+    return f"""SELECT '{name}' AS construction, count(*) AS n, round(quantile_cont({r}, 0.5), 6) AS median_ratio, round(quantile_cont({r}, 0.75) - quantile_cont({r}, 0.25), 6) AS iqr_ratio,
+  {_corr("l_extendedprice", column)} AS corr FROM lineitem"""
+
+
+@query(f"""{_diagnosis("by_quantity", "l_quantity")} UNION ALL {_diagnosis("by_discount", "l_discount")}
+UNION ALL SELECT 'size', count(*), NULL, NULL, {_corr("l_extendedprice", "ln(greatest(l_tax, 1.0::DOUBLE) + 0 * l_tax)").replace("ln(greatest(l_tax, 1.0::DOUBLE) + 0 * l_tax)", "ln(greatest(l_quantity, 1.0::DOUBLE))")} FROM lineitem""")
+def ratio_diagnostics(spark, sf):
+    found = metrics.ratio_diagnostics(table(spark, sf, "lineitem"), "l_extendedprice", {"by_quantity": "l_quantity", "by_discount": "l_discount"}, "l_quantity")
+    return found.withColumns({x: F.round(x, 6) for x in ("median_ratio", "iqr_ratio", "corr")})
+
+
+SPIKES = """m AS (SELECT user_id, median(value) AS median FROM events WHERE event_type = 'purchase' GROUP BY 1),
+d AS (SELECT user_id, value, median, abs(value - median) AS dev FROM events JOIN m USING (user_id) WHERE event_type = 'purchase'),
+a AS (SELECT user_id, coalesce(nullif(median(dev), 0), 1.0::DOUBLE) AS mad FROM d GROUP BY 1),
+spikes AS (SELECT user_id, any_value(median) AS median, any_value(mad) AS mad, count(*) FILTER (value > median + (3.0::DOUBLE * 1.4826::DOUBLE) * mad) AS n_spikes,
+  coalesce((sum((value - median)::DECIMAL(18,6)) FILTER (value > median + (3.0::DOUBLE * 1.4826::DOUBLE) * mad))::DOUBLE, 0) AS excess FROM d JOIN a USING (user_id) GROUP BY 1)"""
+
+
+@query(f"WITH {SPIKES} SELECT * FROM spikes")
+def mad_spike_trim(spark, sf):
+    return metrics.spike_excess(table(spark, sf, "events").filter("event_type = 'purchase'"), "user_id", "value")
+
+
+@query(f"""WITH {SPIKES}, u AS (SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS raw, CASE WHEN user_id % 4 <> 1 THEN sum(value::DECIMAL(18,2)) FILTER (event_type = 'click')::DOUBLE / nullif(sum(value::DECIMAL(18,2))::DOUBLE, 0) END AS share,
+  CASE WHEN user_id % 3 = 0 THEN sum(value::DECIMAL(18,2)) FILTER (event_id % 2 = 0)::DOUBLE END AS prior FROM events GROUP BY 1),
+x AS (SELECT u.*, CASE WHEN user_id % 4 = 0 THEN excess END AS spike FROM u LEFT JOIN spikes USING (user_id))
+SELECT user_id, CASE WHEN spike IS NOT NULL THEN 'monthly_sync_spike' WHEN share IS NOT NULL THEN 'sync_share_cap' WHEN prior > 0 AND raw / prior - 1 > 0.5 THEN 'geometric_mean_vs_prior' ELSE 'none' END AS method,
+  CASE WHEN spike IS NOT NULL THEN 'high' WHEN share IS NOT NULL THEN 'medium' ELSE 'low' END AS confidence,
+  round(CASE WHEN spike IS NOT NULL THEN raw - spike WHEN share IS NOT NULL THEN raw - raw * greatest(share - 0.1::DOUBLE, 0) WHEN prior > 0 AND raw / prior - 1 > 0.5 THEN sqrt(raw * prior) ELSE raw END, 6) AS normalized FROM x""")
+def normalise_cascade(spark, sf):
+    e = table(spark, sf, "events")
+    total = fn.money_sum(c("value"))
+    part = lambda when: fn.money_sum(F.when(when, c("value")))
+    u = e.groupBy("user_id").agg(total.alias("raw"), part(c("event_type") == "click").alias("clicks"), part(c("event_id") % 2 == 0).alias("even"))
+    u = u.withColumns({"share": F.when(c("user_id") % 4 != 1, fn.ratio(c("clicks"), c("raw"))), "prior": F.when(c("user_id") % 3 == 0, c("even"))})
+    u = u.join(mad_spike_trim(spark, sf).select("user_id", "excess"), "user_id", "left").withColumn("spike", F.when(c("user_id") % 4 == 0, c("excess"))).drop("excess")
+    return metrics.normalise(u, "raw", "spike", "raw", "share", "prior").select("user_id", "method", "confidence", F.round("normalized", 6).alias("normalized"))
+
+
+def order_totals(spark, sf) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    panel = metrics.panel_totals(lines.withColumn("at", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")), "l_orderkey", "at", "l_extendedprice")
+    buyers = lines.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n_buyers"))
+    o = table(spark, sf, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_totalprice").alias("lifetime"), (c("o_orderkey") % 8).alias("count"))
+    return o.join(panel, "l_orderkey", "left").join(buyers, "l_orderkey", "left")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem),
+t AS (SELECT l_orderkey, count(*) AS n, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS panel, (sum(l_extendedprice::DECIMAL(18,2)) FILTER (rn <= 4))::DOUBLE AS last4, count(DISTINCT l_suppkey) AS buyers FROM r GROUP BY 1)
+SELECT o_orderkey AS l_orderkey, coalesce(n, 0) = 0 AS nothing, coalesce(n > 0 AND abs(panel - o_totalprice) > 0.02::DOUBLE * greatest(abs(o_totalprice), 1), false) AS bad_total,
+  coalesce(n >= 4 AND abs(last4 - o_totalprice) > 0.02::DOUBLE * greatest(abs(o_totalprice), 1), false) AS bad_last4,
+  coalesce(n > 0 AND n <> o_orderkey % 8, false) AS bad_offers, coalesce(n > 0 AND buyers <> o_orderkey % 8, false) AS bad_buyers FROM orders LEFT JOIN t ON l_orderkey = o_orderkey""")
+def reconcile(spark, sf):
+    found = metrics.reconcile(order_totals(spark, sf), lifetime="lifetime", ltm="lifetime", panel="panel_total", last4="last4_total", n_periods="n_periods", offers="count", n_offers="n_periods", buyers="count", n_buyers="n_buyers")
+    some = c("n_periods") > 0
+    has = lambda text: F.coalesce(some & F.exists("problems", lambda p: p.contains(text)), F.lit(False))
+    return found.select("l_orderkey", F.array_contains("problems", "no periods").alias("nothing"), has("periods sum").alias("bad_total"), has("last four").alias("bad_last4"), has("offers listed").alias("bad_offers"), has("distinct buyers").alias("bad_buyers"))
+
+
+@query("""SELECT o_custkey, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn <= 4 GROUP BY 1""")
+def last_four(spark, sf):
+    return ladder.last_n(table(spark, sf, "orders"), "o_custkey", "o_orderdate", "o_orderkey", 4).groupBy("o_custkey").agg(F.count("*").alias("n"), fn.money_sum(c("o_totalprice")).alias("total"))
+
+
+@query("""SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_suppliers, count(*) AS n FROM lineitem GROUP BY 1""")
+def distinct_count_check(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n_suppliers"), F.count("*").alias("n"))
+
+
+# -- scalars and parsing -----------------------------------------------------------------------
+
+TERMS = "CASE p_size % 8 WHEN 0 THEN 'life_of_rights' WHEN 1 THEN 'fixed_return' WHEN 2 THEN p_size || '_year' WHEN 3 THEN 'partial_' || p_size || '_year' WHEN 4 THEN p_size || '_yearly' WHEN 5 THEN '' WHEN 6 THEN NULL ELSE p_type END"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN t = 'life_of_rights' THEN 'perpetual' WHEN t = 'fixed_return' THEN 'fixed_return' WHEN regexp_matches(t, '\\d+_year$') THEN 'fixed_term' ELSE 'unknown' END AS family,
+  try_cast(nullif(regexp_extract(t, '(\\d+)_year', 1), '') AS DOUBLE) AS years, starts_with(t, 'partial_') AS partial FROM (SELECT p_partkey, {TERMS} AS t FROM part)""")
+def term_taxonomy(spark, sf):
+    t = table(spark, sf, "part").select("p_partkey", F.expr(TERMS).alias("t"))
+    return t.select("p_partkey", fn.term_family(c("t")).alias("family"), fn.term_years(c("t")).alias("years"), fn.is_partial_share(c("t")).alias("partial"))
+
+
+TEXTS = "CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN 'true' WHEN 3 THEN '1d' WHEN 4 THEN '1_000' WHEN 5 THEN NULL WHEN 6 THEN '-' || event_id || '.75' ELSE event_id || '.5' END"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 9 >= 6 THEN try_cast(t AS DOUBLE) END AS number, CASE WHEN event_id % 9 >= 6 THEN trunc(try_cast(t AS DOUBLE))::BIGINT END AS whole FROM (SELECT event_id, {TEXTS} AS t FROM events)""")
+def lenient_coercion(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.expr(TEXTS).alias("t"))
+    return e.select("event_id", fn.to_number(c("t")).alias("number"), fn.to_integer(c("t")).alias("whole"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN epoch_us(ts) END AS micros, CASE WHEN event_id % 5 <> 0 THEN ts::DATE::VARCHAR END AS day FROM events""")
+def timestamp_parse(spark, sf):
+    text = F.when(c("event_id") % 5 == 0, F.lit("2024-13-45")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    e = table(spark, sf, "events").select("event_id", text.alias("t"))
+    return e.select("event_id", F.unix_micros(fn.to_timestamp(c("t"))).alias("micros"), fn.to_day(c("t")).cast("string").alias("day"))
+
+
+@query("""SELECT o_orderkey, datediff('day', o_orderdate::DATE, DATE '2000-01-01') / 365.25::DOUBLE AS age, datediff('day', o_orderdate::DATE, DATE '2000-01-01') / 365.25::DOUBLE + 0.51 < o_orderkey % 10 AS exceeds FROM orders""")
+def catalog_age(spark, sf):
+    age = fn.years_between(day("o_orderdate"), F.lit("2000-01-01").cast("date"))
+    return table(spark, sf, "orders").select("o_orderkey", age.alias("age"), (age + F.lit(0.51) < c("o_orderkey") % 10).alias("exceeds"))
+
+
+@query("""SELECT event_id, 'k' AS key, json_extract_string(props, '$.k')::DOUBLE AS amount FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def json_unpivot(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "v"))
+    return e.select("event_id", "key", fn.to_number(c("v")).alias("amount"))
+
+
+def index_payloads(spark, sf) -> DataFrame:
+    """Orders as index pages of JSON: numbers as texts, some ids missing, an unknown nested key."""
+    o = table(spark, sf, "orders")
+    row = F.struct(
+        F.when(c("o_orderkey") % 10 != 0, c("o_orderkey")).alias("listing_id"), c("o_orderpriority").alias("title"), c("o_totalprice").cast("string").alias("ltm"), (c("o_custkey")).alias("seller_id"), (c("o_orderkey") % 2 == 0).alias("is_nft"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("deal_date"), F.when(c("o_orderkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("tags"), F.struct(c("o_orderstatus").alias("s")).alias("novel"),
+    )
+    page = o.groupBy((c("o_orderkey") % 997).alias("page")).agg(F.sort_array(F.collect_list(row)).alias("results"))
+    return page.select("page", F.to_json(F.struct("results", F.lit("next").alias("next"), F.lit(7).alias("count"))).alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
+
+
+@query("""SELECT o_orderkey AS listing_id, o_orderpriority AS title, o_totalprice AS ltm, o_custkey AS seller_id, o_orderkey % 2 = 0 AS is_nft, o_orderdate::DATE::VARCHAR AS deal_day,
+  CASE WHEN o_orderkey % 3 = 0 THEN '["a","b"]' ELSE '[]' END AS tags, '{"novel":{"s":"' || o_orderstatus || '"}}' AS raw_extra FROM orders WHERE o_orderkey % 10 <> 0""")
+def index_parse(spark, sf):
+    found = payloads.index_observations(index_payloads(spark, sf))
+    return found.select("listing_id", "title", "ltm", "seller_id", "is_nft", day("deal_date").cast("string").alias("deal_day"), "tags", "raw_extra")
+
+
+@query("""SELECT o_orderkey % 997 AS page, count(*) FILTER (o_orderkey % 10 <> 0) AS n, 7::BIGINT AS count, 'next' AS next_url FROM orders GROUP BY 1""")
+def metadata_default(spark, sf):
+    pages = index_payloads(spark, sf)
+    found = F.from_json(F.get_json_object("payload", "$.results"), "array<struct<listing_id: bigint>>")["listing_id"]
+    ids = pages.select("page", F.explode(found).alias("id")).groupBy("page").agg(F.count("id").alias("n"))
+    return ids.join(payloads.index_pages(pages).select("page", "count", "next_url"), "page")
+
+
+def detail_payloads(spark, sf) -> DataFrame:
+    """Orders with their lines as detail payloads of JSON."""
+    lines = table(spark, sf, "lineitem")
+    offer = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber")
+    per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(offer)).alias("ls"))
+    offers = F.transform("ls", lambda x: F.struct(F.when(x["l_partkey"] % 9 != 0, x["l_partkey"]).alias("id"), x["l_suppkey"].alias("buyer_id"), x["l_extendedprice"].cast("string").alias("amount"), F.lit("open").alias("state")))
+    quarter = lambda x: F.array(F.concat(F.lit('"2020-0'), (x["l_linenumber"]).cast("string"), F.lit('-01"')), F.to_json(F.struct(x["l_extendedprice"].alias("total"))))
+    region = F.concat(F.lit("["), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("["), F.array_join(quarter(x), ","), F.lit("]"))), ","), F.lit("]"))
+    text = F.concat(F.lit('{"id":'), c("l_orderkey").cast("string"), F.lit(',"offers":'), F.to_json(offers), F.lit(',"valuation":{"ltm":"12.5","earnings_by_region":'), region, F.lit("}}"))
+    return per.select(text.alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
+
+
+@query("""SELECT l_orderkey AS listing_id, l_partkey AS offer_id, max(struct_pack(p := l_suppkey, a := l_extendedprice)).p AS buyer_id, max(struct_pack(p := l_suppkey, a := l_extendedprice)).a AS amount
+FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1, 2""")
+def detail_parse_offers(spark, sf):
+    return payloads.detail_observations(detail_payloads(spark, sf))["offer"].select("listing_id", "offer_id", "buyer_id", "amount")
+
+
+@query("""SELECT l_orderkey AS listing_id, make_date(2020, l_linenumber, 1)::VARCHAR AS period_start, arg_max(l_extendedprice, (l_partkey, l_suppkey, l_extendedprice)) AS total FROM lineitem GROUP BY 1, 2""")
+def detail_parse_quarters(spark, sf):
+    return payloads.detail_observations(detail_payloads(spark, sf))["quarter"].select("listing_id", iso("period_start"), "total")
+
+
+@query("""SELECT event_id, user_id, value FROM events""")
+def streaming_ingest(spark, sf):
+    """Runs the stream twice over the same file; the second run adds nothing."""
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = table(spark, sf, "events").schema
+    for _ in range(2):
+        ingest.ingest_rows(spark, sf, schema, "events.parquet", f"{where}/table", f"{where}/checkpoint", "event_id")
+    return spark.read.parquet(f"{where}/table").select("event_id", "user_id", "value")
