@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, lines, packing, quality, rules, sharding, simhash, topk
+from tidemark.llm import byte_bpe, language, lines, packing, pseudo_likelihood, quality, rules, sharding, simhash, topk
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -100,3 +100,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_line_dedup"] = lines.ORACLE
+
+
+@registered
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
