@@ -1,0 +1 @@
+"""Operators: observations, ladders, outcomes, star schema, metrics, flags."""

@@ -24,8 +24,9 @@ INDEX_TIME = ["term_expiration", "deal_date", "close_date", "published_date", "a
 
 DETAIL_TEXT = {
     "title": "title", "state": "state", "kind": "kind", "term": "term", "display_state_msg": "display_state.message", "vd_prompt_id": "valuation_description.prompt_id",
-    "deal_multiple_source": "deal.multiple_source", "deal_state": "deal.state", "is_track_list_hidden": "is_track_list_hidden",
+    "deal_multiple_source": "deal.multiple_source", "deal_state": "deal.state",
 }
+DETAIL_FLAG = {"is_track_list_hidden": "is_track_list_hidden"}
 DETAIL_NUMBER = {
     "term_return_amount": "term_return_amount", "minimum_price": "minimum_price", "default_buy_now_price": "default_buy_now_price", "buy_now_price": "buy_now_price",
     "proxy_increment_amount": "proxy_increment_amount", "marketplace_median": "marketplace_median", "marketplace_median_multiplier": "marketplace_median_multiplier",
@@ -115,9 +116,9 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     base = base.withColumn("listing_id", to_integer(F.col("m")["id"])).withColumn("obs_id", F.xxhash64("content_sha256", "listing_id"))
     good, m = base.filter("listing_id IS NOT NULL"), F.col("m")
     fields = [_dig(m, p).alias(c) for c, p in DETAIL_TEXT.items()]
-    fields += [f(_dig(m, p)).alias(c) for f, paths in ((to_number, DETAIL_NUMBER), (to_integer, DETAIL_INTEGER), (to_timestamp, DETAIL_TIME)) for c, p in paths.items()]
+    fields += [f(_dig(m, p)).alias(c) for f, paths in ((_flag, DETAIL_FLAG), (to_number, DETAIL_NUMBER), (to_integer, DETAIL_INTEGER), (to_timestamp, DETAIL_TIME)) for c, p in paths.items()]
     payor = lambda x: F.struct(*[_object(x)[k].alias(k) for k in ("name", "display_name", "kind")])
-    consumed = [*NESTED, *DETAIL_TEXT, *DETAIL_NUMBER, *DETAIL_INTEGER, *DETAIL_TIME]
+    consumed = [*NESTED, *DETAIL_TEXT, *DETAIL_FLAG, *DETAIL_NUMBER, *DETAIL_INTEGER, *DETAIL_TIME]
     listing = good.select(
         "obs_id", "listing_id", "observed_at", "content_sha256", *fields, F.to_json(_list(m["tags"])).alias("tags"), F.to_json(_list(m["media_urls"])).alias("media_urls"),
         F.to_json(F.transform(_list(_dig(m, "asset.royalty_payors")), payor)).alias("royalty_payors"), _remainder(m, consumed).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version"),
