@@ -29,18 +29,31 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back.
 
     It cuts the lineage: what follows reads files that survive the loss of
-    executors. The files go when the application ends."""
+    executors. The files go with discard, or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of stored() that nothing reads any more."""
+    for table in tables:
+        fs, where = _file_system(table.sparkSession, table.stored_at)
+        fs.delete(where, True)
 
 
 def rows_where(df: DataFrame, condition: Column, columns: list[Column]) -> DataFrame:
