@@ -425,8 +425,8 @@ def metadata_default(spark, sf):
     return ids.join(payloads.index_pages(pages).select("page", "count", "next_url"), "page")
 
 
-def detail_payloads(spark, sf) -> DataFrame:
-    """Orders with their lines as detail payloads of JSON."""
+def detail_payloads(spark, sf, *, deals: bool = False) -> DataFrame:
+    """Orders with their lines as detail payloads of JSON; with deals, two of three have sold to their highest line."""
     lines = table(spark, sf, "lineitem")
     offer = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber")
     per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(offer)).alias("ls"))
@@ -434,6 +434,10 @@ def detail_payloads(spark, sf) -> DataFrame:
     quarter = lambda x: F.array(F.concat(F.lit('"2020-0'), (x["l_linenumber"]).cast("string"), F.lit('-01"')), F.to_json(F.struct(x["l_extendedprice"].alias("total"))))
     region = F.concat(F.lit("["), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("["), F.array_join(quarter(x), ","), F.lit("]"))), ","), F.lit("]"))
     text = F.concat(F.lit('{"id":'), c("l_orderkey").cast("string"), F.lit(',"offers":'), F.to_json(offers), F.lit(',"valuation":{"ltm":"12.5","earnings_by_region":'), region, F.lit("}}"))
+    best = F.array_max(F.transform("ls", lambda x: F.struct(x["l_extendedprice"].alias("amount"), x["l_partkey"].alias("id"))))
+    if deals:
+        deal = F.when(c("l_orderkey") % 3 != 0, F.concat(F.lit(',"deal":'), F.to_json(best), F.lit("}"))).otherwise("}")
+        text = F.concat(F.left(text, F.length(text) - 1), deal)
     return per.select(text.alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
 
 
@@ -448,6 +452,34 @@ def detail_parse_quarters(spark, sf):
     return payloads.detail_observations(detail_payloads(spark, sf))["quarter"].select("listing_id", iso("period_start"), "total")
 
 
+REBUILT = """WITH o AS (SELECT l_orderkey AS k, l_partkey AS p, max(struct_pack(s := l_suppkey, a := l_extendedprice)).a AS a FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1, 2),
+d AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey % 3 <> 0 THEN max(struct_pack(a := l_extendedprice, p := l_partkey)) END AS d FROM lineitem GROUP BY 1),
+l AS (SELECT k, max(a) FILTER (p <> d.p) AS second_price, min(a) AS opening_price FROM o JOIN d USING (k) GROUP BY 1),
+i AS (SELECT o_orderkey AS k, o_totalprice AS ltm FROM orders WHERE o_orderkey % 10 <> 0)"""
+
+
+def rebuilt(spark, sf) -> dict[str, DataFrame]:
+    """The star schema rebuilt from JSON payloads made of orders and their lines."""
+    obs = payloads.detail_observations(detail_payloads(spark, sf, deals=True))
+    obs["index"] = payloads.index_observations(index_payloads(spark, sf))
+    return star.rebuild(obs, F.lit("2024-01-01").cast("timestamp"))
+
+
+@query(f"""{REBUILT} SELECT coalesce(i.k, d.k) AS listing_id, d.d.a AS clearing_price, second_price, opening_price, coalesce(d.d.a > 0, false) AS sold,
+  CASE WHEN d.d IS NULL THEN 'unsold' ELSE 'none' END AS censoring_flag, d.d.a / nullif(CASE WHEN d.k IS NULL THEN ltm ELSE 12.5 END, 0) AS multiple_gross
+FROM i FULL OUTER JOIN d ON i.k = d.k LEFT JOIN l ON l.k = d.k""")
+def rebuild_outcomes(spark, sf):
+    return rebuilt(spark, sf)["fact_outcome"].select("listing_id", "clearing_price", "second_price", "opening_price", "sold", "censoring_flag", "multiple_gross")
+
+
+@query(f"""{REBUILT} SELECT * FROM (
+  SELECT i.k AS listing_id, 'no_detail_payload' AS flag FROM i ANTI JOIN d USING (k) UNION ALL SELECT i.k, 'no_earnings_panel' FROM i ANTI JOIN d USING (k)
+  UNION ALL SELECT i.k, 'missing_ltm' FROM i ANTI JOIN d USING (k) WHERE ltm <= 0
+  UNION ALL SELECT k, 'fee_material_vs_price' FROM d WHERE greatest(500.0::DOUBLE, 0.01::DOUBLE * d.a) > 0.02::DOUBLE * d.a)""")
+def rebuild_flags(spark, sf):
+    return rebuilt(spark, sf)["data_quality_flag"].select("listing_id", "flag")
+
+
 @query("""SELECT event_id, user_id, value FROM events""")
 def streaming_ingest(spark, sf):
     """Runs the stream twice over the same file; the second run adds nothing."""
