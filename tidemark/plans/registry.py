@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import coerce as fn
 from tidemark.operators import flags, ladder, metrics, observations, star
-from tidemark.sources import payloads
+from tidemark.sources import payloads, tables
 from tidemark.streaming import ingest
 
 QUERIES = {}
@@ -38,9 +38,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where it is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the cluster's checkpoint folder; in a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base}/tables-{uuid.uuid4().hex}"
 
 
 def day(name: str):
@@ -459,10 +460,12 @@ i AS (SELECT o_orderkey AS k, o_totalprice AS ltm FROM orders WHERE o_orderkey %
 
 
 def rebuilt(spark, sf) -> dict[str, DataFrame]:
-    """The star schema rebuilt from JSON payloads made of orders and their lines."""
-    obs = payloads.detail_observations(detail_payloads(spark, sf, deals=True))
-    obs["index"] = payloads.index_observations(index_payloads(spark, sf))
-    return star.rebuild(obs, F.lit("2024-01-01").cast("timestamp"))
+    """The star schema rebuilt from observations, written first, of JSON payloads made of orders and their lines."""
+    landed = tables.write_tables({"details": detail_payloads(spark, sf, deals=True), "pages": index_payloads(spark, sf)}, scratch(spark))
+    obs = payloads.detail_observations(landed["details"])
+    used = {name: obs[name] for name in ("listing", "offer", "quarter", "breakdown")}
+    used["index"] = payloads.index_observations(landed["pages"])
+    return star.rebuild(tables.write_tables(used, scratch(spark)), F.lit("2024-01-01").cast("timestamp"))
 
 
 @query(f"""{REBUILT} SELECT coalesce(i.k, d.k) AS listing_id, d.d.a AS clearing_price, second_price, opening_price, coalesce(d.d.a > 0, false) AS sold,
@@ -483,7 +486,7 @@ def rebuild_flags(spark, sf):
 @query("""SELECT event_id, user_id, value FROM events""")
 def streaming_ingest(spark, sf):
     """Runs the stream twice over the same file; the second run adds nothing."""
-    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    where = scratch(spark)
     schema = table(spark, sf, "events").schema
     for _ in range(2):
         ingest.ingest_rows(spark, sf, schema, "events.parquet", f"{where}/table", f"{where}/checkpoint", "event_id")

@@ -60,12 +60,26 @@ def _list(text: Column) -> Column:
     return F.coalesce(F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
-def _dig(root: Column, path: str) -> Column:
+#: Objects that paths lead through, outer ones first; each is parsed once into a column.
+OBJECTS = ["deal", "asset", "display_state", "valuation_description", "valuation", "valuation.top_earnings_by_year"]
+
+
+def _parsed(path: str) -> str:
+    return "_" + path.replace(".", "_")
+
+
+def _with_objects(df: DataFrame) -> DataFrame:
+    """df with a map for each of OBJECTS; null where the payload has no object."""
+    for path in OBJECTS:
+        text = _dig(path)
+        df = df.withColumn(_parsed(path), F.when(F.trim(text).startswith("{"), _object(text)))
+    return df
+
+
+def _dig(path: str) -> Column:
     """The text at a dotted path; null if anything on the way isn't an object."""
-    *outer, last = path.split(".")
-    for key in outer:
-        root = F.when(F.trim(root[key]).startswith("{"), _object(root[key]))
-    return root[last]
+    outer, _, last = path.rpartition(".")
+    return F.col(_parsed(outer) if outer else "m")[last]
 
 
 def _flag(text: Column) -> Column:
@@ -97,7 +111,7 @@ def index_observations(pages: DataFrame, payload: str = "payload", observed_at:
 
     obs_id is a hash of the payload and the listing: loading a page again gives the same ids."""
     rows = pages.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.explode(_list(_object(F.col(payload))["results"])).alias("_r"))
-    m = _object(F.col("_r"))
+    rows, m = rows.withColumn("m", _object(F.col("_r"))), F.col("m")
     fields = [m[k].alias(k) for k in INDEX_TEXT] + [_flag(m[k]).alias(k) for k in INDEX_FLAG]
     fields += [f(m[k]).alias(k) for f, keys in ((to_number, INDEX_NUMBER), (to_integer, INDEX_INTEGER), (to_timestamp, INDEX_TIME)) for k in keys]
     known = [*INDEX_TEXT, *INDEX_FLAG, *INDEX_NUMBER, *INDEX_INTEGER, *INDEX_TIME, "listing_id", "tags"]
@@ -114,14 +128,14 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     key the last in the payload stays."""
     base = payloads.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.col(payload).alias("payload"), _object(F.col(payload)).alias("m"))
     base = base.withColumn("listing_id", to_integer(F.col("m")["id"])).withColumn("obs_id", F.xxhash64("content_sha256", "listing_id"))
-    good, m = base.filter("listing_id IS NOT NULL"), F.col("m")
-    fields = [_dig(m, p).alias(c) for c, p in DETAIL_TEXT.items()]
-    fields += [f(_dig(m, p)).alias(c) for f, paths in ((_flag, DETAIL_FLAG), (to_number, DETAIL_NUMBER), (to_integer, DETAIL_INTEGER), (to_timestamp, DETAIL_TIME)) for c, p in paths.items()]
+    good, m = _with_objects(base.filter("listing_id IS NOT NULL")), F.col("m")
+    fields = [_dig(p).alias(c) for c, p in DETAIL_TEXT.items()]
+    fields += [f(_dig(p)).alias(c) for f, paths in ((_flag, DETAIL_FLAG), (to_number, DETAIL_NUMBER), (to_integer, DETAIL_INTEGER), (to_timestamp, DETAIL_TIME)) for c, p in paths.items()]
     payor = lambda x: F.struct(*[_object(x)[k].alias(k) for k in ("name", "display_name", "kind")])
     consumed = [*NESTED, *DETAIL_TEXT, *DETAIL_FLAG, *DETAIL_NUMBER, *DETAIL_INTEGER, *DETAIL_TIME]
     listing = good.select(
         "obs_id", "listing_id", "observed_at", "content_sha256", *fields, F.to_json(_list(m["tags"])).alias("tags"), F.to_json(_list(m["media_urls"])).alias("media_urls"),
-        F.to_json(F.transform(_list(_dig(m, "asset.royalty_payors")), payor)).alias("royalty_payors"), _remainder(m, consumed).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version"),
+        F.to_json(F.transform(_list(_dig("asset.royalty_payors")), payor)).alias("royalty_payors"), _remainder(m, consumed).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version"),
     )
 
     def children(elements: Column, *columns: Column) -> DataFrame:
@@ -139,12 +153,12 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
         *[e[k].alias(k) for k in ("multiple_source", "kind", "state", "term")], *[to_timestamp(e[k]).alias(k) for k in ("created_at", "expiration")], _flag(e["incentive_pool_qualifying"]).alias("incentive_pool_qualifying"),
     )
     buy_now = children(_list(m["buy_now_price_history"]), to_timestamp(e["created_at"]).alias("created_at"), to_number(e["buy_now_price"]).alias("buy_now_price"))
-    pair = good.select("obs_id", "listing_id", F.posexplode(_list(_dig(m, "valuation.earnings_by_region"))).alias("seq", "_e")).withColumn("p", _list(F.col("_e")))
+    pair = good.select("obs_id", "listing_id", F.posexplode(_list(_dig("valuation.earnings_by_region"))).alias("seq", "_e")).withColumn("p", _list(F.col("_e")))
     pair = pair.filter((F.size("p") == 2) & F.trim(F.col("p")[1]).startswith("{")).withColumn("e", _object(F.col("p")[1])).withColumn("period_start", to_day(F.col("p")[0]))
     quarters = pair.filter("period_start IS NOT NULL").select("obs_id", "listing_id", "seq", "period_start", *[to_number(e[k]).alias(k) for k in ("domestic", "intl", "unreported", "total")])
 
     def dimensioned(root: str, dimensions: dict[str, str]) -> DataFrame:
-        lists = F.array(*[F.struct(F.lit(d).alias("dimension"), _list(_dig(m, f"{root}.{k}")).alias("rows")) for k, d in dimensions.items()])
+        lists = F.array(*[F.struct(F.lit(d).alias("dimension"), _list(_dig(f"{root}.{k}")).alias("rows")) for k, d in dimensions.items()])
         rows = good.select("obs_id", "listing_id", F.explode(lists).alias("d")).select("obs_id", "listing_id", "d.dimension", F.posexplode("d.rows").alias("row", "_e"))
         return rows.filter(F.trim("_e").startswith("{")).withColumn("e", _object(F.col("_e")))
 
@@ -152,7 +166,7 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     years = years.withColumn("year_index", to_integer(F.replace(e["year"], F.lit("year_"), F.lit("")))).filter("year_index IS NOT NULL")
     years = years.select("obs_id", "listing_id", "dimension", "year_index", F.col("row").alias("seq"), F.explode(F.map_filter("e", lambda k, v: k != "year")).alias("member", "_a")).withColumn("amount", to_number(F.col("_a"))).drop("_a")
     mix = dimensioned("valuation", LTM_DIMENSIONS).select("obs_id", "listing_id", F.col("row").alias("seq"), "dimension", F.coalesce(e["name"], F.lit("None")).alias("member"), to_number(e["earnings"]).alias("amount"), to_integer(e["track_count"]).alias("track_count"))
-    tracks = children(_list(_dig(m, "valuation.track_list")), e["id"].alias("track_id"), F.nullif(e["parent_id"], F.lit("")).alias("parent_track_id"), e["title"].alias("title"))
+    tracks = children(_list(_dig("valuation.track_list")), e["id"].alias("track_id"), F.nullif(e["parent_id"], F.lit("")).alias("parent_track_id"), e["title"].alias("title"))
     return {
         "listing": listing,
         "offer": last(offers.filter("offer_id IS NOT NULL"), "offer_id"),
