@@ -102,6 +102,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op2_line_dedup"] = lines.ORACLE
 
 
+@registered
+def op2_line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.linked_documents(read_table(spark, sf_dir, "documents"))
+
+
 @registered
 def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
