@@ -3,9 +3,15 @@
 Words are classes: the corpus's most frequent words, and for the rest one class
 for each shape (length and kind). A small network sees the classes of the words
 on both sides of a masked word, in a window, and gives the probabilities of all
-classes; a document's score is the sum of the log-probabilities of its words,
+classes; a word's probability is that of its class times the word's share in
+its class. A document's score is the sum of the log-probabilities of its words,
 each predicted from both sides.
 
+The shares come from the counts of all words of all documents, a Spark table
+that grows with them: those of at most KNOWN frequent words go to the tasks,
+all others are joined. A word that was not counted has the share of one more
+word in its class, parted over all spellings.
+
 Word counts cover all documents and give the classes and the output layer's
 bias, the log of each class's share of the corpus. The other weights are
 trained in numpy on a bounded sample of documents. Scoring is a pass over whole
@@ -15,9 +21,11 @@ texts without a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +36,8 @@ from tidemark.llm.words import WordTable, sums_by_text
 FREQUENT, WINDOW, EMBED, HIDDEN = 208, 2, 16, 32
 #: Shapes: up to 12 characters by letters in lower case, letters, with digits, other.
 LENGTHS, KINDS = 12, 4
+#: Words whose shares are sent to the tasks at most.
+KNOWN = 100_000
 SAMPLE_DOCS, EPOCHS, BATCH, RATE, SEED = 2000, 2, 1024, 0.01, 3
 
 
@@ -42,6 +52,7 @@ class Classes:
     def __init__(self, frequent: list[str]):
         self.number = {w: i for i, w in enumerate(frequent)}
         self.size = len(frequent) + LENGTHS * KINDS
+        self.total = np.ones(self.size)  # words of each class in the corpus, and one
 
     def of(self, words: list[str]) -> np.ndarray:
         own, base = self.number, len(self.number)
@@ -122,10 +133,15 @@ class WindowNetwork:
         return self
 
 
-def corpus_classes(docs: DataFrame, *, text: str = "text", frequent: int = FREQUENT) -> tuple[Classes, np.ndarray]:
-    """The classes, and the share of each among all words of all documents (one added to every count)."""
+def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """word, n for every word of all documents."""
     words = docs.select(F.explode(F.split(F.lower(text), SPACE_CLASS + "+")).alias("word")).filter("word <> ''")
-    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")))
+    return stored(words.groupBy("word").agg(F.count("*").alias("n")))
+
+
+def corpus_classes(docs: DataFrame, *, text: str = "text", frequent: int = FREQUENT, counts: DataFrame | None = None) -> tuple[Classes, np.ndarray]:
+    """The classes, and the share of each among all words of all documents (one added to every count)."""
+    counts = word_counts(docs, text=text) if counts is None else counts
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).collect()
     classes = Classes([r.word for r in top])
 
@@ -139,17 +155,74 @@ def corpus_classes(docs: DataFrame, *, text: str = "text", frequent: int = FREQU
     total = np.ones(classes.size)
     for r in found:
         total[r["class"]] += r.n
+    classes.total = total
     return classes, total / total.sum()
 
 
+def _hash(word: str) -> int:
+    """Spark's xxhash64 of the word."""
+    return int(np.uint64(xxhash.xxh64_intdigest(word.encode(), 42)).view(np.int64))
+
+
+#: Of a word: class, hash, log of its share in the class (NaN if the table has to tell), and that log if it was not counted.
+DESCRIBED = np.dtype([("class", np.int32), ("hash", np.int64), ("log", np.float64), ("unseen", np.float64)])
+
+
+class Vocabulary:
+    """Describes words by what is known of them without the table of counts."""
+
+    def __init__(self, classes: Classes, known: dict[int, float]):
+        self.classes, self.known = classes, known
+
+    def of(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words), DESCRIBED)
+        out["class"] = self.classes.of(words)
+        own = np.log(self.classes.total)[out["class"]]
+        for i, w in enumerate(words):
+            if w and w not in self.classes.number:
+                h = _hash(w)
+                out[i] = (out["class"][i], h, self.known.get(h, np.nan), -own[i] - (len(w.encode()) + 1) * np.log(257))
+        return out
+
+
+@dataclass
+class Shares:
+    """table: hash, log (of n by the class's words and one) of the words that the vocabulary doesn't know."""
+
+    vocabulary: Vocabulary
+    table: DataFrame
+
+
+def word_shares(counts: DataFrame, classes: Classes, *, known: int = KNOWN) -> Shares:
+    """The share of every counted word in its class; at most known of them reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 8192):
+            words, n = part.column("word").to_pylist(), part.column("n").to_numpy()
+            log = np.log(n) - np.log(classes.total)[classes.of(words)]
+            rare = np.array([w not in classes.number for w in words], dtype=bool)
+            columns = [pa.array([_hash(w) for w in words], pa.int64()), pa.array(n), pa.array(log)]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "n", "log"]).filter(pa.array(rare))
+
+    table = stored(counts.select("word", "n").mapInArrow(run, "hash long, n long, log double"))
+    # A level of counts, a power of two, that few enough words reach.
+    sizes = {r.power: r["count"] for r in table.groupBy((F.length(F.bin("n")) - 1).alias("power")).count().collect()}
+    level = max(sizes, default=0) + 1
+    while level > 0 and sum(c for p, c in sizes.items() if p >= level - 1) <= known:
+        level -= 1
+    near = table.filter(F.col("n") >= 2**level).select("hash", "log").toArrow()
+    own = dict(zip(near.column(0).to_pylist(), near.column(1).to_pylist(), strict=True))
+    return Shares(Vocabulary(classes, own), table.filter(F.col("n") < 2**level).select("hash", "log"))
+
+
 def _texts(part: pa.RecordBatch, at: int) -> list[str]:
     return [(t or "").lower() for t in part.column(at).to_pylist()]
 
 
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, frequent: int = FREQUENT) -> WindowNetwork:
+def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, frequent: int = FREQUENT, counts: DataFrame | None = None) -> WindowNetwork:
     """A network whose classes and shares come from all of docs and whose weights from at most
     sample keys (those with the lowest hash). Without words it is uniform."""
-    classes, share = corpus_classes(docs, text=text, frequent=frequent)
+    classes, share = corpus_classes(docs, text=text, frequent=frequent, counts=counts)
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text IS NOT NULL")
     keys = picked.select("key").orderBy(F.xxhash64("key", F.lit(3)), "key").limit(sample).distinct()
 
@@ -165,28 +238,44 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
     return WindowNetwork(classes, share).fit(flat, ends)
 
 
-_HELD: list[tuple[WindowNetwork, WordTable]] = []
+_HELD: list[tuple[object, WordTable]] = []
 
 
-def score(docs: DataFrame, network: WindowNetwork, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, network: WindowNetwork, *, key: str = "doc_id", text: str = "text", shares: Shares | None = None) -> DataFrame:
     """key, n_tokens, log_likelihood (the sum over words) and mean_log_likelihood of every row.
 
-    A text that is null or has no word has a sum of 0 and a null mean. Repeated
-    rows get equal scores; an empty table gives none; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    Without shares only the classes of words are predicted. A text that is null
+    or has no word has a sum of 0 and a null mean. Repeated rows get equal
+    scores; an empty table gives none; other columns are not read."""
+    words = shares.vocabulary if shares else Vocabulary(network.classes, {})
+    shared, whole = docs.sparkSession.sparkContext.broadcast((network, words)), shares is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, vocabulary = shared.value
         if not _HELD or _HELD[0][0] is not own:
-            _HELD[:] = [(own, WordTable(own.classes.of, 600_000))]
+            _HELD[:] = [(own, WordTable(vocabulary.of, 400_000))]
         table = _HELD[0][1]
         for part in slices(batches, 128):
-            classes, ends = table.look_up(_texts(part, 1))
+            found, ends = table.look_up(_texts(part, 1))
+            classes = np.ascontiguousarray(found["class"])
             logs = own.log_probabilities(windows(classes, ends, own.classes.size, own.window), classes)
+            rest = np.isnan(found["log"]) if whole else np.zeros(len(found), dtype=bool)
+            if whole:
+                logs = logs + np.where(rest, 0, found["log"])
+            cuts = pa.array(np.concatenate([[0], np.cumsum(rest)[ends - 1] * (ends > 0)]) if len(found) else np.zeros(len(ends) + 1, np.int64), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(found[c][rest])) for c in ("hash", "unseen")]
             total, n = sums_by_text(logs, ends), np.diff(ends, prepend=0)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), mean], names=["key", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(total), *lists], names=["key", "n_tokens", "total", "hash", "unseen"])
 
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, f"key {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double").withColumnRenamed("key", key)
+    scored = picked.mapInArrow(run, f"key {kind}, n_tokens long, total double, hash array<long>, unseen array<double>")
+    total = F.col("total")
+    if whole:
+        # Numbers of rows are safe to join on once they are written.
+        scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
+        rest = scored.select("row", F.explode(F.arrays_zip("hash", "unseen")).alias("w")).select("row", "w.hash", "w.unseen")
+        more = rest.join(shares.table, "hash", "left").groupBy("row").agg(F.sum(F.coalesce("log", "unseen")).alias("more"))
+        scored, total = scored.join(more, "row", "left"), F.col("total") + F.coalesce("more", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return scored.select(F.col("key").alias(key), "n_tokens", total.alias("log_likelihood"), mean.alias("mean_log_likelihood"))

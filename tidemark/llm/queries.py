@@ -110,4 +110,6 @@ def op2_line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    counts = pseudo_likelihood.word_counts(docs)
+    network = pseudo_likelihood.train(docs, counts=counts)
+    return pseudo_likelihood.score(docs, network, shares=pseudo_likelihood.word_shares(counts, network.classes))
