@@ -13,13 +13,14 @@ all others are joined. A word that was not counted has the share of one more
 word in its class, parted over all spellings.
 
 Word counts cover all documents and give the classes and the output layer's
-bias, the log of each class's share of the corpus. The other weights are
-trained in numpy on a bounded sample of documents. Scoring is a pass over whole
-texts without a shuffle.
+bias, the log of each class's share of the corpus. The other weights start from
+a fit to a bounded sample of documents and are then trained on all documents:
+each partition trains on all of its own, and the weights are averaged by words.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,8 @@ FREQUENT, WINDOW, EMBED, HIDDEN = 208, 2, 16, 32
 LENGTHS, KINDS = 12, 4
 #: Words whose shares are sent to the tasks at most.
 KNOWN = 100_000
+#: Words that a partition trains on at a time.
+CHUNK = 100_000
 SAMPLE_DOCS, EPOCHS, BATCH, RATE, SEED = 2000, 2, 1024, 0.01, 3
 
 
@@ -100,12 +103,18 @@ class WindowNetwork:
             out[part] -= np.log(logits.sum(axis=1))
         return out
 
-    def fit(self, classes: np.ndarray, ends: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> WindowNetwork:
-        """Adam on the cross-entropy of every word of the texts, masked one at a time."""
+    def weights(self) -> list[np.ndarray]:
+        """What is trained; the bias is counted."""
+        return [self.embed, self.inner, self.inner_bias, self.outer]
+
+    def fit(self, classes: np.ndarray, ends: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, state: dict | None = None) -> WindowNetwork:
+        """Adam on the cross-entropy of every word of the texts, masked one at a time. A state carries the moments on to the next call."""
         context = windows(classes, ends, self.classes.size, self.window)
         rng = np.random.default_rng(seed)
-        params = [self.embed, self.inner, self.inner_bias, self.outer]
-        first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+        params = self.weights()
+        state = {} if state is None else state
+        first, second = (state.setdefault(k, [np.zeros_like(p) for p in params]) for k in ("first", "second"))
+        step, number = state.get("step", 0), np.arange(len(self.embed))[:, None]
         for _ in range(epochs if len(classes) else 0):
             order = rng.permutation(len(classes))
             for at in range(0, len(order), BATCH):
@@ -122,14 +131,14 @@ class WindowNetwork:
                 inner = np.stack([seen[:, k].T @ back for k in range(2 * self.window)])
                 embed = np.zeros_like(self.embed)
                 for k in range(2 * self.window):
-                    pull = np.zeros((len(embed), HIDDEN), dtype=np.float32)
-                    np.add.at(pull, ctx[:, k], back)
+                    pull = (number == ctx[:, k]).astype(np.float32) @ back
                     embed += pull @ self.inner[k].T
                 step += 1
                 for i, g in enumerate((embed, inner, back.sum(axis=0), h.T @ p)):
                     first[i] = 0.9 * first[i] + 0.1 * g
                     second[i] = 0.999 * second[i] + 0.001 * g * g
                     params[i] -= RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+        state["step"] = step
         return self
 
 
@@ -220,8 +229,8 @@ def _texts(part: pa.RecordBatch, at: int) -> list[str]:
 
 
 def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, frequent: int = FREQUENT, counts: DataFrame | None = None) -> WindowNetwork:
-    """A network whose classes and shares come from all of docs and whose weights from at most
-    sample keys (those with the lowest hash). Without words it is uniform."""
+    """A network whose classes, shares and weights come from all of docs; training starts on at
+    most sample keys (those with the lowest hash). Without words it is uniform."""
     classes, share = corpus_classes(docs, text=text, frequent=frequent, counts=counts)
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text IS NOT NULL")
     keys = picked.select("key").orderBy(F.xxhash64("key", F.lit(3)), "key").limit(sample).distinct()
@@ -235,7 +244,43 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
     own = [np.array(x, dtype=np.int32) for x in found.column(1).to_pylist()]
     ends = np.cumsum([len(x) for x in own], dtype=np.int64)
     flat = np.concatenate(own) if own else np.zeros(0, np.int32)
-    return WindowNetwork(classes, share).fit(flat, ends)
+    return _averaged(picked, WindowNetwork(classes, share).fit(flat, ends))
+
+
+def _averaged(picked: DataFrame, network: WindowNetwork) -> WindowNetwork:
+    """The network after a pass over all texts: every partition trains a copy on its own, and the
+    copies are averaged by their words. One row for each weight reaches the driver."""
+    shared = picked.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, held, words, total = copy.deepcopy(shared.value), {}, [], 0, 0
+        table = WordTable(own.classes.of, 600_000)
+
+        def learn() -> None:
+            own.fit(np.concatenate([c for c, _ in held]), np.concatenate([e for _, e in held]), epochs=1, state=state)
+            held.clear()
+
+        for part in slices(batches, 128):
+            classes, ends = table.look_up(_texts(part, 1))
+            if len(classes):
+                held.append((classes, ends + words))
+                words, total = words + len(classes), total + len(classes)
+            if words >= CHUNK:
+                learn()
+                words = 0
+        if held:
+            learn()
+        if total:
+            flat = np.concatenate([[1.0], *(w.ravel() for w in own.weights())]) * total
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["at", "value"])
+
+    found = picked.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow().sort_by("at")
+    flat, at = found.column("value").to_numpy(), 1
+    if len(flat):
+        for w in network.weights():
+            w[...] = (flat[at : at + w.size] / flat[0]).reshape(w.shape)
+            at += w.size
+    return network
 
 
 _HELD: list[tuple[object, WordTable]] = []
