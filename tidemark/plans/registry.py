@@ -7,7 +7,6 @@ summed as DECIMAL(18,2) so that a result doesn't depend on the order of rows.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import coerce as fn
 from tidemark.operators import flags, ladder, metrics, observations, star
+from tidemark.session import shared_folder
 from tidemark.sources import payloads, tables
 from tidemark.streaming import ingest
 
@@ -39,9 +39,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's checkpoint folder; in a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/tables-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
 
 def day(name: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -42,3 +43,22 @@ def local_session(app: str = "tidemark-local", cpus: int | None = None, memory:
             "spark.ui.showConsoleProgress": "false",
         },
     )
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: what spark.checkpoint.dir names.
+
+    Where it is unset a local master gets a temporary folder, one for each
+    application; on a cluster that is an error, for no other machine would see it."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_FOLDERS[context.applicationId]
