@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -33,6 +34,50 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(own.log_likelihoods(["ab" * 5000, "ü" * 900])).all()
 
 
+def exact_sums(word, prob):
+    """The log of the sum over all segmentations, in exact fractions."""
+    sums = [Fraction(1)] + [Fraction(0)] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - 3), j):
+            if word[i:j] in prob:
+                sums[j] += sums[i] * Fraction(prob[word[i:j]])
+    top = sums[-1]
+    return math.log(top.numerator) - math.log(top.denominator)
+
+
+@pytest.mark.parametrize("n", [30, 31, 32, 33, 64, 120, 1000])
+def test_long_words_have_all_their_segmentations_too(n):
+    prob = np.random.default_rng(2).dirichlet(np.ones(len(PIECES)), 2).T
+    own, word = L.Pieces(PIECES, prob), ("ababcbab" * n)[:n]
+    found = own.log_likelihoods([word, "ab"])
+    for k in range(2):
+        assert found[0, k] == pytest.approx(exact_sums("▁" + word, dict(zip(PIECES, prob[:, k], strict=True))), rel=1e-9)
+    counts = np.zeros(len(PIECES))
+    own.expected(word, 0, 1.0, counts)
+    assert sum(c * len(p) for c, p in zip(counts, PIECES, strict=True)) == pytest.approx(n + 1)  # every character is used once
+
+
+def test_runs_keep_combining_marks_and_part_at_all_else():
+    assert L.letter_runs("don't") == ["don", "t"] and L.letter_runs("x1y") == ["x", "y"] and L.letter_runs("--") == []
+    assert L.letter_runs("हिन्दी") == ["हिन्दी"] and L.letter_runs("ที่นี่") == ["ที่นี่"] and L.letter_runs("Cafe\u0301!") == ["cafe\u0301"]
+
+
+def test_marks_and_apostrophes_count_in_training_as_in_prediction(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("हिन्दी में लिखा है", "hi"), ("ที่นี่ดีมาก", "th"), ("don't you can't", "en")] * 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs, sorted({c for _, t, _ in rows for c in t.lower()} | {"▁"}))
+    asked = spark.createDataFrame([(1, "हिन्दी!"), (2, "ที่นี่"), (3, "Can't"), (4, "\u0301 42")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in L.predict(asked, model).collect()} == {1: "hi", 2: "th", 3: "en", 4: "und"}
+
+
+def test_equal_likelihoods_go_to_the_first_language_and_the_sample_is_bounded_for_each(spark):
+    rows = [(1, "aa bb", "y"), (1, "aa bb", "y"), (2, "aa bb", "x"), (3, "aa bb", "x")] + [(None, "aa bb", "z")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(docs, ["▁", "a", "b"], sample=2)
+    assert model.languages == ["x", "y", "z"] and np.allclose(model.probability, model.probability[:, :1])
+    assert {r.lang_pred for r in L.predict(docs, model).collect()} == {"x"}
+
+
 def test_expected_uses_are_derivatives_of_the_log_likelihood():
     prob = np.random.default_rng(1).dirichlet(np.ones(len(PIECES)), 1).T
     counts = np.zeros(len(PIECES))

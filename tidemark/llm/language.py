@@ -4,9 +4,11 @@ Each language has a probability for every piece of a fixed public vocabulary.
 A word's likelihood in a language is the sum over all ways to cut it into
 pieces of the product of their probabilities, computed by the forward
 algorithm; a text's is the product over its words (no piece spans a space).
-Probabilities are learned by expectation-maximisation from a bounded sample of
-labelled texts: forward and backward sums give the expected number of uses of
-each piece, which Spark adds up over the sample's distinct words.
+Words are runs of letters with their combining marks, in training and
+prediction alike. Probabilities are learned by expectation-maximisation from a
+bounded sample of labelled texts of each language: forward and backward sums
+give the expected number of uses of each piece, which Spark adds up over the
+sample's distinct words.
 """
 
 from __future__ import annotations
@@ -15,19 +17,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices, stored
 from tidemark.llm.words import WordTable, sums_by_text
 
 START = "▁"
-#: Labelled documents that the probabilities are learned from, at most (those with the lowest hash).
-SAMPLE_DOCS = 6000
-#: Words a task takes into its expected counts at a time, EM rounds, and the prior count of a piece.
+#: Labelled documents of each language that the probabilities are learned from, at most (those with the lowest hash).
+SAMPLE_DOCS = 1500
+#: EM rounds, and the prior count of a piece.
 ROUNDS, PRIOR = 3, 0.05
-#: Characters that one forward pass covers; longer words are scored in parts of so many.
-PART = 32
+#: Longest word whose sums are sure to stay within floating point; those of longer ones are kept as logarithms.
+LINEAR = 32
+#: Cells of the forward sums that are held at a time.
+CELLS = 2_000_000
 #: Probability of a character that no piece begins with.
 UNKNOWN = 1e-7
 
@@ -41,12 +47,12 @@ def vocabulary(path: str) -> list[str]:
     return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not odd(i)]
 
 
-def letters(word: str) -> str:
-    """The lower-case letters of a word (combining marks stay with them); empty if it has none."""
-    if word.isalpha():
-        return word.lower()
-    kept = "".join(c for c in word if c.isalpha())
-    return kept.lower()
+_RUN = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
+
+
+def letter_runs(word: str) -> list[str]:
+    """The lower-case runs of letters of a word; combining marks belong to them, all else parts them."""
+    return [word.lower()] if word.isalpha() else _RUN.findall(word.lower())
 
 
 class Pieces:
@@ -79,46 +85,70 @@ class Pieces:
     def log_likelihoods(self, words: list[str]) -> np.ndarray:
         """The log of each word's probability in each language; all segmentations summed.
 
-        The forward sums of all words advance together, a start position at a time."""
-        parts, owner = [], []
-        for k, word in enumerate(words):
-            word = START + word
-            for at in range(0, len(word), PART):
-                parts.append(word[at : at + PART])
-                owner.append(k)
-        found = [self.arcs(p) for p in parts]
-        row = np.repeat(np.arange(len(parts)), [len(x) for x in found])
+        The forward sums of many words advance together, a start position at a time."""
+        out = np.zeros((len(words), self.probability.shape[1]))
+        spelled = [START + w for w in words]
+        order = sorted((i for i, w in enumerate(spelled) if len(w) <= LINEAR), key=lambda i: len(spelled[i]))
+        step = max(1, CELLS // ((LINEAR + 1) * max(1, out.shape[1])))
+        for at in range(0, len(order), step):
+            part = order[at : at + step]
+            out[part] = np.log(self._forward([spelled[i] for i in part]))
+        for i, w in enumerate(spelled):
+            if len(w) > LINEAR:
+                start, stop, piece = self._by_stop(w)
+                out[i] = _log_sums(start, stop, self.logs[piece], len(w))[-1]
+        return out
+
+    def _forward(self, words: list[str]) -> np.ndarray:
+        found = [self.arcs(w) for w in words]
+        row = np.repeat(np.arange(len(words)), [len(x) for x in found])
         start, stop, piece = np.array([x for own in found for x in own], dtype=np.int64).reshape(-1, 3).T
         order = np.argsort(start, kind="stable")
         row, start, stop, piece = row[order], start[order], stop[order], piece[order]
-        longest = max(map(len, parts), default=0)
-        forward = np.zeros((len(parts), longest + 1, self.probability.shape[1]))
+        longest = max(map(len, words), default=0)
+        forward = np.zeros((len(words), longest + 1, self.probability.shape[1]))
         forward[:, 0] = 1.0
         cuts = np.searchsorted(start, np.arange(longest + 1))
         for i in range(longest):
             own = slice(cuts[i], cuts[i + 1])  # a word has at most one arc to each position here
             forward[row[own], stop[own]] += forward[row[own], i] * self.probability[piece[own]]
-        total = np.zeros((len(words), self.probability.shape[1]))
-        np.add.at(total, np.array(owner, dtype=np.int64), np.log(forward[np.arange(len(parts)), [len(p) for p in parts]]))
-        return total
+        return forward[np.arange(len(words)), [len(w) for w in words]]
+
+    def _by_stop(self, word: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, stop, piece = np.array(self.arcs(word), dtype=np.int64).reshape(-1, 3).T
+        order = np.argsort(stop, kind="stable")
+        return start[order], stop[order], piece[order]
 
     def expected(self, word: str, language: int, times: float, counts: np.ndarray) -> None:
         """Adds the expected uses of pieces in times words to counts."""
         word = START + word
-        p = self.columns[language]
-        for at in range(0, len(word), PART):
-            part = word[at : at + PART]
-            n, arcs = len(part), self.arcs(part)
-            forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-            forward[0] = backward[n] = 1.0
-            for i, j, piece in arcs:
-                forward[j] += forward[i] * p[piece]
-            for i, j, piece in reversed(arcs):
-                backward[i] += backward[j] * p[piece]
-            scale = times / forward[n]
-            for i, j, piece in arcs:
-                if piece != self.unknown:
-                    counts[piece] += forward[i] * p[piece] * backward[j] * scale
+        n = len(word)
+        if n > LINEAR:
+            start, stop, piece = self._by_stop(word)
+            logs = self.logs[piece, language][:, None]
+            forward, back = _log_sums(start, stop, logs, n), np.lexsort((-stop, n - start))
+            backward = _log_sums((n - stop)[back], (n - start)[back], logs[back], n)[::-1]
+            uses = times * np.exp(forward[start] + logs + backward[stop] - forward[n])[:, 0]
+            known = piece != self.unknown
+            np.add.at(counts, piece[known], uses[known])
+            return
+        p, arcs = self.columns[language], self.arcs(word)
+        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
+        forward[0] = backward[n] = 1.0
+        for i, j, piece in arcs:
+            forward[j] += forward[i] * p[piece]
+        for i, j, piece in reversed(arcs):
+            backward[i] += backward[j] * p[piece]
+        scale = times / forward[n]
+        for i, j, piece in arcs:
+            if piece != self.unknown:
+                counts[piece] += forward[i] * p[piece] * backward[j] * scale
+
+    @property
+    def logs(self) -> np.ndarray:
+        if not hasattr(self, "_logs"):
+            self._logs = np.log(self.probability)
+        return self._logs
 
     @property
     def columns(self) -> list[list[float]]:
@@ -127,6 +157,18 @@ class Pieces:
         return self._columns
 
 
+def _log_sums(start: np.ndarray, stop: np.ndarray, logs: np.ndarray, n: int) -> np.ndarray:
+    """Logs of the forward sums at positions 0 to n (a column for each language); arcs in the order of stop."""
+    out = np.zeros((n + 1, logs.shape[1]))
+    cuts = np.searchsorted(stop, np.arange(n + 2)).tolist()
+    for j in range(1, n + 1):
+        own = slice(cuts[j], cuts[j + 1])
+        x = out[start[own]] + logs[own]
+        most = x.max(axis=0)
+        out[j] = most + np.log(np.exp(x - most).sum(axis=0))
+    return out
+
+
 class LanguageModel:
     """Languages, pieces and probabilities; pickled to the tasks (vocabulary times languages floats)."""
 
@@ -135,16 +177,19 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, pieces: list[str], *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> LanguageModel:
-    """Probabilities from at most sample rows of docs that have a language and a text.
+    """Probabilities from at most sample rows of each language in docs that have a text.
 
     The words of the sample are counted by language in Spark; each round's
     expected counts are added up there too. Without labelled rows there are no
     languages, and every text is undetermined."""
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    # The sample's keys, at most so many, are sent to the texts; a key that repeats is taken with all its rows.
-    keys = picked.select("key").orderBy(F.xxhash64("key", F.lit(4)), "key").limit(sample).distinct()
-    chosen = picked.join(F.broadcast(keys), "key").select("lang", "text")
-    words = chosen.select("lang", F.explode(F.split(F.lower("text"), "\\P{L}+")).alias("word")).filter("word <> ''")
+    # A hash thins out each language to little more than the sample before its rows are ordered.
+    order = F.xxhash64("key", "text", F.lit(4))
+    sizes = picked.groupBy("lang").agg(F.approx_count_distinct(order).alias("rows"))
+    thin = picked.join(sizes, "lang").filter(F.pmod(order, F.lit(1 << 30)) * F.col("rows") < F.lit(1.5 * sample * (1 << 30)))
+    nth = F.row_number().over(W.partitionBy("lang").orderBy(order, "key"))
+    chosen = thin.withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "text")
+    words = chosen.select("lang", F.explode(F.split(F.lower("text"), "\\s+")).alias("word")).filter("word <> ''")
     counts = stored(words.groupBy("lang", "word").agg(F.count("*").alias("n")))
     languages = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
     if not languages:
@@ -158,8 +203,12 @@ def train(docs: DataFrame, pieces: list[str], *, key: str = "doc_id", text: str
             own = Pieces(*shared.value)
             total = np.zeros(shared.value[1].shape)
             for batch in batches:
+                uses: dict[tuple[str, str], int] = {}
                 for x, word, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                    own.expected(letters(word), column[x], n, total[:, column[x]])
+                    for run in letter_runs(word):
+                        uses[x, run] = uses.get((x, run), 0) + n
+                for (x, run), n in uses.items():
+                    own.expected(run, column[x], n, total[:, column[x]])
             piece, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], names=["piece", "k", "uses"])
 
@@ -190,21 +239,21 @@ def predict(docs: DataFrame, model: LanguageModel, *, key: str = "doc_id", text:
         if id(own) not in _HELD:
             pieces = Pieces(own.pieces, own.probability)
 
-            known: dict[str, np.ndarray] = {}  # by a word's letters
+            known: dict[str, np.ndarray] = {}  # by runs of letters
 
             def describe(words: list[str]) -> np.ndarray:
-                bare = [letters(w) for w in words]
-                fresh = list({w for w in bare if w and w not in known})
+                runs = [letter_runs(w) for w in words]
                 if len(known) > 400_000:
                     known.clear()
-                    fresh = list({w for w in bare if w})
+                fresh = list({r for own in runs for r in own if r not in known})
                 for at in range(0, len(fresh), 4096):
                     some = fresh[at : at + 4096]
                     known.update(zip(some, pieces.log_likelihoods(some), strict=True))
                 out = np.zeros((len(words), len(names) + 1))
-                for row, word in zip(out, bare, strict=True):
-                    if word:
-                        row[0], row[1:] = 1.0, known[word]
+                for row, own in zip(out, runs, strict=True):
+                    for run in own:
+                        row[0] = 1.0
+                        row[1:] += known[run]
                 return out
 
             _HELD.clear()
