@@ -39,6 +39,7 @@ def test_lines(spark):
     cases = {
         "A plain sentence.": True, "": True, "   ": True, "no end": False, "Home | News | Sport | Weather.": False,
         "a b c d e f g h i j # k.": True, "a# b# c# d.": False, "BUY!! NOW!! CHEAP!!": False, "We use cookies to serve you.": False,
+        "We use cookies, " + "which is a plain word in a long paragraph of prose, " * 3 + "here.": True, "Click here, read more. " * 30: False,
         "Wow!! this is a long and calm sentence.": True, "“Quoted.”": True,
     }
     df = spark.createDataFrame(list(enumerate(cases)), "i int, line string").select("i", R.line_passes(F.col("line")).alias("ok"))

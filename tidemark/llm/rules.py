@@ -17,12 +17,13 @@ from tidemark.llm.common import SPACE_CLASS, SPACES, rows_where
 SYMBOLS = "#*$%&|<>"
 #: A line may end in these.
 CLOSING = "[.!?…。！？:;,)\\]»”\"'][\\x20\\x09-\\x0D]*$"
-#: Phrases of lines that frame a page; only lines of few characters are tested.
+#: Phrases of lines that frame a page.
 BOILERPLATE = (
     "(?i)\\b(all rights reserved|terms of (use|service)|privacy policy|cookies?|javascript|lorem ipsum|"
     "licen[sc]ed under|click here|read more|sign (in|up)|log ?in|subscribe|share this|powered by)\\b"
 )
-BOILERPLATE_CHARS = 300
+#: A line fails if such phrases make up this share of its characters, however long it is.
+BOILERPLATE_PERCENT = 10
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: A document that keeps less than this share of its word characters is rejected.
@@ -34,12 +35,14 @@ def line_passes(line: Column) -> Column:
 
     A line fails if it doesn't end in punctuation, is a bar or arrow separated
     list, has a symbol for every five words or more, shouts (a doubled
-    exclamation mark for every third word), or holds a boilerplate phrase."""
+    exclamation mark for every third word), or is made up of boilerplate phrases
+    by a tenth or more."""
     words = F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))
     symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS, ""))
     shouts = (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     separators = F.regexp_count(line, F.lit(" [|>»•·] "))
-    boilerplate = (F.char_length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)
+    rest = F.char_length(F.regexp_replace(line, BOILERPLATE, ""))
+    boilerplate = (F.char_length(line) - rest) * 100 >= F.char_length(line) * BOILERPLATE_PERCENT
     good = line.rlike(CLOSING) & (separators < 3) & (symbols * 5 < words) & (shouts * 3 < words) & ~boilerplate
     return (words == 0) | good
 
@@ -131,7 +134,7 @@ x AS (SELECT doc_id, ws, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) A
                AND len(regexp_extract_all(l, ' [|>»•·] ')) < 3
                AND len(regexp_extract_all(l, '[#*$%&|<>]')) * 5 < len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
                AND len(regexp_extract_all(l, '!!')) * 3 < len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
-               AND NOT (length(l) <= 300 AND regexp_matches(l, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookies?|javascript|lorem ipsum|licen[sc]ed under|click here|read more|sign (in|up)|log ?in|subscribe|share this|powered by)\b'))
+               AND (length(l) - length(regexp_replace(l, '(?i)\b(all rights reserved|terms of (use|service)|privacy policy|cookies?|javascript|lorem ipsum|licen[sc]ed under|click here|read more|sign (in|up)|log ?in|subscribe|share this|powered by)\b', '', 'g'))) * 100 < length(l) * 10
              ), lambda l: length(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')))) AS good_chars
       FROM w),
 y AS (SELECT doc_id, len(ws)::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
