@@ -46,3 +46,24 @@ def test_query(spark, blocks):
     assert T.exact_top_k(df.filter(F.lit(False)), F.col("vec_id") % 20 == 0).count() == 0
     few = T.exact_top_k(df.filter("vec_id < 3"), F.col("vec_id") % 20 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+def test_repeated_queries_ask_once_and_their_rows_are_candidates_of_others(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 1.0]), (0, [0.5, 1.0])] + [(i, [i / 64, 1.0]) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    ask = F.col("vec_id") % 5 == 0
+    out = T.exact_top_k(df, ask, 4, candidates=3, queries=1).orderBy("query_id", "rank").collect()
+    # Query 0 is (32, 64), the smaller of its vectors; query 5 is (5, 64).
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in out[:4]] == [(0, i + 1, 5 - i, 32 * (5 - i) + 4096) for i in range(4)]
+    assert [(r.rank, r.vec_id, r.score) for r in out[4:]] == [(1, 0, 4256), (2, 0, 4256), (3, 4, 4116), (4, 3, 4111)]
+
+
+def test_reading_stops_early_when_few_rows_can_be_among_the_best():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, (20000, 16))
+    v[:30] += 60
+    index, read = T.ImpactIndex(v), []
+    plain_read = index._read
+    index._read = lambda segments, *rest: (read.append(len(segments)), plain_read(segments, *rest))
+    rows, _ = index.top(v[3], 20, np.arange(20000), 3)
+    assert set(rows.tolist()) <= set(range(30)) and len(read) < T.LEVELS and sum(read) < len(index.dim)

@@ -3,12 +3,16 @@
 Rows are cut into candidate blocks and query blocks; each pair of blocks is one
 group of bounded size whatever the ids are. In a group, the candidates'
 components are quantised into bands, and the rows with one dimension's component
-in one band are a posting segment. A query reads segments score at a time:
-those whose band adds most over the dimension's least value come first. Each
-row's accumulator is an upper bound: what it has read, and for each dimension
-not read the best that is left there. The best accumulators' rows are scored
-exactly; a row whose bound is below the k-th of those scores is proven out, and
-all others are rescored exactly.
+in one band are a posting segment. A segment's impact for a query is what its
+band adds at most over the dimension's least value. A query reads segments
+score at a time: by descending quantised impact, one level of impact after
+another. Each row's accumulator is an upper bound: what it has read, and for
+each dimension not read the best that is left there.
+
+After a level the rows with the best accumulators are scored exactly. A row
+whose bound is below the k-th of those scores is proven out for good. Reading
+stops once no rows but k are left, or the exact scores of those left cost less
+than the next level's postings; they are all rescored exactly.
 """
 
 from __future__ import annotations
@@ -19,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 #: Rows of a candidate block and of a query block.
-CANDIDATES, QUERIES = 65536, 512
-#: Integers of a component that share a band.
-BAND = 2
-#: Shares of the postings to read: the second only if the first leaves over a quarter of the rows possible.
-READ = (0.65, 0.85)
+CANDIDATES, QUERIES = 32768, 8192
+#: Integers of a component that share a band, and levels of quantised impact.
+BAND, LEVELS = 2, 8
+#: Postings that one exact score is taken to cost (8 if all rows are scored, 80 if few are picked).
+EXACT_COST = 24
 
 
 class ImpactIndex:
@@ -33,7 +39,9 @@ class ImpactIndex:
     def __init__(self, vectors: np.ndarray, band: int = BAND):
         self.vectors, self.band = vectors, band
         self.most = float(np.abs(vectors).max(initial=0))
-        self.floats = vectors.astype(np.float64) if self.most < 2**53 else None
+        # Floating point for exact scores: of what size their sums have to stay, as long as it is exact.
+        self.exact = 2**24 if self.most < 2**12 else 2**53
+        self.floats = vectors.astype(np.float32 if self.exact == 2**24 else np.float64) if self.most < 2**53 else None
         n, dims = vectors.shape
         bands = np.floor_divide(vectors, band)
         order = np.argsort(bands, axis=0, kind="stable")
@@ -48,48 +56,75 @@ class ImpactIndex:
             self.stop.append(d * n + np.append(cuts[1:], n)[: len(cuts)])
         self.dim, self.level, self.start, self.stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (self.dim, self.level, self.start, self.stop))
 
+        self.first = np.searchsorted(self.dim, np.arange(dims))  # each dimension's first segment
+
     def top(self, query: np.ndarray, k: int, ids: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of the k best candidates, ties to the smaller id; rows with id own take no part."""
         n, dims = self.vectors.shape
-        valid = np.ones(n, dtype=bool) if own is None else ids != own
-        if not valid.any() or k < 1:
+        left = np.arange(n) if own is None else np.nonzero(ids != own)[0]  # rows not proven out
+        if not len(left) or k < 1:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         weight = query[self.dim]
         ends = np.stack([weight * (self.level * self.band), weight * (self.level * self.band + self.band - 1)])
-        least = np.full(dims, np.iinfo(np.int64).max)
-        np.minimum.at(least, self.dim, ends.min(axis=0))
+        least = np.minimum.reduceat(ends.min(axis=0), self.first)
         gain = ends.max(axis=0) - least[self.dim]
-        order = np.argsort(-gain, kind="stable")
-        read = np.cumsum(self.stop[order] - self.start[order])
-        base = int(least.sum())
-        for share in READ:
-            upto = int(np.searchsorted(read, share * read[-1])) + 1
-            # A dimension whose segment of a row is unread adds its best unread gain at most.
-            rest = np.zeros(dims, dtype=np.int64)
-            np.maximum.at(rest, self.dim[order[upto:]], gain[order[upto:]])
-            first = order[:upto]
-            more = gain[first] - rest[self.dim[first]]
-            wide = np.abs(more).sum() > 2**30 or int(rest.sum()) > 2**30
-            bound = np.full(n, rest.sum(), dtype=np.int64 if wide else np.int32)
-            for a, b, g in zip(self.start[first].tolist(), self.stop[first].tolist(), more.tolist(), strict=True):
-                if g:
-                    bound[self.rows[a:b]] += g
-            possible = np.nonzero(valid)[0]
-            if len(possible) > k:
-                some = np.argpartition(np.where(valid, bound, -1), n - min(n, 4 * k))[-4 * k :]
-                some = some[valid[some]]
-                kth = np.sort(self._scores(some, query))[-k] if len(some) >= k else -np.inf
-                possible = np.nonzero(valid & (bound >= kth - base))[0]
-            if len(possible) <= max(4 * k, n // 4):
+        level = gain * LEVELS // (gain.max(initial=0) + 1)
+        base, sizes = int(least.sum()), self.stop - self.start
+        postings, most = np.bincount(level, sizes, LEVELS), np.maximum.reduceat(gain, self.first)
+        # An accumulator holds the sum of what was read, and in its low bits how many dimensions that was.
+        shift = dims.bit_length()
+        wide = int(most.sum()) << shift >= 2**31
+        total = np.zeros(n, dtype=np.int64 if wide else np.int32)
+        # The best so far are looked for once enough was read to tell them from others, and once more later.
+        kth, marks = -np.inf, sorted({k * dims, n})
+        for at in range(LEVELS - 1, -1, -1):
+            if len(left) <= k or len(left) * EXACT_COST <= postings[at]:
                 break
-        scores = self._scores(possible, query)
-        best = np.lexsort((ids[possible], -scores))[:k]
-        return possible[best], scores[best]
+            self._read(np.nonzero(level == at)[0], gain, sizes, shift, total)
+            rest = np.maximum.reduceat(np.where(level < at, gain, 0), self.first)
+            # Of a dimension that nothing was read of, every row has at most the rest; of the
+            # others, a row has at most the largest rests of as many as it was not found in.
+            opened = np.maximum.reduceat(level, self.first) >= at
+            unread = np.concatenate([[0], np.cumsum(np.sort(rest[opened])[::-1])]) + rest[~opened].sum()
+            if marks and postings[at:].sum() >= marks[0]:
+                kth = max(kth, self._kth(left, total[left], query, k))
+                marks = [m for m in marks if m > postings[at:].sum()]
+            # No row's bound is below that of one that nothing was read of.
+            if unread[-1] >= kth - base:
+                continue
+            mine = total[left]
+            bound = (mine >> shift) + unread[opened.sum() - (mine & ((1 << shift) - 1))]
+            kth = max(kth, self._kth(left, bound, query, k))
+            left = left[bound >= kth - base]
+        scores = self._scores(left, query)
+        best = np.lexsort((ids[left], -scores))[:k]
+        return left[best], scores[best]
+
+    def _kth(self, rows: np.ndarray, promise: np.ndarray, query: np.ndarray, k: int) -> float:
+        """The k-th best exact score of the most promising of the rows."""
+        best = rows[np.argpartition(promise, -4 * k)[-4 * k :]] if len(rows) > 4 * k else rows
+        return float(np.sort(self._scores(best, query))[-k]) if len(best) >= k else -np.inf
+
+    def _read(self, segments: np.ndarray, gain: np.ndarray, sizes: np.ndarray, shift: int, total: np.ndarray) -> None:
+        """Adds segments, which lie together in each dimension, to the accumulators."""
+        if not len(segments):
+            return
+        adds = np.repeat(((gain[segments] << shift) + 1).astype(total.dtype), sizes[segments])
+        cuts = np.concatenate([[0], np.nonzero(np.diff(self.dim[segments]))[0] + 1, [len(segments)]])
+        begin = self.start[segments[cuts[:-1]]].tolist()
+        end = self.stop[segments[cuts[1:] - 1]].tolist()
+        at = 0
+        for a, b in zip(begin, end, strict=True):
+            total[self.rows[a:b]] += adds[at : at + b - a]
+            at += b - a
 
     def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Exact inner products; floating point where it is exact."""
-        if self.floats is not None and np.abs(query).sum() * self.most < 2**53:
-            return (self.floats[rows] @ query.astype(np.float64)).astype(np.int64)
+        if self.floats is not None and np.abs(query).sum() * self.most < self.exact:
+            query = query.astype(self.floats.dtype)
+            # Picking rows costs more than scoring them: of many, all are scored.
+            found = self.floats[rows] @ query if 4 * len(rows) < len(self.floats) else (self.floats @ query)[rows]
+            return found.astype(np.int64)
         return self.vectors[rows] @ query
 
 
@@ -123,14 +158,19 @@ def exact_top_k(
     non-finite component, and rows without a key, take no part; vectors of
     unequal length are compared as if filled with zeros. A query with no
     candidate has no rows, one with fewer than k has all. Rows that repeat a
-    key are candidates each, but not of their own key."""
+    key are candidates each, but not of their own key; of queries that repeat
+    a key, the one with the smallest vector asks."""
     usable = rows.filter(F.col(key).isNotNull() & _usable(F.col(vector)))
     both = usable.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    n, n_queries = both.agg(F.count("*"), F.count_if("q")).first()
+    # Numbers of rows deal them evenly, whatever keys or vectors repeat; they hold once they are written.
+    both = stored(both.withColumn("row", F.monotonically_increasing_id()))
+    asked = both.filter("q").groupBy("id").agg(F.min("v").alias("v"))
+    n, n_queries = both.count(), both.filter("q").agg(F.count_distinct("id")).first()[0]
     cands, asks = max(1, -(-n // candidates)), max(1, -(-n_queries // queries))
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    grid = both.select("id", "v", F.lit(False).alias("q"), block(cands, 1).alias("c"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("a")).unionByName(
-        both.filter("q").select("id", "v", "q", F.explode(F.sequence(F.lit(0), F.lit(cands - 1))).alias("c"), block(asks, 2).alias("a"))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    grid = both.select("id", "v", F.lit(False).alias("q"), block("row", cands).alias("c"), every(asks).alias("a")).unionByName(
+        asked.select("id", "v", F.lit(True).alias("q"), every(cands).alias("c"), block("id", asks).alias("a"))
     )
 
     def search(group: pa.Table) -> pa.Table:
