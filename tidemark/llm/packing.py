@@ -26,7 +26,9 @@ from tidemark.llm.byte_bpe import text_encoder
 from tidemark.llm.common import slices
 
 #: Limits of a sequence: tokens, segments, tokens that bear loss.
-LIMITS = (1024, 64, 1023)
+LIMITS = (1024, 16, 960)
+#: One in so many of a document's ids, at its beginning, is its prompt, which bears no loss.
+PROMPT_PART = 8
 GROUP_ROWS = 4096
 
 
@@ -61,35 +63,45 @@ def dot_product_packing(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]
     return bins
 
 
-def close_gaps(bins: list[list[tuple[int, int, int]]], limits: tuple[int, int, int]) -> list[list[tuple[int, int, int]]]:
+def loss_bearing(start: int, length: int, prompt: int) -> int:
+    """Ids of a piece that bear loss: none of the document's prompt, and not the first of the
+    segment, which has no context."""
+    return max(0, start + length - max(start + 1, prompt))
+
+
+def close_gaps(bins: list[list[tuple[int, int, int]]], limits: tuple[int, int, int], prompts: list[int]) -> list[list[tuple[int, int, int]]]:
     """Bins of pieces (row, start, length) after their gaps are filled by cutting.
 
     The emptiest bins give: a gap takes the head of a piece of the bin that
-    holds the least, as long as the limit on segments allows it. What is left
-    of the last bin is cut at powers of two, which need no padding."""
+    holds the least, as far as the limits on segments and loss allow it. What
+    is left of a bin with a gap of over a sixteenth is cut at powers of two,
+    which need no padding. prompts: the length of each row's prompt."""
     tokens, segments, loss = limits
     bins = sorted(bins, key=lambda b: -sum(x[2] for x in b))
     fill = [sum(x[2] for x in b) for b in bins]
     give = len(bins) - 1
     for at in range(len(bins)):
+        borne = sum(loss_bearing(start, length, prompts[row]) for row, start, length in bins[at])
         while at < give and fill[at] < tokens and len(bins[at]) < segments:
             if not bins[give]:
                 give -= 1
                 continue
-            room = min(tokens - fill[at], loss - (fill[at] - len(bins[at])) + 1)
-            if room <= 0:
-                break
-            row, start, length = bins[give].pop()
-            take = min(room, length)
+            row, start, length = bins[give][-1]
+            # The longest head whose ids that bear loss still fit.
+            take = min(tokens - fill[at], max(start + 1, prompts[row]) - start + loss - borne, length)
+            bins[give].pop()
             bins[at].append((row, start, take))
+            borne += loss_bearing(start, take, prompts[row])
             fill[at] += take
             fill[give] -= take
             if take < length:
                 bins[give].append((row, start + take, length - take))
+            if borne >= loss:
+                break
     out = []
     for pieces in (b for b in bins if b):
         total = sum(x[2] for x in pieces)
-        if total == tokens or len(pieces) == segments or tokens - total <= 8:
+        if tokens - total <= tokens // 16 or len(pieces) == segments:
             out.append(pieces)
             continue
         pieces = list(pieces)
@@ -130,11 +142,12 @@ def pack_documents(
     tokenizer is a byte-level BPE file (JSON or ranks) and pattern its split
     pattern. A document's ids are those of its text (a null text counts as
     empty) and end_id. Whole runs of limits[0] ids are sequences of their own; what
-    remains of each document is a vector (tokens, 1, tokens - 1: the first id
-    of a segment has no context and bears no loss) and is packed in its group,
-    cut where that closes a gap. Rows with the same key are separate documents;
-    an empty table gives no pieces; null keys are kept as null. ids=True adds
-    the piece's ids (array of int). Other columns are not read."""
+    remains of each document is a vector (tokens, segments, tokens that bear
+    loss; see loss_bearing and PROMPT_PART) and is packed in its group, cut
+    where that closes a gap; a remainder above the limit on loss is a sequence
+    of its own. Rows with the same key are separate documents, rows equal in
+    all too; an empty table gives no pieces; null keys are kept as null.
+    ids=True adds the piece's ids (array of int). Other columns are not read."""
     tokens = limits[0]
     kept = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_rows))
@@ -149,28 +162,34 @@ def pack_documents(
                 begin = end
                 whole = len(own) // tokens
                 crcs = [_crc(own[i * tokens : (i + 1) * tokens]) for i in range(whole)]
-                rows.append((k, len(own), crcs, own[whole * tokens :].astype("<u2").tobytes(), own[: whole * tokens].tobytes() if ids else None))
+                rows.append((k, len(own), crcs, own[whole * tokens :].tobytes(), own[: whole * tokens].tobytes() if ids else None))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "n", "crcs", "rest", "head"])
+            columns = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, part.column(2)], names=["key", "n", "crcs", "rest", "head", "row"])
 
     def pack(group: pa.Table) -> pa.Table:
         number = group.column("grp")[0].as_py()
         group = group.sort_by([("key", "ascending"), ("n", "ascending"), ("rest", "ascending")])
         keys, ns = group.column("key").to_pylist(), group.column("n").to_pylist()
-        crcs, rest = group.column("crcs").to_pylist(), [np.frombuffer(x, dtype="<u2") for x in group.column("rest").to_pylist()]
+        crcs, rest = group.column("crcs").to_pylist(), [np.frombuffer(x, dtype="<u4") for x in group.column("rest").to_pylist()]
         heads = group.column("head").to_pylist()
         lengths = np.array([len(x) for x in rest])
         rows = np.nonzero(lengths)[0]
-        demand = np.stack([lengths[rows], np.ones(len(rows)), lengths[rows] - 1], axis=1) if len(rows) else np.zeros((0, 3))
-        bins = [[(int(rows[i]), 0, int(lengths[rows[i]])) for i in b] for b in dot_product_packing(demand, np.array(limits))]
+        # Pieces and prompts are counted from where a document's whole runs end.
+        prompts = [max(0, n // PROMPT_PART - (n - int(m))) for n, m in zip(ns, lengths, strict=True)]
+        demand = np.array([(lengths[i], 1, loss_bearing(0, int(lengths[i]), prompts[i])) for i in rows], dtype=np.float64).reshape(-1, 3)
+        fits = demand[:, 2] <= limits[2]
+        alone = [[(int(i), 0, int(lengths[i]))] for i in rows[~fits]]
+        rows = rows[fits]
+        bins = [[(int(rows[i]), 0, int(lengths[rows[i]])) for i in b] for b in dot_product_packing(demand[fits], np.array(limits))]
         out, seq = [], number << 32
         for i, own in enumerate(crcs):
             for j, crc in enumerate(own):
                 piece = np.frombuffer(heads[i], dtype="<u4")[j * tokens : (j + 1) * tokens].tolist() if ids else None
                 out.append((keys[i], j * tokens, tokens, crc, ns[i], seq, 0, piece))
                 seq += 1
-        for own in close_gaps(bins, limits):
+        for own in alone + close_gaps(bins, limits, prompts):
             offset = 0
             for i, start, length in own:
                 piece = rest[i][start : start + length]
@@ -182,9 +201,11 @@ def pack_documents(
         table = pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, cols[:7], strict=True)})
         return table.append_column("ids", pa.array(cols[7], pa.list_(pa.int32()))) if ids else table
 
-    dealt = kept.mapInArrow(cut, "key long, n long, crcs array<long>, rest binary, head binary").withColumn(
-        "grp", F.pmod(F.xxhash64("key", F.crc32("rest")), F.lit(groups))
-    )
+    # The number of a row in its partition parts rows that are equal in all.
+    kept = kept.withColumn("row", F.monotonically_increasing_id())
+    dealt = kept.mapInArrow(cut, "key long, n long, crcs array<long>, rest binary, head binary, row long").withColumn(
+        "grp", F.pmod(F.xxhash64("key", F.crc32("rest"), "row"), F.lit(groups))
+    ).drop("row")
     out = dealt.groupBy("grp").applyInArrow(pack, PIECES + (", ids array<int>" if ids else ""))
     return out.withColumnRenamed("key", key)
 
