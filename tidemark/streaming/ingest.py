@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The keys of the observations' tables.
+KEYS = {
+    "index": ["obs_id"], "listing": ["obs_id"], "offer": ["obs_id", "offer_id"], "buy_now": ["obs_id", "seq"], "quarter": ["obs_id", "period_start"],
+    "year": ["obs_id", "dimension", "year_index", "member"], "breakdown": ["obs_id", "dimension", "member"], "track": ["obs_id", "track_id"],
+}
+
 #: What the binary file source gives.
 FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def append_new(batch: DataFrame, table: str, key: str) -> None:
-    """Appends the rows of batch whose key the table at path table doesn't have: a replayed batch adds nothing."""
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates([key])
+def append_new(batch: DataFrame, table: str, keys: str | Iterable[str], *, within: str | None = None) -> None:
+    """Appends the rows of batch whose keys the table at path table doesn't have: a replayed batch adds nothing.
+
+    Rows with a null in a key can't be told from a replay and are left out. Of
+    rows that repeat a key one is added. within names a column that partitions
+    the table and that a key's rows always share, such as the day of
+    observation: then only the batch's partitions are read, however large the
+    table has grown."""
+    spark, keys = batch.sparkSession, [keys] if isinstance(keys, str) else list(keys)
+    fresh = batch.dropna(subset=keys).dropDuplicates(keys)
     try:
-        fresh = fresh.join(spark.read.parquet(table).select(key), key, "left_anti")
+        have = spark.read.parquet(table)
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    fresh.write.mode("append").parquet(table)
+    else:
+        if within:  # values of a batch's partitions, a row each
+            have = have.join(F.broadcast(fresh.select(within).distinct()), within, "left_semi")
+        fresh = fresh.join(have.select(*keys), keys, "left_anti")
+    writer = fresh.write.mode("append")
+    (writer.partitionBy(within) if within else writer).parquet(table)
+
+
+def append_observations(tables: dict[str, DataFrame], folder: str, observed_at: str = "observed_at") -> None:
+    """Appends the tables of index_observations ("index") and detail_observations, each by its own keys.
+
+    All are partitioned by the day that their observation was made on, which
+    children take from their listing. Loading the same payloads again adds nothing."""
+    days = tables["listing"].select("obs_id", F.to_date(observed_at).alias("observed_on")) if "listing" in tables else None
+    for name, keys in KEYS.items():
+        if name in tables:
+            rows = tables[name]
+            rows = rows.withColumn("observed_on", F.to_date(observed_at)) if observed_at in rows.columns else rows.join(days, "obs_id")
+            append_new(rows, f"{folder}/{name}", keys, within="observed_on")
 
 
 def ingest_files(spark: SparkSession, folder: str, table: str, checkpoint: str, parse: Callable[[DataFrame], DataFrame], key: str = "obs_id", files_per_batch: int = 1000) -> None:
