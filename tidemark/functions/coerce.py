@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: What counts as a number in a payload: no suffixes, no words, no underscores.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
+#: A full date, alone or with a time of day and a zone.
+INSTANT = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?([zZ]|[+-]\d{2}(:?\d{2})?)?)?$"
+
 # Fixed values of the domain: terms, fee schedule.
 PERPETUAL_TERM, FIXED_RETURN_TERM = "life_of_rights", "fixed_return"
 MINIMUM_FEE, FEE_RATE = 500.0, 0.01
@@ -26,8 +29,10 @@ def to_integer(text: Column) -> Column:
 
 
 def to_timestamp(text: Column) -> Column:
-    """An instant from ISO-8601 text (Z or offset or none: UTC); null if malformed."""
-    return F.when(F.trim(text) != "", text.try_cast("timestamp"))
+    """An instant from ISO-8601 text with a full date (Z or offset or none: UTC); null if malformed.
+
+    Short forms that a cast would fill up with today's date or the year's first day are malformed."""
+    return F.when(text.rlike(INSTANT), text.try_cast("timestamp"))
 
 
 def to_day(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.coerce import to_day, to_integer, to_number, to_timestamp
+from tidemark.sources.tables import write_tables
 
 #: Version of these rules, stamped on every observation.
 PARSER_VERSION = "1"
@@ -60,6 +61,11 @@ def _list(text: Column) -> Column:
     return F.coalesce(F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
+def _array_text(text: Column) -> Column:
+    """The JSON text of an array, its elements as they are; "[]" for anything else."""
+    return F.when(F.trim(text).startswith("["), text).otherwise("[]")
+
+
 #: Objects that paths lead through, outer ones first; each is parsed once into a column.
 OBJECTS = ["deal", "asset", "display_state", "valuation_description", "valuation", "valuation.top_earnings_by_year"]
 
@@ -116,25 +122,30 @@ def index_observations(pages: DataFrame, payload: str = "payload", observed_at:
     fields += [f(m[k]).alias(k) for f, keys in ((to_number, INDEX_NUMBER), (to_integer, INDEX_INTEGER), (to_timestamp, INDEX_TIME)) for k in keys]
     known = [*INDEX_TEXT, *INDEX_FLAG, *INDEX_NUMBER, *INDEX_INTEGER, *INDEX_TIME, "listing_id", "tags"]
     out = rows.select(
-        to_integer(m["listing_id"]).alias("listing_id"), "observed_at", "content_sha256", *fields, F.to_json(_list(m["tags"])).alias("tags"), _remainder(m, known).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version")
+        to_integer(m["listing_id"]).alias("listing_id"), "observed_at", "content_sha256", *fields, _array_text(m["tags"]).alias("tags"), _remainder(m, known).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version")
     )
     return out.filter("listing_id IS NOT NULL").select(F.xxhash64("content_sha256", "listing_id").alias("obs_id"), "*")
 
 
-def detail_observations(payloads: DataFrame, payload: str = "payload", observed_at: str = "observed_at") -> dict[str, DataFrame]:
+def detail_observations(payloads: DataFrame, payload: str = "payload", observed_at: str = "observed_at", *, folder: str | None = None) -> dict[str, DataFrame]:
     """The tables of a listing's detail payload: listing, offer, buy_now, quarter, year, breakdown, track.
 
     Payloads without an integer id are in "rejected". Of child rows with the same
-    key the last in the payload stays."""
+    key the last in the payload stays. With a folder the payloads' outer objects
+    are parsed once into a table there that all of these read; without one each
+    table parses the payloads for itself."""
     base = payloads.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.col(payload).alias("payload"), _object(F.col(payload)).alias("m"))
     base = base.withColumn("listing_id", to_integer(F.col("m")["id"])).withColumn("obs_id", F.xxhash64("content_sha256", "listing_id"))
-    good, m = _with_objects(base.filter("listing_id IS NOT NULL")), F.col("m")
+    base = _with_objects(base)
+    if folder:
+        base = write_tables({"parsed": base}, folder)["parsed"]
+    good, m = base.filter("listing_id IS NOT NULL"), F.col("m")
     fields = [_dig(p).alias(c) for c, p in DETAIL_TEXT.items()]
     fields += [f(_dig(p)).alias(c) for f, paths in ((_flag, DETAIL_FLAG), (to_number, DETAIL_NUMBER), (to_integer, DETAIL_INTEGER), (to_timestamp, DETAIL_TIME)) for c, p in paths.items()]
     payor = lambda x: F.struct(*[_object(x)[k].alias(k) for k in ("name", "display_name", "kind")])
     consumed = [*NESTED, *DETAIL_TEXT, *DETAIL_FLAG, *DETAIL_NUMBER, *DETAIL_INTEGER, *DETAIL_TIME]
     listing = good.select(
-        "obs_id", "listing_id", "observed_at", "content_sha256", *fields, F.to_json(_list(m["tags"])).alias("tags"), F.to_json(_list(m["media_urls"])).alias("media_urls"),
+        "obs_id", "listing_id", "observed_at", "content_sha256", *fields, _array_text(m["tags"]).alias("tags"), _array_text(m["media_urls"]).alias("media_urls"),
         F.to_json(F.transform(_list(_dig("asset.royalty_payors")), payor)).alias("royalty_payors"), _remainder(m, consumed).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version"),
     )
 
@@ -142,6 +153,10 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
         rows = good.select("obs_id", "listing_id", F.posexplode(elements).alias("seq", "_e")).withColumn("e", _object(F.col("_e")))
         return rows.select("obs_id", "listing_id", F.col("seq").cast("long").alias("seq"), *columns)
 
+    # An id of the number 0, false or an empty container is none; the text "0" is one.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col("_e")), "$.id", "variant"))
+    falsy = (kind != "STRING") & ((to_number(F.col("e")["id"]) == 0) | F.col("e")["id"].isin("false", "[]", "{}"))
+
     def last(df: DataFrame, *keys: str) -> DataFrame:
         row = F.struct(*[df[c] for c in df.columns if c != "seq"])
         return df.groupBy("obs_id", *keys).agg(F.max_by(row, "seq").alias("_row")).select("_row.*")
@@ -166,7 +181,7 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     years = years.withColumn("year_index", to_integer(F.replace(e["year"], F.lit("year_"), F.lit("")))).filter("year_index IS NOT NULL")
     years = years.select("obs_id", "listing_id", "dimension", "year_index", F.col("row").alias("seq"), F.explode(F.map_filter("e", lambda k, v: k != "year")).alias("member", "_a")).withColumn("amount", to_number(F.col("_a"))).drop("_a")
     mix = dimensioned("valuation", LTM_DIMENSIONS).select("obs_id", "listing_id", F.col("row").alias("seq"), "dimension", F.coalesce(e["name"], F.lit("None")).alias("member"), to_number(e["earnings"]).alias("amount"), to_integer(e["track_count"]).alias("track_count"))
-    tracks = children(_list(_dig("valuation.track_list")), e["id"].alias("track_id"), F.nullif(e["parent_id"], F.lit("")).alias("parent_track_id"), e["title"].alias("title"))
+    tracks = children(_list(_dig("valuation.track_list")), e["id"].alias("track_id"), F.nullif(e["parent_id"], F.lit("")).alias("parent_track_id"), e["title"].alias("title"), F.coalesce(falsy, F.lit(False)).alias("falsy"))
     return {
         "listing": listing,
         "offer": last(offers.filter("offer_id IS NOT NULL"), "offer_id"),
@@ -174,6 +189,6 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
         "quarter": last(quarters, "period_start"),
         "year": last(years, "dimension", "year_index", "member"),
         "breakdown": last(mix, "dimension", "member"),
-        "track": last(tracks.filter("track_id IS NOT NULL AND track_id NOT IN ('', '0', 'false')"), "track_id"),
+        "track": last(tracks.filter("track_id IS NOT NULL AND track_id <> '' AND NOT falsy").drop("falsy"), "track_id"),
         "rejected": base.filter("listing_id IS NULL").select("content_sha256", "observed_at", "payload"),
     }
