@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import coerce as fn
 from tidemark.operators import metrics, star
 from tidemark.sources import landing, payloads
+from tidemark.streaming import ingest
 from tidemark.streaming.ingest import ingest_files
 
 AT = dt.datetime(2024, 5, 1)
@@ -134,8 +135,14 @@ def test_landing_and_stream(spark, tmp_path):
     df = spark.createDataFrame([(page(INDEX),), (page(INDEX),), (page([]),)], "payload string")
     assert landing.land(df, folder).count() == 2
     landing.land(df, folder)
-    texts = landing.payload_texts(spark, folder)
-    assert texts.count() == 2
+    many = json.dumps({"a": [1, 2], "b": "x"}, indent=2) + "\n"  # lines, and one at the end
+    for _ in range(2):
+        landing.land(spark.createDataFrame([(many,), (None,), (page([]),)], "payload string"), folder)
+    assert sorted(r.payload for r in landing.landed(spark, folder).collect()) == sorted([page(INDEX), page([]), many])
+    files = tmp_path / "files" / "a"
+    files.mkdir(parents=True)
+    (files / "x.json").write_text(many)
+    assert [r.payload for r in landing.payload_files(spark, str(files.parent)).collect()] == [many]
     plain = tmp_path / "plain"
     plain.mkdir()
     (plain / "a.json").write_text(page(INDEX))
@@ -149,5 +156,60 @@ def test_landing_and_stream(spark, tmp_path):
     csv.write_text(",".join(landing.EXPORT_COLUMNS) + "\r\n" + ",".join("2024" if x == "distribution_year" else "-1.25" if x == "payable_amount" else "" for x in landing.EXPORT_COLUMNS) + "\r\n")
     row = landing.earnings_export(spark, str(csv)).first()
     assert row.distribution_year == 2024 and float(row.payable_amount) == -1.25
+    manifest = str(tmp_path / "manifest")
+    fetch = spark.createDataFrame([("u", 200), ("v", 404)], "url string, http_status int")
+    assert landing.append_manifest(fetch, manifest).select("fetch_id").distinct().count() == 2 == spark.read.parquet(manifest).count()
     made = landing.manifest_rows(spark.createDataFrame([("u", 200)], "url string, http_status int"))
     assert made.columns == [x.split()[0] for x in landing.MANIFEST.split(", ")]
+
+
+def test_appends_take_every_child_once_and_no_null_key(spark, tables, tmp_path):
+    _, obs = tables
+    for _ in range(2):
+        ingest.append_observations(obs, str(tmp_path))
+    for name in ingest.KEYS:
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == obs[name].count() > 0, name
+    table = str(tmp_path / "keyed")
+    batch = spark.createDataFrame([(None, 1), (None, 2), (3, 4), (3, 4)], "k int, v int")
+    for _ in range(2):
+        ingest.append_new(batch, table, "k")
+    assert [(r.k, r.v) for r in spark.read.parquet(table).collect()] == [(3, 4)]
+
+
+def test_parsed_once_or_for_each_table_is_the_same(spark, tables, tmp_path):
+    details = spark.createDataFrame([(detail(), AT), ("not json", AT), (detail(id=7, deal=None, asset="x"), AT)], "payload string, observed_at timestamp")
+    one, each = payloads.detail_observations(details, folder=str(tmp_path)), payloads.detail_observations(details)
+    for name, df in each.items():
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, one[name].collect())), name
+    for df in one.values():
+        assert df._jdf.queryExecution().toString().count("payload") < 40  # plans start from what was parsed
+    stored = star.rebuild(tables[1], F.lit(AT).cast("timestamp"), folder=str(tmp_path / "star"))
+    for name, df in star.rebuild(tables[1], F.lit(AT).cast("timestamp")).items():
+        assert sorted(map(repr, df.collect())) == sorted(map(repr, stored[name].collect())), name
+
+
+def test_arrays_stay_as_they_are_and_short_instants_are_none(spark):
+    tracks = [{"id": "0", "title": "text"}, {"id": 0}, {"id": 0.0}, {"id": False}, {"id": ""}, {"id": None}, {"id": []}, {"id": 8}]
+    one = detail(tags=[1, "x", None, {"a": 1.5}], media_urls=[{"url": "u"}], published_date="12:30", valuation={"track_list": tracks})
+    obs = payloads.detail_observations(spark.createDataFrame([(one, AT), (detail(id=2, tags="x", media_urls=None), AT)], "payload string, observed_at timestamp"))
+    first, second = obs["listing"].orderBy("listing_id").collect()
+    assert json.loads(first.tags) == [1, "x", None, {"a": 1.5}] and json.loads(first.media_urls) == [{"url": "u"}] and first.published_date is None
+    assert (second.tags, second.media_urls) == ("[]", "[]")
+    assert sorted(r.track_id for r in obs["track"].filter("listing_id = 1").collect()) == ["0", "8"]
+    values = ["12:30", "2024", "2024-05", "2024-05-01", "2024-05-01T10:20:30.5Z", "2024-05-01 10:20:30+02:00", "2024-13-01", "x", "", None]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", fn.to_timestamp(F.col("v")).cast("string").alias("t")).orderBy("i")
+    assert [r.t for r in df.collect()] == [None] * 3 + ["2024-05-01 00:00:00", "2024-05-01 10:20:30.5", "2024-05-01 08:20:30"] + [None] * 4
+
+
+def test_repeat_sales_and_reconciliation_from_observations(spark):
+    pages = spark.createDataFrame([(page([{"listing_id": i, "deal_date": f"202{i}-01-01T00:00:00Z"} for i in (1, 2, 3)]), AT)], "payload string, observed_at timestamp")
+    three = [detail(id=i, asset={"id": 50}, deal={"id": 12, "amount": 1000 * i}) for i in (1, 2, 3)]
+    wrong = detail(id=4, offers=[], offers_received_count=2, unique_bidder_count=1, valuation={"ltm": 1, "lifetime_amount": 9, "earnings_by_region": []})
+    details = spark.createDataFrame([(x, AT) for x in [*three, wrong]], "payload string, observed_at timestamp")
+    obs = payloads.detail_observations(details)
+    out = star.rebuild({"index": payloads.index_observations(pages), **obs}, F.lit(AT).cast("timestamp"))
+    sales = out["v_repeat_sales"].select("first_sale", "later_sale", "price_ratio", "n_sold_listings").collect()
+    assert sorted(map(tuple, sales)) == [(1, 2, 2.0, 4), (1, 3, 3.0, 4), (2, 3, 1.5, 4)]
+    found = {r.listing_id: (r.problems, r.reconciles) for r in metrics.reconcile_observations(obs["listing"], obs["offer"], obs["quarter"]).collect()}
+    assert found[4] == (["no periods"], False)
+    assert found[1] == (["last four periods 241.00, trailing year 100.00"], False)  # 241 is within 2 % of 240

@@ -70,12 +70,13 @@ def spike_excess(df: DataFrame, entity: str, amount: str, z: float = SPIKE_Z) ->
     )
 
 
-def normalise(df: DataFrame, raw: str, spike: str, panel_total: str, share: str, prior: str) -> DataFrame:
-    """df with normalized, excess, method and confidence, by the best evidence there is.
+def normalise(df: DataFrame, raw: str, spike: str, panel_total: str, share: str, prior: str, *, n_spikes: str | None = None, median: str | None = None) -> DataFrame:
+    """df with normalized, excess, method, confidence and detail, by the best evidence there is.
 
     spike: excess of spikes, null without a panel that has such income;
     panel_total: the panel's sum; share: share of such income in the mix, null
-    if the mix doesn't say; prior: the total of the year before."""
+    if the mix doesn't say; prior: the total of the year before. n_spikes and
+    median, where given, are named in detail."""
     r, s, t, x, p = (F.col(c) for c in (raw, spike, panel_total, share, prior))
     capped = F.greatest(x - SHARE_CAP, F.lit(0.0))
     lifted = (p > 0) & (r / F.nullif(p, F.lit(0.0)) - 1 > MAX_LIFT)
@@ -93,7 +94,34 @@ def normalise(df: DataFrame, raw: str, spike: str, panel_total: str, share: str,
             out = F.when(when, value).otherwise(out)
         return out
 
-    return df.withColumns({"normalized": pick(0, r), "excess": pick(1, F.lit(0.0)), "method": pick(2, F.lit("none")), "confidence": pick(3, F.lit("low"))})
+    percent = lambda x, form="%.0f%%": F.format_string(form, x * 100)
+    trimmed = F.format_string("%d spikes trimmed to the median of %,.0f", n_spikes, median) if n_spikes and median else F.lit("spikes trimmed to their median")
+    cap = F.format_string("%.0f%%", F.lit(SHARE_CAP * 100))
+    detail = (
+        F.when(s.isNotNull(), trimmed)
+        .when(x > SHARE_CAP, F.concat(F.lit("share of "), percent(x), F.lit(" capped at "), cap))
+        .when(x.isNotNull(), F.concat(F.lit("share of "), percent(x), F.lit(" is within the cap")))
+        .when(lifted, F.concat(percent(r / F.nullif(p, F.lit(0.0)) - 1, "%+.0f%%"), F.lit(" on the year before, by one-off income or growth")))
+        .otherwise("too little detail to normalise")
+    )
+    return df.withColumn("detail", detail).withColumns({"normalized": pick(0, r), "excess": pick(1, F.lit(0.0)), "method": pick(2, F.lit("none")), "confidence": pick(3, F.lit("low"))})
+
+
+def normalise_panels(listings: DataFrame, monthly: DataFrame, mix: DataFrame, key: str, *, raw: str, prior: str, source: str = "source_type", amount: str = "amount", member: str = "member", one_off: str = "sync", z: float = SPIKE_Z) -> DataFrame:
+    """listings (key, raw, prior) normalised from their monthly panels and income mixes.
+
+    monthly: key, source, amount; a null source is no one-off income. mix: key,
+    member, amount; it says something if it has one-off income at all and sums
+    above 0. All three may lack keys of the others. See normalise for the columns added."""
+    spikes = spike_excess(monthly.filter(F.col(source).eqNullSafe(F.lit(one_off))), key, amount, z)
+    spikes = spikes.select(key, F.col("median").alias("_median"), "n_spikes", F.col("excess").alias("_spike"))
+    panel = monthly.groupBy(key).agg(money_sum(F.col(amount)).alias("_panel"))
+    own = F.col(member) == one_off
+    parts = mix.groupBy(key).agg(money_sum(F.coalesce(amount, F.lit(0.0))).alias("_all"), money_sum(F.when(own, F.coalesce(amount, F.lit(0.0)))).alias("_own"), F.count_if(own).alias("_has"))
+    share = F.when((F.col("_has") > 0) & (F.col("_all") > 0), ratio(F.coalesce("_own", F.lit(0.0)), F.col("_all")))
+    both = listings.join(panel, key, "left").join(spikes, key, "left").join(parts, key, "left").withColumn("_share", share)
+    found = normalise(both, raw, "_spike", "_panel", "_share", prior, n_spikes="n_spikes", median="_median")
+    return found.drop("_panel", "_spike", "_median", "_all", "_own", "_has", "_share", "n_spikes")
 
 
 def reconcile(totals: DataFrame, *, lifetime: str, ltm: str, panel: str, last4: str, n_periods: str, offers: str, n_offers: str, buyers: str, n_buyers: str, tol: float = TOLERANCE) -> DataFrame:
@@ -124,3 +152,21 @@ def panel_totals(panel: DataFrame, entity: str, period: str, amount: str) -> Dat
     ranked = panel.withColumn("_rn", rank)
     value = F.coalesce(F.col(amount), F.lit(0.0))
     return ranked.groupBy(entity).agg(F.count("*").alias("n_periods"), money_sum(value).alias("panel_total"), money_sum(F.when(F.col("_rn") <= 4, value)).alias("last4_total"))
+
+
+def observation_totals(listing: DataFrame, offer: DataFrame, quarter: DataFrame) -> DataFrame:
+    """What reconcile compares, for every parsed listing: its own figures and those of its offers and quarters."""
+    bids = offer.groupBy("obs_id").agg(F.count("*").alias("n_offers"), F.count_distinct("buyer_id").alias("n_buyers"))
+    panel = panel_totals(quarter, "obs_id", "period_start", "total")
+    own = listing.select("obs_id", "listing_id", "lifetime_amount", "ltm", "offers_received_count", "unique_bidder_count")
+    both = own.join(panel, "obs_id", "left").join(bids, "obs_id", "left")
+    return both.withColumns({x: F.coalesce(x, F.lit(0)) for x in ("n_offers", "n_buyers", "n_periods")})
+
+
+def reconcile_observations(listing: DataFrame, offer: DataFrame, quarter: DataFrame, tol: float = TOLERANCE) -> DataFrame:
+    """obs_id, listing_id, problems and reconciles (whether there are none) of every parsed listing."""
+    found = reconcile(
+        observation_totals(listing, offer, quarter), lifetime="lifetime_amount", ltm="ltm", panel="panel_total", last4="last4_total", n_periods="n_periods",
+        offers="offers_received_count", n_offers="n_offers", buyers="unique_bidder_count", n_buyers="n_buyers", tol=tol,
+    )
+    return found.select("obs_id", "listing_id", "problems", (F.size("problems") == 0).alias("reconciles"))

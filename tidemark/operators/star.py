@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.coerce import DAYS_PER_QUARTER, buyer_fee, is_partial_share, quarters_between, ratio, safe_corr, term_family, term_years, years_between
 from tidemark.operators.flags import Rule, count_severity, flag_rows
 from tidemark.operators.ladder import rank_ladder, summarise_ladder, winning
+from tidemark.operators.metrics import share_of_total
 from tidemark.operators.observations import latest_observation
+from tidemark.sources.tables import write_tables
 
 c = F.col
 
@@ -104,8 +106,7 @@ def fact_earnings_panel(det: DataFrame, quarters: DataFrame, dim: DataFrame) ->
 
 def fact_source_mix(det: DataFrame, breakdown: DataFrame) -> DataFrame:
     kept = breakdown.drop("listing_id").join(det.select("obs_id", "listing_id"), "obs_id")
-    total = F.sum("amount").over(W.partitionBy("listing_id", "dimension"))
-    return kept.select("listing_id", "dimension", "member", "amount", ratio(c("amount"), total).alias("share"))
+    return share_of_total(kept, ["listing_id", "dimension"], "amount").select("listing_id", "dimension", "member", "amount", "share")
 
 
 def dim_asset(dim: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -173,17 +174,23 @@ def repeat_sales(assets: DataFrame, frame: DataFrame) -> DataFrame:
     return pairs.join(assets.select("asset_id", "n_sold_listings"), "asset_id")
 
 
-def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bool = False) -> dict[str, DataFrame]:
-    """All analytic tables and views from obs_index and the tables of detail_observations."""
+def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bool = False, folder: str | None = None) -> dict[str, DataFrame]:
+    """All analytic tables and views from obs_index and the tables of detail_observations.
+
+    With a folder the tables that feed several others (latest observations,
+    dim_listing, fact_offer, fact_outcome, fact_earnings_panel) are written there
+    once and read back, so that writing all outputs computes each of them once."""
+
+    def keep(**tables: DataFrame) -> list[DataFrame]:
+        return list((write_tables(tables, folder) if folder else tables).values())
+
     det = latest_observation(observations["listing"], "listing_id", "observed_at", "obs_id")
     idx = latest_observation(observations["index"], "listing_id", "observed_at", "obs_id")
-    dim = dim_listing(idx, det, as_of)
-    offers = fact_offer(det, observations["offer"])
-    outcomes = fact_outcome(dim, det, idx, offers, all_access=all_access)
-    panel = fact_earnings_panel(det, observations["quarter"], dim)
-    flags = quality_flags(dim, outcomes, panel, as_of)
-    frame = pricing_frame(dim, outcomes, flags)
-    assets = dim_asset(dim, outcomes)
+    det, idx = keep(latest_listing=det, latest_index=idx)
+    dim, offers = keep(dim_listing=dim_listing(idx, det, as_of), fact_offer=fact_offer(det, observations["offer"]))
+    outcomes, panel = keep(fact_outcome=fact_outcome(dim, det, idx, offers, all_access=all_access), fact_earnings_panel=fact_earnings_panel(det, observations["quarter"], dim))
+    flags, assets = keep(data_quality_flag=quality_flags(dim, outcomes, panel, as_of), dim_asset=dim_asset(dim, outcomes))
+    (frame,) = keep(v_pricing_frame=pricing_frame(dim, outcomes, flags))
     return {
         "dim_listing": dim, "fact_offer": offers, "fact_outcome": outcomes, "fact_earnings_panel": panel, "fact_source_mix": fact_source_mix(det, observations["breakdown"]), "dim_asset": assets,
         "data_quality_flag": flags, "v_pricing_frame": frame,

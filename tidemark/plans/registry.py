@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import coerce as fn
 from tidemark.operators import flags, ladder, metrics, observations, star
 from tidemark.session import shared_folder
-from tidemark.sources import payloads, tables
+from tidemark.sources import landing, payloads, tables
 from tidemark.streaming import ingest
 
 QUERIES = {}
@@ -118,10 +118,9 @@ def bids(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", (c("l_extendedprice") == best).alias("won"))
 
 
-LADDER = """b AS (SELECT l_orderkey, l_suppkey, l_extendedprice, l_extendedprice = max(l_extendedprice) OVER (PARTITION BY l_orderkey) AS won FROM lineitem),
-w AS (SELECT l_orderkey, min(l_suppkey) FILTER (won) AS winner FROM b GROUP BY 1),
-ladder AS (SELECT l_orderkey, any_value(winner) AS winner, max(l_extendedprice) FILTER (NOT won) AS second_price, min(l_extendedprice) AS opening_price,
-  count(*) FILTER (l_suppkey = winner) AS n_bids_by_winner, count(*) AS n_bids FROM b JOIN w USING (l_orderkey) GROUP BY 1)"""
+LADDER = """bids AS (SELECT l_orderkey, list(struct_pack(s := l_suppkey, a := l_extendedprice)) AS bids, max(l_extendedprice) AS top FROM lineitem GROUP BY 1),
+ladder AS (SELECT l_orderkey, list_min([b.s for b in bids if b.a = top]) AS winner, list_max([b.a for b in bids if b.a < top]) AS second_price, list_min([b.a for b in bids]) AS opening_price,
+  len([b for b in bids if b.s = list_min([x.s for x in bids if x.a = top])])::BIGINT AS n_bids_by_winner, len(bids)::BIGINT AS n_bids FROM bids)"""
 
 
 @query(f"WITH {LADDER} SELECT * FROM ladder")
@@ -400,13 +399,13 @@ def json_unpivot(spark, sf):
 
 
 def index_payloads(spark, sf) -> DataFrame:
-    """Orders as index pages of JSON: numbers as texts, some ids missing, an unknown nested key."""
+    """Orders as index pages of JSON, at most 60 a page: numbers as texts, some ids missing, an unknown nested key, arrays of anything."""
     o = table(spark, sf, "orders")
     row = F.struct(
         F.when(c("o_orderkey") % 10 != 0, c("o_orderkey")).alias("listing_id"), c("o_orderpriority").alias("title"), c("o_totalprice").cast("string").alias("ltm"), (c("o_custkey")).alias("seller_id"), (c("o_orderkey") % 2 == 0).alias("is_nft"),
         F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("deal_date"), F.when(c("o_orderkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).alias("tags"), F.struct(c("o_orderstatus").alias("s")).alias("novel"),
     )
-    page = o.groupBy((c("o_orderkey") % 997).alias("page")).agg(F.sort_array(F.collect_list(row)).alias("results"))
+    page = o.groupBy(F.expr("o_orderkey div 60").alias("page")).agg(F.sort_array(F.collect_list(row)).alias("results"))
     return page.select("page", F.to_json(F.struct("results", F.lit("next").alias("next"), F.lit(7).alias("count"))).alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
 
 
@@ -417,27 +416,32 @@ def index_parse(spark, sf):
     return found.select("listing_id", "title", "ltm", "seller_id", "is_nft", day("deal_date").cast("string").alias("deal_day"), "tags", "raw_extra")
 
 
-@query("""SELECT o_orderkey % 997 AS page, count(*) FILTER (o_orderkey % 10 <> 0) AS n, 7::BIGINT AS count, 'next' AS next_url FROM orders GROUP BY 1""")
+@query("""SELECT o_orderkey // 60 AS page, count(*) FILTER (o_orderkey % 10 <> 0) AS n, 7::BIGINT AS count, 'next' AS next_url FROM orders GROUP BY 1""")
 def metadata_default(spark, sf):
     pages = index_payloads(spark, sf)
-    found = F.from_json(F.get_json_object("payload", "$.results"), "array<struct<listing_id: bigint>>")["listing_id"]
-    ids = pages.select("page", F.explode(found).alias("id")).groupBy("page").agg(F.count("id").alias("n"))
-    return ids.join(payloads.index_pages(pages).select("page", "count", "next_url"), "page")
+    ids = payloads.index_listing_ids(pages).groupBy(F.expr("listing_id div 60").alias("page")).agg(F.count("*").alias("n"))
+    named = payloads.index_pages(pages).select("page", "count", "next_url").join(ids, "page", "left")
+    return named.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def detail_payloads(spark, sf, *, deals: bool = False) -> DataFrame:
-    """Orders with their lines as detail payloads of JSON; with deals, two of three have sold to their highest line."""
+    """Orders with their lines as detail payloads of JSON; with deals, two of three have sold to their
+    highest line, and there are assets, income mixes, lifetime totals and counts."""
     lines = table(spark, sf, "lineitem")
     offer = F.struct("l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber")
     per = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(offer)).alias("ls"))
     offers = F.transform("ls", lambda x: F.struct(F.when(x["l_partkey"] % 9 != 0, x["l_partkey"]).alias("id"), x["l_suppkey"].alias("buyer_id"), x["l_extendedprice"].cast("string").alias("amount"), F.lit("open").alias("state")))
     quarter = lambda x: F.array(F.concat(F.lit('"2020-0'), (x["l_linenumber"]).cast("string"), F.lit('-01"')), F.to_json(F.struct(x["l_extendedprice"].alias("total"))))
     region = F.concat(F.lit("["), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("["), F.array_join(quarter(x), ","), F.lit("]"))), ","), F.lit("]"))
-    text = F.concat(F.lit('{"id":'), c("l_orderkey").cast("string"), F.lit(',"offers":'), F.to_json(offers), F.lit(',"valuation":{"ltm":"12.5","earnings_by_region":'), region, F.lit("}}"))
+    mix = F.to_json(F.transform("ls", lambda x: F.struct(F.concat(F.lit("s"), (x["l_suppkey"] % 3).cast("string")).alias("name"), x["l_extendedprice"].alias("earnings"))))
+    total = F.aggregate("ls", F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + x["l_extendedprice"].cast("decimal(18,2)")).cast("decimal(18,2)"))
+    more = F.concat(F.lit(',"top_sources":'), mix, F.lit(',"lifetime_amount":"'), F.when(c("l_orderkey") % 4 == 0, total * 2).otherwise(total).cast("string"), F.lit('"')) if deals else F.lit("")
+    text = F.concat(F.lit('{"id":'), c("l_orderkey").cast("string"), F.lit(',"offers":'), F.to_json(offers), F.lit(',"valuation":{"ltm":"12.5","earnings_by_region":'), region, more, F.lit("}}"))
     best = F.array_max(F.transform("ls", lambda x: F.struct(x["l_extendedprice"].alias("amount"), x["l_partkey"].alias("id"))))
     if deals:
         deal = F.when(c("l_orderkey") % 3 != 0, F.concat(F.lit(',"deal":'), F.to_json(best), F.lit("}"))).otherwise("}")
-        text = F.concat(F.left(text, F.length(text) - 1), deal)
+        asset = F.concat(F.lit(',"asset":{"id":'), (c("l_orderkey") % 500).cast("string"), F.lit('},"offers_received_count":'), F.size("ls").cast("string"))
+        text = F.concat(F.left(text, F.length(text) - 1), asset, deal)
     return per.select(text.alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
 
 
@@ -455,16 +459,18 @@ def detail_parse_quarters(spark, sf):
 REBUILT = """WITH o AS (SELECT l_orderkey AS k, l_partkey AS p, max(struct_pack(s := l_suppkey, a := l_extendedprice)).a AS a FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1, 2),
 d AS (SELECT l_orderkey AS k, CASE WHEN l_orderkey % 3 <> 0 THEN max(struct_pack(a := l_extendedprice, p := l_partkey)) END AS d FROM lineitem GROUP BY 1),
 l AS (SELECT k, max(a) FILTER (p <> d.p) AS second_price, min(a) AS opening_price FROM o JOIN d USING (k) GROUP BY 1),
-i AS (SELECT o_orderkey AS k, o_totalprice AS ltm FROM orders WHERE o_orderkey % 10 <> 0)"""
+i AS (SELECT o_orderkey AS k, o_totalprice AS ltm, o_orderpriority AS title, o_orderdate::DATE AS deal_date FROM orders WHERE o_orderkey % 10 <> 0),
+dim AS (SELECT coalesce(i.k, d.k) AS k, d.k % 500 AS asset, title, deal_date, CASE WHEN d.k IS NULL THEN ltm ELSE 12.5 END AS ltm, d.k IS NOT NULL AS has_detail, (d.k IS NOT NULL)::BIGINT + (i.k IS NOT NULL)::BIGINT AS n_obs, d.d.a AS price
+  FROM i FULL OUTER JOIN d ON i.k = d.k)"""
 
 
 def rebuilt(spark, sf) -> dict[str, DataFrame]:
     """The star schema rebuilt from observations, written first, of JSON payloads made of orders and their lines."""
     landed = tables.write_tables({"details": detail_payloads(spark, sf, deals=True), "pages": index_payloads(spark, sf)}, scratch(spark))
-    obs = payloads.detail_observations(landed["details"])
+    obs = payloads.detail_observations(landed["details"], folder=scratch(spark))
     used = {name: obs[name] for name in ("listing", "offer", "quarter", "breakdown")}
     used["index"] = payloads.index_observations(landed["pages"])
-    return star.rebuild(tables.write_tables(used, scratch(spark)), F.lit("2024-01-01").cast("timestamp"))
+    return star.rebuild(tables.write_tables(used, scratch(spark)), F.lit("2024-01-01").cast("timestamp"), folder=scratch(spark))
 
 
 @query(f"""{REBUILT} SELECT coalesce(i.k, d.k) AS listing_id, d.d.a AS clearing_price, second_price, opening_price, coalesce(d.d.a > 0, false) AS sold,
@@ -482,6 +488,106 @@ def rebuild_flags(spark, sf):
     return rebuilt(spark, sf)["data_quality_flag"].select("listing_id", "flag")
 
 
+@query(f"""{REBUILT} SELECT k AS listing_id, asset AS asset_id, title, deal_date::VARCHAR AS deal_date, ltm, has_detail, n_obs AS n_observations FROM dim""")
+def rebuild_listings(spark, sf):
+    return rebuilt(spark, sf)["dim_listing"].select("listing_id", "asset_id", "title", iso("deal_date"), "ltm", "has_detail", "n_observations")
+
+
+@query(f"""{REBUILT}, w AS (SELECT l_orderkey AS k, l_partkey AS p, max(struct_pack(s := l_suppkey, a := l_extendedprice)).s AS s, max(struct_pack(s := l_suppkey, a := l_extendedprice)).a AS a FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1, 2)
+SELECT k AS listing_id, p AS offer_id, s AS buyer_id, a AS amount, CASE WHEN d.d IS NOT NULL THEN p = d.d.p END AS is_winning, row_number() OVER (PARTITION BY k ORDER BY a, p) AS ladder_rank FROM w JOIN d USING (k)""")
+def rebuild_offers(spark, sf):
+    return rebuilt(spark, sf)["fact_offer"].select("listing_id", "offer_id", "buyer_id", "amount", "is_winning", "ladder_rank")
+
+
+@query("""WITH m AS (SELECT l_orderkey AS k, 's' || (l_suppkey % 3) AS member, max_by(l_extendedprice, (l_partkey, l_suppkey, l_extendedprice, l_linenumber)) AS amount FROM lineitem GROUP BY 1, 2)
+SELECT k AS listing_id, member, amount, amount / nullif(sum(amount::DECIMAL(18,2)) OVER (PARTITION BY k)::DOUBLE, 0) AS share FROM m""")
+def rebuild_source_mix(spark, sf):
+    return rebuilt(spark, sf)["fact_source_mix"].select("listing_id", "member", "amount", "share")
+
+
+@query(f"""{REBUILT} SELECT asset AS asset_id, count(*) AS n_listings, count(*) FILTER (price > 0) AS n_sold_listings, count(*) FILTER (price > 0) > 1 AS has_repeat_sale FROM dim WHERE asset IS NOT NULL GROUP BY 1""")
+def rebuild_assets(spark, sf):
+    return rebuilt(spark, sf)["dim_asset"].select("asset_id", "n_listings", "n_sold_listings", "has_repeat_sale")
+
+
+@query(f"""{REBUILT} SELECT k AS listing_id, date_trunc('quarter', deal_date)::DATE::VARCHAR AS deal_quarter, price AS clearing_price, price / nullif(ltm, 0) AS multiple_gross,
+  (coalesce(ltm, 0) <= 0)::BIGINT AS n_exclude_flags FROM dim""")
+def rebuild_pricing(spark, sf):
+    frame = rebuilt(spark, sf)["v_pricing_frame"]
+    return frame.select("listing_id", c("deal_quarter").cast("date").cast("string").alias("deal_quarter"), "clearing_price", "multiple_gross", "n_exclude_flags")
+
+
+@query(f"""{REBUILT}, s AS (SELECT * FROM dim WHERE price > 0)
+SELECT a.asset AS asset_id, a.k AS first_sale, b.k AS later_sale, datediff('day', a.deal_date, b.deal_date) / 365.25::DOUBLE AS years_held, b.price / nullif(a.price, 0) AS price_ratio
+FROM s a JOIN s b ON a.asset = b.asset AND b.deal_date > a.deal_date""")
+def rebuild_repeat_sales(spark, sf):
+    return rebuilt(spark, sf)["v_repeat_sales"].select("asset_id", "first_sale", "later_sale", "years_held", "price_ratio")
+
+
+@query("""WITH o AS (SELECT l_orderkey AS k, l_partkey AS p, count(*) AS c, max(struct_pack(s := l_suppkey, a := l_extendedprice)).s AS s FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1, 2),
+b AS (SELECT k, count(*) AS n_offers FROM o GROUP BY 1),
+q AS (SELECT l_orderkey AS k, l_linenumber AS m, arg_max(l_extendedprice, (l_partkey, l_suppkey, l_extendedprice)) AS t FROM lineitem GROUP BY 1, 2),
+p AS (SELECT k, count(*) AS n, sum(t::DECIMAL(18,2))::DOUBLE AS total, (sum(t::DECIMAL(18,2)) FILTER (rn <= 4))::DOUBLE AS last4 FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m DESC) AS rn FROM q) GROUP BY 1),
+x AS (SELECT l_orderkey AS k, count(*) AS n_lines, (sum(l_extendedprice::DECIMAL(18,2)) * CASE WHEN l_orderkey % 4 = 0 THEN 2 ELSE 1 END)::DOUBLE AS lifetime FROM lineitem GROUP BY 1)
+SELECT k AS listing_id, lifetime <> 0 AND abs(total - lifetime) > 0.02::DOUBLE * greatest(abs(lifetime), 1) AS bad_total, n >= 4 AND abs(last4 - 12.5) > 0.02::DOUBLE * 12.5 AS bad_last4, coalesce(n_offers, 0) <> n_lines AS bad_offers
+FROM x JOIN p USING (k) LEFT JOIN b USING (k)""")
+def reconcile_payloads(spark, sf):
+    obs = payloads.detail_observations(detail_payloads(spark, sf, deals=True), folder=scratch(spark))
+    found = metrics.reconcile_observations(obs["listing"], obs["offer"], obs["quarter"])
+    has = lambda text: F.exists("problems", lambda p: p.contains(text))
+    return found.select("listing_id", has("periods sum").alias("bad_total"), has("last four").alias("bad_last4"), has("offers listed").alias("bad_offers"))
+
+
+@query("""WITH l AS (SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS raw, CASE WHEN user_id % 3 = 0 THEN sum(value::DECIMAL(18,2)) FILTER (event_id % 2 = 0)::DOUBLE END AS prior FROM events GROUP BY 1),
+m AS (SELECT user_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS source_type, value FROM events WHERE user_id % 4 = 0 AND event_id % 7 > 0),
+p AS (SELECT user_id, sum(value::DECIMAL(18,2))::DOUBLE AS panel FROM m GROUP BY 1),
+s AS (SELECT user_id, value FROM m WHERE source_type = 'purchase'),
+a AS (SELECT user_id, median(value) AS median FROM s GROUP BY 1),
+d AS (SELECT user_id, median, coalesce(nullif(median(abs(value - median)), 0), 1.0::DOUBLE) AS mad FROM s JOIN a USING (user_id) GROUP BY 1, 2),
+k AS (SELECT user_id, coalesce((sum((value - median)::DECIMAL(18,6)) FILTER (value > median + (3.0::DOUBLE * 1.4826::DOUBLE) * mad))::DOUBLE, 0) AS excess, count(*) FILTER (value > median + (3.0::DOUBLE * 1.4826::DOUBLE) * mad) AS n FROM s JOIN d USING (user_id) GROUP BY 1),
+x AS (SELECT user_id, CASE WHEN user_id % 8 = 2 THEN 0 ELSE value END AS value, event_type FROM events WHERE user_id % 4 > 1),
+y AS (SELECT user_id, CASE WHEN count(*) FILTER (event_type = 'purchase') > 0 AND sum(value) > 0 THEN coalesce(sum(value::DECIMAL(18,2)) FILTER (event_type = 'purchase'), 0)::DOUBLE / sum(value::DECIMAL(18,2))::DOUBLE END AS share FROM x GROUP BY 1),
+r AS (SELECT l.*, panel, excess, n, share FROM l LEFT JOIN p USING (user_id) LEFT JOIN k USING (user_id) LEFT JOIN y USING (user_id))
+SELECT user_id, CASE WHEN excess IS NOT NULL THEN 'monthly_sync_spike' WHEN share IS NOT NULL THEN 'sync_share_cap' WHEN prior > 0 AND raw / prior - 1 > 0.5 THEN 'geometric_mean_vs_prior' ELSE 'none' END AS method,
+  round(CASE WHEN excess IS NOT NULL THEN panel - excess WHEN share IS NOT NULL THEN raw - raw * greatest(share - 0.1::DOUBLE, 0) WHEN prior > 0 AND raw / prior - 1 > 0.5 THEN sqrt(raw * prior) ELSE raw END, 6) AS normalized,
+  CASE WHEN excess IS NOT NULL THEN n || ' spikes' WHEN share > 0.1::DOUBLE THEN 'capped' WHEN share IS NOT NULL THEN 'within' WHEN prior > 0 AND raw / prior - 1 > 0.5 THEN 'growth' ELSE 'too little' END AS detail FROM r""")
+def normalise_panels(spark, sf):
+    e = table(spark, sf, "events")
+    listings = e.groupBy("user_id").agg(fn.money_sum(c("value")).alias("raw"), fn.money_sum(F.when(c("event_id") % 2 == 0, c("value"))).alias("even"))
+    listings = listings.select("user_id", "raw", F.when(c("user_id") % 3 == 0, c("even")).alias("prior"))
+    monthly = e.filter("user_id % 4 = 0 AND event_id % 7 > 0").select("user_id", F.when(c("event_id") % 5 > 0, c("event_type")).alias("source_type"), c("value").alias("amount"))
+    mix = e.filter("user_id % 4 > 1").select("user_id", c("event_type").alias("member"), F.when(c("user_id") % 8 == 2, 0.0).otherwise(c("value")).alias("amount"))
+    found = metrics.normalise_panels(listings, monthly, mix, "user_id", raw="raw", prior="prior", one_off="purchase")
+    words = F.regexp_extract("detail", r"^\d+ spikes|capped|within|growth|too little", 0)
+    return found.select("user_id", "method", F.round("normalized", 6).alias("normalized"), words.alias("detail"))
+
+
+@query("""SELECT sha256(text) AS content_sha256, any_value(octet_length(encode(text))) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def landing_twice(spark, sf):
+    """Texts of many lines land twice; the second time adds nothing."""
+    where = scratch(spark)
+    for _ in range(2):
+        landing.land(table(spark, sf, "documents"), where, "text")
+    return landing.landed(spark, where).select(F.sha2(c("payload").cast("binary"), 256).alias("content_sha256"), "n_bytes")
+
+
+@query("""SELECT 'listing' AS name, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'index', count(*) FROM orders WHERE o_orderkey % 10 <> 0
+UNION ALL SELECT 'offer', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 9 <> 0)
+UNION ALL SELECT 'quarter', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+UNION ALL SELECT 'breakdown', count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey % 3 FROM lineitem)""")
+def append_twice(spark, sf):
+    """All tables of the payloads are appended twice; the second time adds nothing."""
+    where = scratch(spark)
+    for _ in range(2):
+        obs = payloads.detail_observations(detail_payloads(spark, sf, deals=True), folder=scratch(spark))
+        ingest.append_observations({"index": payloads.index_observations(index_payloads(spark, sf)), **obs}, where)
+    count = lambda name: spark.read.parquet(f"{where}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    out = count("listing")
+    for name in ("index", "offer", "quarter", "breakdown"):
+        out = out.unionByName(count(name))
+    return out
+
+
 @query("""SELECT event_id, user_id, value FROM events""")
 def streaming_ingest(spark, sf):
     """Runs the stream twice over the same file; the second run adds nothing."""
