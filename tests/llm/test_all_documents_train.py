@@ -19,4 +19,4 @@ def test_a_pass_in_two_chunks_carries_the_moments_on():
     new = lambda: M.WindowNetwork(classes, np.full(classes.size, 1 / classes.size))
     words, ends, state = np.tile(np.array([0, 1], dtype=np.int32), 2000), np.array([4000]), {}
     net = new().fit(words, ends, epochs=1, state=state).fit(words, ends, epochs=1, state=state)
-    assert state["step"] == 8 and not np.allclose(net.outer, new().fit(words, ends, epochs=1).outer)
+    assert state["step"] == 2 * -(-4000 // M.FEWEST) and not np.allclose(net.own, new().fit(words, ends, epochs=1).own)

@@ -13,8 +13,9 @@ def plain_score(net, words):
         places = [i - 2, i - 1, i + 1, i + 2]
         seen = [ids[j] if 0 <= j < len(ids) else net.classes.size for j in places]
         x = sum(net.embed[s].astype(float) @ net.inner[k] for k, s in enumerate(seen)) + net.inner_bias
-        logits = np.tanh(x) @ net.outer.astype(float) + net.bias
-        total += logits[target] - np.log(np.exp(logits).sum())
+        h, g, own = np.tanh(x), target // M.GROUP, target % M.GROUP
+        for logits, k in ((h @ net.group.astype(float) + net.group_bias, g), (h @ net.own[g].astype(float) + net.own_bias[g], own)):
+            total += logits[k] - np.log(np.exp(logits).sum())
     return total
 
 
@@ -45,7 +46,7 @@ def test_gradient_lowers_the_loss_and_context_helps():
     ends = np.array([2000, 4000])
     net = M.WindowNetwork(classes, np.full(classes.size, 1 / classes.size))
     before = net.log_probabilities(M.windows(walk, ends, classes.size), walk).mean()
-    net.fit(walk.astype(np.int32), ends, epochs=6)
+    net.fit(walk.astype(np.int32), ends, epochs=12)
     after = net.log_probabilities(M.windows(walk, ends, classes.size), walk).mean()
     mixed = rng.permutation(walk)
     assert before < np.log(0.1) < np.log(0.7) < after
@@ -58,9 +59,40 @@ def test_corpus_statistics_and_sample(spark):
     words = [w for r in docs.collect() for w in r.text.lower().split()]
     ids = net.classes.of(words)
     want = (np.bincount(ids, minlength=net.classes.size) + 1) / (len(ids) + net.classes.size)
-    assert np.allclose(np.exp(net.bias), want, rtol=1e-4)
+    shares = np.exp(net.group_bias[:, None] + net.own_bias).ravel()
+    assert np.allclose(shares[: len(want)], want, rtol=1e-4) and shares[len(want) :].max(initial=0) < 1e-20
     out = M.score(docs, net).toPandas()
     unigram = np.log(want)[ids].sum()
     assert out.n_tokens.sum() == len(words) and out.log_likelihood.sum() > unigram
     empty = M.train(docs.filter(F.lit(False)))
     assert M.score(docs.limit(3), empty).count() == 3
+
+
+def test_gradients_are_derivatives_of_the_loss(monkeypatch):
+    monkeypatch.setattr(M, "GROUP", 8)
+    net = network()
+    for name in ("embed", "inner", "inner_bias", "group", "own", "group_bias", "own_bias"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    rng = np.random.default_rng(4)
+    goal, context = np.sort(rng.integers(0, net.classes.size, 30)), rng.integers(0, net.classes.size + 1, (30, 4))
+
+    def loss():
+        h, g = net.hidden(context), goal // 8
+        logs = M._log_softmax(h @ net.group + net.group_bias)[np.arange(30), g]
+        return -np.mean([logs[i] + M._log_softmax(h[i : i + 1] @ net.own[g[i]] + net.own_bias[g[i]])[0, goal[i] % 8] for i in range(30)])
+
+    for w, found in zip(net.weights(), net._gradients(context, goal), strict=True):
+        for at in rng.integers(0, w.size, 12).tolist():
+            base = w.flat[at]
+            w.flat[at] = base + 1e-5
+            up = loss()
+            w.flat[at] = base - 1e-5
+            assert found.flat[at] == pytest.approx((up - loss()) / 2e-5, abs=1e-6)
+            w.flat[at] = base
+
+
+def test_large_logits_stay_finite():
+    net = network()
+    net.group *= 1e5
+    net.own *= 1e5
+    assert np.isfinite(net.log_probabilities(np.zeros((5, 4), dtype=int), np.arange(5))).all()

@@ -1,21 +1,24 @@
 """Operator 3: documents scored by masked pseudo-likelihood.
 
-Words are classes: the corpus's most frequent words, and for the rest one class
-for each shape (length and kind). A small network sees the classes of the words
-on both sides of a masked word, in a window, and gives the probabilities of all
-classes; a word's probability is that of its class times the word's share in
-its class. A document's score is the sum of the log-probabilities of its words,
-each predicted from both sides.
+A small network sees the words on both sides of a masked word, in a window, and
+predicts the word. The corpus's most frequent words, thousands of them, are
+classes of their own; all others are told apart in three steps, the last of
+which doesn't look at the window: a class for their shape (length and kind),
+and the word's share in that class. Classes lie in groups in the order of
+their frequency; the softmax has two levels, the group and the class in its
+group, and is exact in training and scoring. A document's score is the sum of
+the log-probabilities of its words, each predicted from both sides.
 
 The shares come from the counts of all words of all documents, a Spark table
 that grows with them: those of at most KNOWN frequent words go to the tasks,
 all others are joined. A word that was not counted has the share of one more
 word in its class, parted over all spellings.
 
-Word counts cover all documents and give the classes and the output layer's
-bias, the log of each class's share of the corpus. The other weights start from
-a fit to a bounded sample of documents and are then trained on all documents:
-each partition trains on all of its own, and the weights are averaged by words.
+Word counts cover all documents and give the classes and the output layers'
+biases, the logs of the groups' and classes' shares of the corpus. The weights
+are trained on all documents: each partition trains a copy on all of its own,
+and the copies are averaged by words. The copies start from a fit to a bounded
+sample of documents, so that they can be averaged.
 """
 
 from __future__ import annotations
@@ -34,14 +37,18 @@ from tidemark.llm.common import SPACE_CLASS, slices, stored
 from tidemark.llm.words import WordTable, sums_by_text
 
 #: Frequent words with a class of their own; words on each side; sizes of the layers.
-FREQUENT, WINDOW, EMBED, HIDDEN = 208, 2, 16, 32
+FREQUENT, WINDOW, EMBED, HIDDEN = 4048, 2, 16, 32
+#: Classes of a group of the two-level softmax.
+GROUP = 64
 #: Shapes: up to 12 characters by letters in lower case, letters, with digits, other.
 LENGTHS, KINDS = 12, 4
 #: Words whose shares are sent to the tasks at most.
 KNOWN = 100_000
 #: Words that a partition trains on at a time.
-CHUNK = 100_000
-SAMPLE_DOCS, EPOCHS, BATCH, RATE, SEED = 2000, 2, 1024, 0.01, 3
+CHUNK = 400_000
+SAMPLE_DOCS, EPOCHS, RATE, SEED = 2000, 2, 0.01, 3
+#: Words of a step: a forty-eighth of those at hand, between these.
+STEPS, FEWEST, BATCH = 48, 512, 8192
 
 
 def shape(word: str) -> int:
@@ -73,17 +80,30 @@ def windows(classes: np.ndarray, ends: np.ndarray, nothing: int, window: int = W
     return out
 
 
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    return logits
+
+
 class WindowNetwork:
-    """Embedding, one hidden layer over the concatenated window, softmax over classes."""
+    """Embedding, one hidden layer over the concatenated window, softmax over groups and over a group's classes."""
 
     def __init__(self, classes: Classes, share: np.ndarray, window: int = WINDOW, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.classes, self.window = classes, window
+        groups = -(-classes.size // GROUP)
         self.embed = rng.normal(0, 0.3, (classes.size + 1, EMBED)).astype(np.float32)
         self.inner = rng.normal(0, 0.1, (2 * window, EMBED, HIDDEN)).astype(np.float32)
         self.inner_bias = np.zeros(HIDDEN, dtype=np.float32)
-        self.outer = rng.normal(0, 0.05, (HIDDEN, classes.size)).astype(np.float32)
-        self.bias = np.log(share).astype(np.float32)
+        self.group = rng.normal(0, 0.05, (HIDDEN, groups)).astype(np.float32)
+        self.own = rng.normal(0, 0.05, (groups, HIDDEN, GROUP)).astype(np.float32)
+        shares = np.zeros(groups * GROUP)
+        shares[: classes.size] = share
+        shares = shares.reshape(groups, GROUP)
+        self.group_bias = np.log(shares.sum(axis=1)).astype(np.float32)
+        self.own_bias = np.log(np.maximum(shares, 1e-30) / shares.sum(axis=1, keepdims=True)).astype(np.float32)  # places without a class: next to nothing
+        self.own[np.arange(groups * GROUP).reshape(groups, 1, GROUP).repeat(HIDDEN, 1) >= classes.size] = 0
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         total = np.repeat(self.inner_bias[None], len(context), axis=0)
@@ -95,17 +115,19 @@ class WindowNetwork:
         """The log-probability of each target in its context."""
         out = np.empty(len(target), dtype=np.float32)
         for at in range(0, len(target), BATCH):
-            part = slice(at, at + BATCH)
-            logits = self.hidden(context[part]) @ self.outer
-            logits += self.bias
-            out[part] = logits[np.arange(len(logits)), target[part]]
-            np.exp(logits, out=logits)
-            out[part] -= np.log(logits.sum(axis=1))
+            rows = at + np.argsort(target[at : at + BATCH], kind="stable")  # a group's words lie together
+            goal, h = target[rows], self.hidden(context[rows])
+            group = goal // GROUP
+            logs = _log_softmax(h @ self.group + self.group_bias)[np.arange(len(rows)), group]
+            for g, part in _runs(group):
+                own = _log_softmax(h[part] @ self.own[g] + self.own_bias[g])
+                logs[part] += own[np.arange(len(own)), goal[part] - g * GROUP]
+            out[rows] = logs
         return out
 
     def weights(self) -> list[np.ndarray]:
-        """What is trained; the bias is counted."""
-        return [self.embed, self.inner, self.inner_bias, self.outer]
+        """What is trained; the biases of the output are counted."""
+        return [self.embed, self.inner, self.inner_bias, self.group, self.own]
 
     def fit(self, classes: np.ndarray, ends: np.ndarray, epochs: int = EPOCHS, seed: int = SEED, state: dict | None = None) -> WindowNetwork:
         """Adam on the cross-entropy of every word of the texts, masked one at a time. A state carries the moments on to the next call."""
@@ -114,33 +136,53 @@ class WindowNetwork:
         params = self.weights()
         state = {} if state is None else state
         first, second = (state.setdefault(k, [np.zeros_like(p) for p in params]) for k in ("first", "second"))
-        step, number = state.get("step", 0), np.arange(len(self.embed))[:, None]
+        step = state.get("step", 0)
+        size = max(FEWEST, min(BATCH, len(classes) // STEPS))
         for _ in range(epochs if len(classes) else 0):
             order = rng.permutation(len(classes))
-            for at in range(0, len(order), BATCH):
-                rows = order[at : at + BATCH]
-                ctx, n = context[rows], len(rows)
-                h = self.hidden(ctx)
-                logits = h @ self.outer + self.bias
-                p = np.exp(logits - logits.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(n), classes[rows]] -= 1
-                p /= n
-                back = (p @ self.outer.T) * (1 - h * h)
-                seen = self.embed[ctx]
-                inner = np.stack([seen[:, k].T @ back for k in range(2 * self.window)])
-                embed = np.zeros_like(self.embed)
-                for k in range(2 * self.window):
-                    pull = (number == ctx[:, k]).astype(np.float32) @ back
-                    embed += pull @ self.inner[k].T
+            for at in range(0, len(order), size):
+                rows = order[at : at + size]
+                rows = rows[np.argsort(classes[rows], kind="stable")]  # a group's words lie together
                 step += 1
-                for i, g in enumerate((embed, inner, back.sum(axis=0), h.T @ p)):
-                    first[i] = 0.9 * first[i] + 0.1 * g
-                    second[i] = 0.999 * second[i] + 0.001 * g * g
-                    params[i] -= RATE * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+                for i, g in enumerate(self._gradients(context[rows], classes[rows])):
+                    first[i] += 0.1 * (g - first[i])
+                    g *= g
+                    second[i] += 0.001 * (g - second[i])
+                    root = np.sqrt(second[i] / (1 - 0.999**step))
+                    root += 1e-8
+                    params[i] -= (RATE / (1 - 0.9**step)) * first[i] / root
         state["step"] = step
         return self
 
+    def _gradients(self, context: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the mean loss by each of the weights; goals in order."""
+        n, h, group = len(goal), self.hidden(context), goal // GROUP
+        p = np.exp(_log_softmax(h @ self.group + self.group_bias))
+        p[np.arange(n), group] -= 1
+        p /= n
+        back, own = p @ self.group.T, np.zeros_like(self.own)
+        for g, part in _runs(group):
+            q = np.exp(_log_softmax(h[part] @ self.own[g] + self.own_bias[g]))
+            q[np.arange(len(q)), goal[part] - g * GROUP] -= 1
+            q /= n
+            own[g] = h[part].T @ q
+            back[part] += q @ self.own[g].T
+        back *= 1 - h * h
+        seen, embed = self.embed[context], np.zeros_like(self.embed)
+        inner = np.stack([seen[:, k].T @ back for k in range(2 * self.window)])
+        for k in range(2 * self.window):
+            # Sums of the rows of each class seen at this place.
+            place = np.argsort(context[:, k], kind="stable")
+            here, first_row = np.unique(context[place, k], return_index=True)
+            embed[here] += np.add.reduceat(back[place], first_row, axis=0) @ self.inner[k].T
+        return embed, inner, back.sum(axis=0), h.T @ p, own
+
+
+def _runs(numbers: np.ndarray) -> list[tuple[int, slice]]:
+    """Each number and the slice of it, of numbers in order."""
+    cuts = [0, *(np.nonzero(np.diff(numbers))[0] + 1).tolist(), len(numbers)]
+    return [(int(numbers[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
 
 def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """word, n for every word of all documents."""
