@@ -186,7 +186,8 @@ def train(docs: DataFrame, pieces: list[str], *, key: str = "doc_id", text: str
     # A hash thins out each language to little more than the sample before its rows are ordered.
     order = F.xxhash64("key", "text", F.lit(4))
     sizes = picked.groupBy("lang").agg(F.approx_count_distinct(order).alias("rows"))
-    thin = picked.join(sizes, "lang").filter(F.pmod(order, F.lit(1 << 30)) * F.col("rows") < F.lit(1.5 * sample * (1 << 30)))
+    # One row a language, as many as the model has columns: sent to the texts, which stay where they are.
+    thin = picked.join(F.broadcast(sizes), "lang").filter(F.pmod(order, F.lit(1 << 30)) * F.col("rows") < F.lit(1.5 * sample * (1 << 30)))
     nth = F.row_number().over(W.partitionBy("lang").orderBy(order, "key"))
     chosen = thin.withColumn("nth", nth).filter(F.col("nth") <= sample).select("lang", "text")
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), "\\s+")).alias("word")).filter("word <> ''")
