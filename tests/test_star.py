@@ -213,3 +213,17 @@ def test_repeat_sales_and_reconciliation_from_observations(spark):
     found = {r.listing_id: (r.problems, r.reconciles) for r in metrics.reconcile_observations(obs["listing"], obs["offer"], obs["quarter"]).collect()}
     assert found[4] == (["no periods"], False)
     assert found[1] == (["last four periods 241.00, trailing year 100.00"], False)  # 241 is within 2 % of 240
+
+
+def test_views_frontier_and_one_scan(spark, tables):
+    _, obs = tables
+    star.publish(star.rebuild(obs, F.lit(AT).cast("timestamp")), "t_")
+    assert spark.sql("SELECT count(*) FROM t_v_pricing_frame JOIN t_dim_listing USING (listing_id)").first()[0] == 4
+    years = [r.deal_year for r in spark.sql("SELECT deal_year FROM t_v_field_coverage").collect()]
+    assert years == sorted(years, key=lambda y: (y is None, y))
+    pages = spark.createDataFrame([(f"https://x/?page={i}", page([], next=n)) for i, n in ((1, "https://x/?page=2"), (2, "https://x/?cursor=q"), (9, None))], "url string, payload string")
+    assert [r.next_url for r in payloads.frontier(pages).collect()] == ["https://x/?cursor=q"]
+    found = metrics.ratio_diagnostics(spark.range(20).selectExpr("double(id) AS a", "double(id % 7) AS b", "if(id < 5, double(id), null) AS c"), "a", {"b": "b", "c": "c"}, "b")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Range (") <= 1
+    rows = {r.construction: r for r in found.collect()}
+    assert (rows["b"].n, rows["c"].n, rows["c"].median_ratio, rows["size"].n) == (20, 5, None, 20)

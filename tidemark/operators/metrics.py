@@ -31,29 +31,21 @@ def weighted_age(df: DataFrame, keys: list[str], age: str, weight: str) -> DataF
 def ratio_diagnostics(df: DataFrame, reported: str, constructions: dict[str, str], size: str) -> DataFrame:
     """For each construction: n, median and interquartile range of reported over it, correlation
     (null below ten pairs); and the correlation of reported with the log of size."""
-    parts = []
+    x, none = F.col(reported), F.lit(None).cast("double")
+    rows = []
     for name, column in constructions.items():
-        used = df.filter(F.col(reported).isNotNull() & F.col(column).isNotNull())
-        r = ratio(F.col(reported), F.col(column))
-        q = F.percentile(r, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        enough = F.count("*") >= FEWEST_PAIRS
-        parts.append(
-            used.agg(
-                F.lit(name).alias("construction"),
-                F.count("*").alias("n"),
-                F.when(enough, q[1]).alias("median_ratio"),
-                F.when(enough, q[2] - q[0]).alias("iqr_ratio"),
-                F.when(enough, safe_corr(F.col(reported), F.col(column))).alias("corr"),
-            )
-        )
-    used = df.filter(F.col(reported).isNotNull() & F.col(size).isNotNull())
+        used = x.isNotNull() & F.col(column).isNotNull()
+        n = F.count_if(used)
+        q = F.percentile(F.when(used, ratio(x, F.col(column))), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        enough = n >= FEWEST_PAIRS
+        rows.append((name, n, F.when(enough, q[1]), F.when(enough, q[2] - q[0]), F.when(enough, safe_corr(x, F.col(column)))))
     log = F.ln(F.greatest(F.col(size), F.lit(1.0)))
-    none = F.lit(None).cast("double")
-    parts.append(used.agg(F.lit("size").alias("construction"), F.count("*").alias("n"), none.alias("median_ratio"), none.alias("iqr_ratio"), safe_corr(F.col(reported), log).alias("corr")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    used = x.isNotNull() & F.col(size).isNotNull()
+    rows.append(("size", F.count_if(used), none, none, safe_corr(x, F.when(F.col(size).isNotNull(), log))))
+    names = ["construction", "n", "median_ratio", "iqr_ratio", "corr"]
+    made = [F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in zip(names, row, strict=True)]) for row in rows]
+    # One scan and one aggregate for all constructions, a row each at the end.
+    return df.agg(F.array(*made).alias("rows")).select(F.inline("rows"))
 
 
 def spike_excess(df: DataFrame, entity: str, amount: str, z: float = SPIKE_Z) -> DataFrame:

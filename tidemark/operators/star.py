@@ -145,9 +145,9 @@ def pricing_frame(dim: DataFrame, outcomes: DataFrame, flags: DataFrame) -> Data
 
 
 def field_coverage(frame: DataFrame, date: str, kind: str, sold: str, fields: list[str]) -> DataFrame:
-    """By year and kind: rows, sold rows, and the share of rows that have each field."""
+    """By year and kind, in their order: rows, sold rows, and the share of rows that have each field."""
     cover = [F.avg(c(f).isNotNull().cast("double")).alias(f"cov_{f}") for f in fields]
-    return frame.groupBy(F.date_trunc("year", date).alias("deal_year"), c(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(sold).alias("n_sold"), *cover)
+    return frame.groupBy(F.date_trunc("year", date).alias("deal_year"), c(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(sold).alias("n_sold"), *cover).orderBy(F.asc_nulls_last("deal_year"), F.asc_nulls_last("kind"))
 
 
 def age_check(rows: DataFrame, reported: str, size: str, age: str) -> DataFrame:
@@ -197,3 +197,9 @@ def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bo
         "v_field_coverage": field_coverage(frame, "deal_date", "kind", "sold", ["dollar_age", "three_years_average", "n_unique_bidders", "marketplace_median_multiplier"]),
         "v_dollar_age_check": age_check(dim, "dollar_age", "ltm", "catalog_age_years"), "v_repeat_sales": repeat_sales(assets, frame),
     }
+
+
+def publish(tables: dict[str, DataFrame], prefix: str = "") -> None:
+    """Makes tables views of the session, under their names, for SQL; views of these names are replaced."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(prefix + name)

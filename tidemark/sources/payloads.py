@@ -107,6 +107,13 @@ def index_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     return page.select(*others, F.col("_p")["next"].alias("next_url"), to_integer(F.coalesce(meta["count"], F.col("_p")["count"])).alias("count"), to_integer(meta["total_results"]).alias("total_results"), meta.alias("meta"))
 
 
+def frontier(pages: DataFrame, url: str = "url", payload: str = "payload") -> DataFrame:
+    """next_url of the landed pages (url, payload) that has not landed itself: what a crawl has to
+    fetch next. Pages are followed by their cursors, whatever their numbers; the last page has none."""
+    ahead = index_pages(pages, payload).select("next_url").filter("next_url IS NOT NULL").distinct()
+    return ahead.join(pages.select(F.col(url).alias("next_url")), "next_url", "left_anti")
+
+
 def index_listing_ids(pages: DataFrame, payload: str = "payload") -> DataFrame:
     found = pages.select(F.explode(_list(_object(F.col(payload))["results"])).alias("r"))
     return found.select(to_integer(_object(F.col("r"))["listing_id"]).alias("listing_id")).filter("listing_id IS NOT NULL")
