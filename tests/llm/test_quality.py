@@ -1,3 +1,6 @@
+import math
+import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -49,3 +52,46 @@ def test_held_out_fold(spark):
     assert Q.score(odd.filter(F.lit(False)), m, metadata=("n_chars",)).count() == 0
     none = Q.train(docs, labels.filter(F.lit(False)), "quality")
     assert all(abs(r.score - 0.5) < 0.1 for r in Q.score(odd, none).collect())
+
+
+def plain_features(text, metadata):
+    """number -> value, word by word and statistic by statistic."""
+    words = (text or "").split()
+    out = Counter(zlib.crc32(w.lower().encode()) % Q.BUCKETS for w in words)
+    norm = math.sqrt(sum(math.log1p(n) ** 2 for n in out.values()))
+    out = {b: math.log1p(n) / norm for b, n in out.items()}
+    n, buckets = len(words), [zlib.crc32(w.lower().encode()) % Q.BUCKETS for w in words]
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    share = lambda test: sum(map(test, words)) / n
+    stats = [0.0] * len(Q.STATISTICS)
+    if n:
+        stats = [
+            min(1.0, math.log2(1 + n) / 16), share(lambda w: len(w) > 1 and w.isupper()), share(lambda w: not w.isalpha() and any(c in "#*$%&|<>{}[]\\^~_=+@" for c in w)),
+            share(lambda w: "!!" in w), share(lambda w: w in ("|", ">", "»", "•")), share(lambda w: not w.isalpha() and any(c.isdigit() for c in w)),
+            sum(a == b for a, b in zip(buckets, buckets[1:])) / (n - 1) if n > 1 else 0.0, len(set(buckets)) / n, sum(min(len(w), 40) for w in words) / n / 40,  # noqa: B905
+            min(1.0, math.log2(1 + len(lines)) / 12), sum(not x.rstrip().endswith(tuple(".!?…:;\"'”»)")) for x in lines) / max(1, len(lines)), 1 - len(set(lines)) / max(1, len(lines)),
+        ]
+    for i, x in enumerate([*stats, None if metadata is None else math.log2(1 + abs(metadata)) / 40]):
+        place = Q.BINS if x is None else 0 if x == 0 else max(1, min(int(x * Q.BINS), Q.BINS - 1))
+        out[Q.BUCKETS + i * (Q.BINS + 1) + place] = 0.5
+    return out
+
+
+def test_scores_match_brute_force_over_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "n_chars").filter("n_chars < 900").limit(25)
+    odd = [(-1, None, None), (-2, "", 0), (-3, "BUY NOW!! | 50% 50% x_1\nx\nx\n\n done.", 7), (-3, "BUY NOW!! | 50% 50% x_1\nx\nx\n\n done.", 7), (-4, "a " * 400, 10**9)]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string, n_chars long"))
+    m = Q.FactorisationMachine(Q.BUCKETS + (len(Q.STATISTICS) + 1) * (Q.BINS + 1))
+    m.weight, m.bias = np.random.default_rng(3).normal(0, 0.3, len(m.weight)), -0.2
+    got = {r.doc_id: r.score for r in Q.score(docs, m, metadata=("n_chars",)).collect()}
+    for r in docs.collect():
+        f = plain_features(r.text, r.n_chars)
+        raw = m.bias + sum(m.weight[i] * x for i, x in f.items()) + sum(m.vectors[i] @ m.vectors[j] * x * y for (i, x), (j, y) in combinations(f.items(), 2))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9), r.text
+
+
+def test_repeated_keys_and_labels_are_bounded_by_the_sample(spark):
+    docs = spark.createDataFrame([(1, "good text", i) for i in range(50)] + [(2, "bad | text", 0)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    a, b = (Q.train(docs, labels, "quality", metadata=("n_chars",), sample=10) for _ in range(2))
+    assert np.array_equal(a.vectors, b.vectors) and a.bias == b.bias

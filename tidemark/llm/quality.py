@@ -187,8 +187,9 @@ def train(
             columns = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (feature.astype(np.int32), value)]
             yield pa.RecordBatch.from_arrays([pa.array(part.column(0).cast(pa.string())), *columns, part.column(2)], names=["key", "feature", "value", "y"])
 
-    found = rows.mapInArrow(featurise, "key string, feature array<int>, value array<double>, y double").toArrow()
-    found = found.sort_by([("key", "ascending"), ("y", "ascending")])
+    # A key that repeats brings all its rows; the first sample of them reach the driver, of at most a feature for each bucket.
+    made = rows.mapInArrow(featurise, "key string, feature array<int>, value array<double>, y double")
+    found = made.orderBy("key", "y", "feature", "value").limit(sample).toArrow()
     pairs = [(np.array(f), np.array(v)) for f, v in zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)]
     machine = FactorisationMachine(BUCKETS + (len(STATISTICS) + len(metadata)) * (BINS + 1))
     return machine.fit(pairs, found.column(3).to_numpy())
