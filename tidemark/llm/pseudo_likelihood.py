@@ -282,7 +282,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
             own = [classes.of(t.split()) for t in _texts(part, 1)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array([x.tolist() for x in own], pa.list_(pa.int32()))], names=["key", "classes"])
 
-    found = picked.join(F.broadcast(keys), "key").mapInArrow(classify, "key string, classes array<int>").toArrow().sort_by("key")
+    # A key that repeats brings all its rows; the first sample of them reach the driver.
+    found = picked.join(F.broadcast(keys), "key").mapInArrow(classify, "key string, classes array<int>").orderBy("key", "classes").limit(sample).toArrow()
     own = [np.array(x, dtype=np.int32) for x in found.column(1).to_pylist()]
     ends = np.cumsum([len(x) for x in own], dtype=np.int64)
     flat = np.concatenate(own) if own else np.zeros(0, np.int32)
