@@ -55,3 +55,11 @@ def test_cleaning_keeps_columns_and_removes_failing_lines(spark):
     out = R.clean(docs)
     assert out.columns == docs.columns
     assert [(r.doc_id, "News" in r.text, r.text.count("\n"), r.source) for r in out.collect()] == [(1, False, 1, "_row")]
+
+
+def test_repeated_rows_get_equal_results(spark):
+    text = " ".join(f"w{i}" for i in range(60)) + ".\nHome | News | Sport | More"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, None)], "doc_id long, text string")
+    out = [tuple(r)[1:] for r in R.judge(docs).collect() if r.n_words]
+    assert len(out) == 4 and len(set(out)) == 1 and R.judge(docs).count() == 5
+    assert R.clean(docs).count() == 4
