@@ -57,6 +57,14 @@ def rows_where(df: DataFrame, condition: Column, columns: list[Column]) -> DataF
     return out.filter("_row IS NOT NULL").select("_row.*")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that Python objects for one part stay small."""
     for batch in batches:
