@@ -96,7 +96,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.summary(read_table(spark, sf_dir, "documents"))
+    return lines.linked_documents(read_table(spark, sf_dir, "documents"))
 
 
 ORACLES["op2_line_dedup"] = lines.ORACLE
@@ -104,7 +104,10 @@ ORACLES["op2_line_dedup"] = lines.ORACLE
 
 @registered
 def op2_line_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.linked_documents(read_table(spark, sf_dir, "documents"))
+    return op2_line_dedup(spark, sf_dir).drop("n_removed")
+
+
+ORACLES["op2_line_links"] = f"SELECT doc_id, n_lines, n_links, class_id FROM ({lines.ORACLE})"
 
 
 @registered
