@@ -208,6 +208,15 @@ def quarterly_panel(spark, sf):
     return star.earnings_panel(q, "l_suppkey", "period", "deal").select("l_suppkey", iso("period"), "total", "quarter_index", "quarters_before_listing")
 
 
+@query("""WITH q AS (SELECT l_suppkey, date_trunc('month', l_shipdate)::DATE AS period FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, period::VARCHAR AS period, round(datediff('month', min(period) OVER (PARTITION BY l_suppkey), period) / 3.0::DOUBLE)::BIGINT AS quarter_index FROM q""")
+def monthly_panel(spark, sf):
+    """Months that aren't whole quarters from the first one: their index is rounded."""
+    q = table(spark, sf, "lineitem").select("l_suppkey", F.date_trunc("month", "l_shipdate").cast("date").alias("period")).distinct()
+    found = star.earnings_panel(q.withColumn("deal", F.lit(None).cast("date")), "l_suppkey", "period", "deal")
+    return found.select("l_suppkey", iso("period"), "quarter_index")
+
+
 @query("""SELECT o_custkey AS asset_id, min_by(o_orderpriority, o_orderkey) AS title, count(*) AS n_listings, count(*) FILTER (o_orderstatus = 'F') AS n_sold_listings,
   min(o_orderdate)::DATE::VARCHAR AS first_published, max(o_orderdate)::DATE::VARCHAR AS last_published, count(*) FILTER (o_orderstatus = 'F') > 1 AS has_repeat_sale FROM orders GROUP BY 1""")
 def asset_rollup(spark, sf):
