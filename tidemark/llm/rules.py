@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_CLASS, SPACES, rows_where
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 #: A line may end in these.
 CLOSING = "[.!?…。！？:;,)\\]»”\"'][\\x20\\x09-\\x0D]*$"
 #: Phrases of lines that frame a page.
@@ -37,18 +37,20 @@ def line_passes(line: Column) -> Column:
     list, has a symbol for every five words or more, shouts (a doubled
     exclamation mark for every third word), or is made up of boilerplate phrases
     by a tenth or more."""
+    blank = ~line.rlike("[^\\x20\\x09-\\x0D]")
     words = F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))
-    symbols = F.char_length(line) - F.char_length(F.translate(line, SYMBOLS, ""))
+    symbols = F.regexp_count(line, F.lit(SYMBOLS))
     shouts = (F.char_length(line) - F.char_length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     separators = F.regexp_count(line, F.lit(" [|>»•·] "))
     rest = F.char_length(F.regexp_replace(line, BOILERPLATE, ""))
     boilerplate = (F.char_length(line) - rest) * 100 >= F.char_length(line) * BOILERPLATE_PERCENT
-    good = line.rlike(CLOSING) & (separators < 3) & (symbols * 5 < words) & (shouts * 3 < words) & ~boilerplate
-    return (words == 0) | good
+    # Words are only counted on lines that have what is compared with their number.
+    calm = ((symbols == 0) | (symbols * 5 < words)) & ((shouts == 0) | (shouts * 3 < words))
+    return blank | (line.rlike(CLOSING) & (separators < 3) & calm & ~boilerplate)
 
 
 def word_chars(text: Column) -> Column:
-    return F.char_length(F.translate(text, SPACES, ""))
+    return F.char_length(text) - F.regexp_count(text, F.lit(SPACE_CLASS))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -94,7 +96,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         {
             "n_words": F.col("_n").cast("long"),
             "word_chars": word_chars(F.col("_text")).cast("long"),
-            "n_symbols": (F.char_length("_text") - F.char_length(F.translate("_text", SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count("_text", F.lit(SYMBOLS)).cast("long"),
             "n_dup_lines": (F.size("_nonblank") - F.size(F.array_distinct("_nonblank"))).cast("long"),
             "n_repeat_words": repeated,
         }
