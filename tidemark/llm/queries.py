@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, language, lines, packing, pseudo_likelihood, quality, rules, sharding, simhash, topk
+from tidemark.llm import audit, byte_bpe, language, lines, packing, pseudo_likelihood, quality, rules, sharding, simhash, topk
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -116,3 +116,11 @@ def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = pseudo_likelihood.word_counts(docs)
     network = pseudo_likelihood.train(docs, counts=counts)
     return pseudo_likelihood.score(docs, network, shares=pseudo_likelihood.word_shares(counts, network.classes))
+
+
+@registered
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+ORACLES["op13_filter_interactions"] = audit.ORACLE
