@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audit, byte_bpe, language, lines, packing, pseudo_likelihood, quality, rules, sharding, simhash, topk
+from tidemark.llm import audit, byte_bpe, hard_negatives, language, lines, packing, pseudo_likelihood, quality, rules, sharding, simhash, topk
 from tidemark.llm.common import read_table
 
 QUERIES = {}
@@ -124,3 +124,13 @@ def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op13_filter_interactions"] = audit.ORACLE
+
+
+@registered
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of keys divisible by 7 move on by one first: wrong ones, as a corpus has."""
+    rows, key, label = read_table(spark, sf_dir, "embeddings"), F.col("vec_id"), F.col("label")
+    return hard_negatives.hard_negatives(rows, key % 100 == 0, label=F.when(key % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+ORACLES["op11_hard_negatives"] = hard_negatives.ORACLE
