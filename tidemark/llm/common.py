@@ -26,16 +26,23 @@ def _file_system(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    fs, where = _file_system(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read back.
 
     It cuts the lineage: what follows reads files that survive the loss of
     executors. The files go with discard, or when the application ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/table"
     df.write.option("compression", "zstd").parquet(path)
-    fs, where = _file_system(spark, path)
-    fs.deleteOnExit(where)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
@@ -45,7 +52,7 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables of stored() that nothing reads any more."""
     for table in tables:
         fs, where = _file_system(table.sparkSession, table.stored_at)
-        fs.delete(where, True)
+        fs.delete(where.getParent(), True)
 
 
 def rows_where(df: DataFrame, condition: Column, columns: list[Column]) -> DataFrame:

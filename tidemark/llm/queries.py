@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import audit, byte_bpe, hard_negatives, language, lines, packing, pseudo_likelihood, quality, rules, sharding, simhash, topk
-from tidemark.llm.common import read_table
+from tidemark.llm import audit, byte_bpe, hard_negatives, language, lines, packing, pseudo_likelihood, quality, rules, sharding, simhash, topk, warc
+from tidemark.llm.common import read_table, scratch
 
 QUERIES = {}
 ORACLES = {}
@@ -134,3 +134,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_hard_negatives"] = hard_negatives.ORACLE
+
+
+@registered
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A file and its row number tell rows apart, however often the table is read.
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html", F.concat_ws(":", "_metadata.file_path", "_metadata.row_index").alias("row"))
+    folder = f"{scratch(spark)}/archives"
+    warc.write_archives(pages, folder, key="page_id", payload="html", url="url", row="row")
+    found = warc.capture_digests(spark, folder)
+    return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+ORACLES["op12_warc"] = warc.ORACLE
