@@ -17,7 +17,7 @@ of bounded size, so no task gets more than two parts of one anchor.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, stored
+from tidemark.llm.common import slices, stored, unused
 from tidemark.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -58,8 +58,8 @@ def text_fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """key and fp (long with the fingerprint's 64 bits) of every row.
+def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, also: Sequence[str] = ()) -> DataFrame:
+    """key, fp (long with the fingerprint's 64 bits) and the columns also, of every row.
 
     A null text counts as empty; an empty text has fingerprint 0. Other columns
     are not read."""
@@ -67,11 +67,14 @@ def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 256):
             found = [text_fingerprint(t or b"", shingle, seed) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], names=["key", "fp"])
+            prints = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), prints, *part.columns[2:]], names=["key", "fp", *names])
 
-    kind = docs.schema[key].dataType.simpleString()
-    picked = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
-    return picked.mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    names = [f"c{i}" for i in range(len(also))]
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, also, strict=True)]
+    picked = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"), *[F.col(c).alias(n) for n, c in zip(names, also, strict=True)])
+    found = picked.mapInArrow(run, ", ".join([f"key {docs.schema[key].dataType.simpleString()}", "fp long", *kinds]))
+    return found.toDF(key, "fp", *also)
 
 
 def half_anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,26 +222,36 @@ def _close_many(fp: np.ndarray, ends: list[int], distance: int, forest: Forest)
             forest.link(x, y)
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
-    """key, fp and component_id (the smallest key that chains of links reach) of every row.
-
-    Rows with equal fingerprints are linked: repeated rows, and all null or
-    empty texts. An empty table gives no rows; null keys stay null and count
-    for component_id only if no other key is there."""
-    prints = stored(fingerprints(docs, key=key, text=text, shingle=shingle, seed=seed))
+def _rooted(docs: DataFrame, key: str, text: str, shingle: int, seed: int, distance: int, also: list[str]) -> DataFrame:
+    """key, fp, root (one fingerprint of the group), component_id and the columns also, of every row."""
+    prints = stored(fingerprints(docs, key=key, text=text, shingle=shingle, seed=seed, also=also))
     roots = components(linked(prints, distance=distance))
     least = prints.groupBy("fp").agg(F.min(key).alias("least"))
     rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stored(rooted)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(groups, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(key, "fp", "component_id")
+    return prints.join(rooted.join(groups, "root").select("fp", "root", "component_id"), "fp")
 
 
-def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The documents of docs that have the smallest key of their group; columns as in docs.
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
+    """key, fp and component_id (the smallest key that chains of links reach) of every row.
 
-    Of rows that repeat a key one stays. Rows without a key belong to no group and stay."""
-    found = near_duplicates(docs, key=key, text=text, **settings)
-    keep = found.filter(F.col(key) == F.col("component_id")).select(key)
-    return docs.join(keep, key, "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull()))
+    Rows with equal fingerprints are linked: repeated rows, and all null or
+    empty texts. An empty table gives no rows; null keys stay null and count
+    for component_id only if no other key is there."""
+    return _rooted(docs, key, text, shingle, seed, distance, []).select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest key; columns as in docs.
+
+    Documents are told apart by key and text together: rows of one key with unlike
+    texts are in different groups, and each group keeps one of its own. Of a group
+    whose smallest key has several texts, the one with the smallest hash stays; of
+    rows equal in key and text, one. Rows without a key belong to no group and stay."""
+    tag = unused(docs, "_text_sha")
+    tagged = docs.withColumn(tag, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    found = _rooted(tagged.filter(F.col(key).isNotNull()), key, text, shingle, seed, distance, [tag])
+    keep = found.filter(F.col(key) == F.col("component_id")).groupBy("root").agg(F.first(key).alias(key), F.min(tag).alias(tag)).drop("root")
+    chosen = tagged.join(keep, [key, tag], "left_semi").dropDuplicates([key, tag])
+    return chosen.select(*docs.columns).unionByName(docs.filter(F.col(key).isNull()))
