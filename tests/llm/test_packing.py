@@ -38,8 +38,7 @@ def check_pieces(rows, texts, limits=K.LIMITS):
             assert r.offset == at
             at += r.length
         assert at <= limits[0] and len(own) <= limits[1]
-        # One piece alone may be above the limit on loss; it can't be helped by others.
-        assert len(own) == 1 or loss_of(own) <= limits[2]
+        assert loss_of(own) <= limits[2]
         padding += 0 if at & (at - 1) == 0 else limits[0] - at
     return padding, sum(map(len, ids.values()))
 
@@ -71,10 +70,34 @@ def test_each_limit_binds(spark, which):
         by_seq = defaultdict(list)
         for r in K.pack_documents(docs, P.path("byte_bpe_50k.json"), P.PATTERN, limits=limits).collect():
             by_seq[r.sequence_id].append(r)
-        most[name] = max(measure(own) for own in by_seq.values() if which != 2 or len(own) > 1)
+        most[name] = max(measure(own) for own in by_seq.values())
     assert most["set"] <= K.LIMITS[which] < most["free"]
 
 
+@pytest.mark.parametrize("limits", [K.LIMITS, (64, 4, 60), (64, 4, 20), (64, 1, 60), (64, 16, 64), (1024, 2, 1)])
+def test_whole_sequences_hold_all_limits(limits):
+    for n in [0, 1, 60, 64, 65, 1000, 1024, 1025, 1098, 2047, 20000]:
+        for prompt in (0, n // 8, n // 2, n):
+            whole, start, stop = K.whole_sequences(n, prompt, limits)
+            pieces = sorted(x for own in whole for x in own) + [(start, stop - start)]
+            at = 0
+            for a, length in sorted(pieces):
+                assert a == at and (length > 0 or a == start)
+                at += length
+            assert at == n and stop - start < max(limits[0], limits[2] + 1)
+            for own in whole:
+                assert len(own) <= limits[1] and sum(x[1] for x in own) <= limits[0] and sum(K.loss_bearing(a, m, prompt) for a, m in own) <= limits[2]
+            assert K.loss_bearing(start, stop - start, prompt) <= limits[2]
+
+
+def test_long_documents_fill_sequences_but_for_little(spark):
+    rng = np.random.default_rng(0)
+    texts = {i: ("word the " * int(rng.integers(1, 4000))).strip() for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    padding, total = check_pieces(K.pack_documents(docs, P.path("byte_bpe_50k.json"), P.PATTERN, ids=True).collect(), texts)
+    assert padding < 0.02 * total
+
+
 def test_repeated_and_keyless_rows_are_packed_each(spark):
     rows = [(7, "one two three")] * 40 + [(7, "four")] + [(None, "five six"), (None, None), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -118,6 +118,27 @@ def close_gaps(bins: list[list[tuple[int, int, int]]], limits: tuple[int, int, i
     return out
 
 
+def whole_sequences(n: int, prompt: int, limits: tuple[int, int, int]) -> tuple[list[list[tuple[int, int]]], int, int]:
+    """Full sequences of one document of n ids, as pieces (start, length), and the range of ids that is left.
+
+    A piece beyond the prompt may be longer by one than the limit on loss, for its
+    first id bears none. What such a sequence has left is filled from the prompt's
+    beginning, whose ids bear none at all; without a prompt left it stays open.
+    Runs that hold enough of the prompt fill a sequence alone."""
+    tokens, segments, loss = limits
+    body = min(tokens, loss + 1)
+    fill = tokens - body if segments > 1 else 0
+    out, start, stop = [], 0, n
+    while stop - max(prompt, start) >= body:
+        filler = fill if start + fill <= prompt else 0
+        out.append([(start, filler)] * (filler > 0) + [(stop - body, body)])
+        start, stop = start + filler, stop - body
+    while stop - start >= tokens and loss_bearing(start, tokens, prompt) <= loss:
+        out.append([(start, tokens)])
+        start += tokens
+    return out, start, stop
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -141,14 +162,12 @@ def pack_documents(
 
     tokenizer is a byte-level BPE file (JSON or ranks) and pattern its split
     pattern. A document's ids are those of its text (a null text counts as
-    empty) and end_id. Whole runs of limits[0] ids are sequences of their own; what
-    remains of each document is a vector (tokens, segments, tokens that bear
-    loss; see loss_bearing and PROMPT_PART) and is packed in its group, cut
-    where that closes a gap; a remainder above the limit on loss is a sequence
-    of its own. Rows with the same key are separate documents, rows equal in
+    empty) and end_id. A long document fills sequences of its own (see
+    whole_sequences); what remains of each document is a vector (tokens, segments,
+    tokens that bear loss; see loss_bearing and PROMPT_PART) and is packed in its
+    group, cut where that closes a gap. All limits hold in every sequence. Rows with the same key are separate documents, rows equal in
     all too; an empty table gives no pieces; null keys are kept as null.
     ids=True adds the piece's ids (array of int). Other columns are not read."""
-    tokens = limits[0]
     kept = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     groups = max(1, -(-docs.select(F.lit(1)).count() // group_rows))
 
@@ -160,40 +179,41 @@ def pack_documents(
             for k, end in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
                 own = np.append(ids_of_all[begin:end], end_id).astype("<u4")
                 begin = end
-                whole = len(own) // tokens
-                crcs = [_crc(own[i * tokens : (i + 1) * tokens]) for i in range(whole)]
-                rows.append((k, len(own), crcs, own[whole * tokens :].tobytes(), own[: whole * tokens].tobytes() if ids else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            columns = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, part.column(2)], names=["key", "n", "crcs", "rest", "head", "row"])
+                whole, start, stop = whole_sequences(len(own), len(own) // PROMPT_PART, limits)
+                pieces = [(i, a, n) for i, sequence in enumerate(whole) for a, n in sequence]
+                crcs = [_crc(own[a : a + n]) for _, a, n in pieces]
+                head = np.concatenate([own[a : a + n] for _, a, n in pieces]).tobytes() if ids and pieces else b""
+                rows.append((k, len(own), *([x[c] for x in pieces] for c in range(3)), crcs, start, own[start:stop].tobytes(), head))
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.int64(), longs, longs, longs, longs, pa.int64(), pa.binary(), pa.binary()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, part.column(2)], names=["key", "n", "places", "starts", "sizes", "crcs", "begin", "rest", "head", "row"])
 
     def pack(group: pa.Table) -> pa.Table:
         number = group.column("grp")[0].as_py()
         group = group.sort_by([("key", "ascending"), ("n", "ascending"), ("rest", "ascending")])
-        keys, ns = group.column("key").to_pylist(), group.column("n").to_pylist()
-        crcs, rest = group.column("crcs").to_pylist(), [np.frombuffer(x, dtype="<u4") for x in group.column("rest").to_pylist()]
-        heads = group.column("head").to_pylist()
+        keys, ns, begins = (group.column(c).to_pylist() for c in ("key", "n", "begin"))
+        rest = [np.frombuffer(x, dtype="<u4") for x in group.column("rest").to_pylist()]
         lengths = np.array([len(x) for x in rest])
         rows = np.nonzero(lengths)[0]
-        # Pieces and prompts are counted from where a document's whole runs end.
-        prompts = [max(0, n // PROMPT_PART - (n - int(m))) for n, m in zip(ns, lengths, strict=True)]
+        # What is left of a document is counted from where it begins.
+        prompts = [max(0, n // PROMPT_PART - begin) for n, begin in zip(ns, begins, strict=True)]
         demand = np.array([(lengths[i], 1, loss_bearing(0, int(lengths[i]), prompts[i])) for i in rows], dtype=np.float64).reshape(-1, 3)
-        fits = demand[:, 2] <= limits[2]
-        alone = [[(int(i), 0, int(lengths[i]))] for i in rows[~fits]]
-        rows = rows[fits]
-        bins = [[(int(rows[i]), 0, int(lengths[rows[i]])) for i in b] for b in dot_product_packing(demand[fits], np.array(limits))]
+        bins = [[(int(rows[i]), 0, int(lengths[rows[i]])) for i in b] for b in dot_product_packing(demand, np.array(limits))]
         out, seq = [], number << 32
-        for i, own in enumerate(crcs):
-            for j, crc in enumerate(own):
-                piece = np.frombuffer(heads[i], dtype="<u4")[j * tokens : (j + 1) * tokens].tolist() if ids else None
-                out.append((keys[i], j * tokens, tokens, crc, ns[i], seq, 0, piece))
-                seq += 1
-        for own in alone + close_gaps(bins, limits, prompts):
+        for i, parts in enumerate(zip(*(group.column(c).to_pylist() for c in ("places", "starts", "sizes", "crcs", "head")), strict=True)):
+            at = offset = 0
+            for j, (place, start, length, crc) in enumerate(zip(*parts[:4], strict=True)):
+                offset = 0 if j == 0 or place != parts[0][j - 1] else offset
+                piece = np.frombuffer(parts[4], dtype="<u4")[at : at + length].tolist() if ids else None
+                out.append((keys[i], start, length, crc, ns[i], seq + place, offset, piece))
+                offset, at = offset + length, at + length
+            seq += parts[0][-1] + 1 if parts[0] else 0
+        for own in close_gaps(bins, limits, prompts):
             offset = 0
             for i, start, length in own:
                 piece = rest[i][start : start + length]
-                out.append((keys[i], ns[i] - int(lengths[i]) + start, length, _crc(piece), ns[i], seq, offset, piece.tolist() if ids else None))
+                out.append((keys[i], begins[i] + start, length, _crc(piece), ns[i], seq, offset, piece.tolist() if ids else None))
                 offset += length
             seq += 1
         cols = list(zip(*out, strict=True)) if out else [[]] * 8
@@ -203,7 +223,7 @@ def pack_documents(
 
     # The number of a row in its partition parts rows that are equal in all.
     kept = kept.withColumn("row", F.monotonically_increasing_id())
-    dealt = kept.mapInArrow(cut, "key long, n long, crcs array<long>, rest binary, head binary, row long").withColumn(
+    dealt = kept.mapInArrow(cut, "key long, n long, places array<long>, starts array<long>, sizes array<long>, crcs array<long>, begin long, rest binary, head binary, row long").withColumn(
         "grp", F.pmod(F.xxhash64("key", F.crc32("rest"), "row"), F.lit(groups))
     ).drop("row")
     out = dealt.groupBy("grp").applyInArrow(pack, PIECES + (", ids array<int>" if ids else ""))
