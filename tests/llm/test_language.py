@@ -103,3 +103,17 @@ def test_documents(spark):
     assert L.predict(odd.filter(F.lit(False)), model).count() == 0
     nothing = L.train(docs.withColumn("lang", F.lit(None).cast("string")), L.vocabulary(P.path("piece_bpe_32k.model")))
     assert {r.lang_pred for r in L.predict(odd, nothing).collect()} == {"und"}
+
+
+def test_sums_that_underflow_are_kept_as_logarithms():
+    letters = [L.START, *"abcdefgh"]
+    few = np.full((len(letters), 2), 0.05 / 1e9)
+    few[:, 1] *= 0.5
+    model = L.Pieces(letters, few)
+    words = ["abcdefg" * 4 + "abc"[:k] for k in range(3)] + ["a", "abcdefgh" * 9]
+    got = model.log_likelihoods(words)
+    want = np.array([[(len(w) + 1) * np.log(p) for p in few[0]] for w in words])
+    assert np.allclose(got, want, rtol=1e-9)
+    counts = np.zeros(len(letters))
+    model.expected("abcdefgh" * 3 + "abcdefg", 0, 2.0, counts)
+    assert np.allclose(counts, [2, 8, 8, 8, 8, 8, 8, 8, 6])

@@ -30,8 +30,8 @@ START = "▁"
 SAMPLE_DOCS = 1500
 #: EM rounds, and the prior count of a piece.
 ROUNDS, PRIOR = 3, 0.05
-#: Longest word whose sums are sure to stay within floating point; those of longer ones are kept as logarithms.
-LINEAR = 32
+#: Longest word whose sums are tried as they are; those of longer ones, and of words with a sum below TINY, are kept as logarithms.
+LINEAR, TINY = 32, 1e-280
 #: Cells of the forward sums that are held at a time.
 CELLS = 2_000_000
 #: Probability of a character that no piece begins with.
@@ -89,14 +89,15 @@ class Pieces:
         out = np.zeros((len(words), self.probability.shape[1]))
         spelled = [START + w for w in words]
         order = sorted((i for i, w in enumerate(spelled) if len(w) <= LINEAR), key=lambda i: len(spelled[i]))
-        step = max(1, CELLS // ((LINEAR + 1) * max(1, out.shape[1])))
+        step, faint = max(1, CELLS // ((LINEAR + 1) * max(1, out.shape[1]))), []
         for at in range(0, len(order), step):
             part = order[at : at + step]
-            out[part] = np.log(self._forward([spelled[i] for i in part]))
-        for i, w in enumerate(spelled):
-            if len(w) > LINEAR:
-                start, stop, piece = self._by_stop(w)
-                out[i] = _log_sums(start, stop, self.logs[piece], len(w))[-1]
+            sums = self._forward([spelled[i] for i in part])
+            out[part] = np.log(np.maximum(sums, TINY))
+            faint += [i for i, least in zip(part, sums.min(axis=1, initial=1.0).tolist(), strict=True) if least < TINY]
+        for i in [*faint, *(i for i, w in enumerate(spelled) if len(w) > LINEAR)]:
+            start, stop, piece = self._by_stop(spelled[i])
+            out[i] = _log_sums(start, stop, self.logs[piece], len(spelled[i]))[-1]
         return out
 
     def _forward(self, words: list[str]) -> np.ndarray:
@@ -123,7 +124,12 @@ class Pieces:
         """Adds the expected uses of pieces in times words to counts."""
         word = START + word
         n = len(word)
-        if n > LINEAR:
+        p, arcs = self.columns[language], self.arcs(word)
+        forward = [1.0] + [0.0] * n
+        if n <= LINEAR:
+            for i, j, piece in arcs:
+                forward[j] += forward[i] * p[piece]
+        if forward[n] < TINY:
             start, stop, piece = self._by_stop(word)
             logs = self.logs[piece, language][:, None]
             forward, back = _log_sums(start, stop, logs, n), np.lexsort((-stop, n - start))
@@ -132,11 +138,7 @@ class Pieces:
             known = piece != self.unknown
             np.add.at(counts, piece[known], uses[known])
             return
-        p, arcs = self.columns[language], self.arcs(word)
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
-        forward[0] = backward[n] = 1.0
-        for i, j, piece in arcs:
-            forward[j] += forward[i] * p[piece]
+        backward = [0.0] * n + [1.0]
         for i, j, piece in reversed(arcs):
             backward[i] += backward[j] * p[piece]
         scale = times / forward[n]
