@@ -39,3 +39,22 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     assert len({r.shard for r in shard(df, 24).collect()}) == 2
     assert shard(df.filter(F.lit(False)), 24).count() == 0
+
+
+def test_rows_equal_in_all_are_dealt_over_partitions(spark):
+    """A third of all rows have no key and one text; no range of the order gets them all."""
+    same = spark.range(20000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rest = spark.range(40000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "16k"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    rows = shard(same.unionByName(rest), 24)
+    # A partition reads at most one file of the placed rows, which is a range of the order.
+    ranges = [r["count"] for r in rows.filter("doc_id IS NULL").groupBy(F.spark_partition_id()).count().collect()]
+    for k in held:
+        spark.conf.unset(k)
+    assert sum(ranges) == 20000 and max(ranges) < 18000
+    by = defaultdict(list)
+    for r in rows.collect():
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and len(by) == 24

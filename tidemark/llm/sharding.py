@@ -4,8 +4,8 @@ Rows are put in a global order (a hash of the text, then the key, so that
 equal texts lie together), dealt by range into partitions. Each partition's
 total gives the offset of the next; a running sum within a partition then
 gives every row's global byte position, and cuts at equal targets give the
-shards. The order's second key splits even a group of copies that holds a
-third of all rows; the text itself is never shuffled.
+shards. The order's last key, a number of the row, splits even rows that are
+equal in all and make up a third of the table; the text itself is never shuffled.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ def shard(docs: DataFrame, shards: int = 24, *, key: str = "doc_id", text: str =
         F.crc32(whole.cast("binary")).alias("crc"),
         F.xxhash64(whole).alias("h"),
     )
-    order = ["h", "key", "crc", "size"]
-    dealt = stored(rows).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    # The number of a row parts rows that are equal in all, however many there are.
+    rows = stored(rows.withColumn("nth_row", F.monotonically_increasing_id()))
+    order = ["h", "key", "crc", "size", "nth_row"]
+    dealt = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     dealt = stored(dealt)
     # One row a partition: bounded by the number of partitions, whatever the input.
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
