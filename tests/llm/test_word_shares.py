@@ -33,3 +33,15 @@ def test_words_of_one_class_are_told_apart(spark, known):
     assert out[11].log_likelihood > out[12].log_likelihood > out[13].log_likelihood
     assert out[14].log_likelihood > out[15].log_likelihood
     assert [(out[k].n_tokens, out[k].log_likelihood, out[k].mean_log_likelihood) for k in (17, 18)] == [(0, 0.0, None)] * 2
+
+
+def test_words_are_parted_alike_where_they_are_counted_and_scored(spark):
+    text = " ".join(["alpha\u00a0beta gamma\x1cdelta\x85x\tfull\u3000width"] * 3)
+    docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    counts = M.word_counts(docs)
+    assert {r.word: r.n for r in counts.collect()} == {"alpha\u00a0beta": 3, "gamma\x1cdelta\x85x": 3, "full\u3000width": 3}
+    net = M.train(docs, frequent=2, counts=counts)
+    out = M.score(docs, net, shares=M.word_shares(counts, net.classes)).first()
+    assert out.n_tokens == 9
+    unseen = spark.createDataFrame([(1, text.replace("\u00a0", " "))], "doc_id long, text string")
+    assert M.score(unseen, net, shares=M.word_shares(counts, net.classes)).first().n_tokens == 12

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE_CLASS, slices, stored
-from tidemark.llm.words import WordTable, sums_by_text
+from tidemark.llm.words import WordTable, ascii_words, sums_by_text
 
 #: Frequent words with a class of their own; words on each side; sizes of the layers.
 FREQUENT, WINDOW, EMBED, HIDDEN = 4048, 2, 16, 32
@@ -279,7 +279,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sample: i
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 128):
-            own = [classes.of(t.split()) for t in _texts(part, 1)]
+            own = [classes.of(ascii_words(t)) for t in _texts(part, 1)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array([x.tolist() for x in own], pa.list_(pa.int32()))], names=["key", "classes"])
 
     # A key that repeats brings all its rows; the first sample of them reach the driver.
@@ -297,7 +297,7 @@ def _averaged(picked: DataFrame, network: WindowNetwork) -> WindowNetwork:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, state, held, words, total = copy.deepcopy(shared.value), {}, [], 0, 0
-        table = WordTable(own.classes.of, 600_000)
+        table = WordTable(own.classes.of, 600_000, ascii_words)
 
         def learn() -> None:
             own.fit(np.concatenate([c for c, _ in held]), np.concatenate([e for _, e in held]), epochs=1, state=state)
@@ -341,7 +341,7 @@ def score(docs: DataFrame, network: WindowNetwork, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vocabulary = shared.value
         if not _HELD or _HELD[0][0] is not own:
-            _HELD[:] = [(own, WordTable(vocabulary.of, 400_000))]
+            _HELD[:] = [(own, WordTable(vocabulary.of, 400_000, ascii_words))]
         table = _HELD[0][1]
         for part in slices(batches, 128):
             found, ends = table.look_up(_texts(part, 1))

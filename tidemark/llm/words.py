@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
 
 
+def ascii_words(text: str) -> list[str]:
+    """The words between ASCII white space, as SPACE_CLASS parts them: other spaces belong to words."""
+    return text.split() if text.isascii() and not _SEPARATORS.search(text) else [w.decode() for w in text.encode().split()]
+
+
+#: ASCII characters that str.split takes for white space and bytes.split doesn't.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 class _Numbers(dict):
     def __init__(self):
         super().__init__()
@@ -24,8 +34,8 @@ class WordTable:
     ``describe`` gets a list of words and gives an array with a row for each.
     After ``most`` words the table begins anew, which costs time only."""
 
-    def __init__(self, describe: Callable[[list[str]], np.ndarray], most: int = 500_000):
-        self.describe, self.most = describe, most
+    def __init__(self, describe: Callable[[list[str]], np.ndarray], most: int = 500_000, split: Callable[[str], list[str]] = str.split):
+        self.describe, self.most, self.split = describe, most, split
         self._reset()
 
     def _reset(self) -> None:
@@ -34,12 +44,12 @@ class WordTable:
     def look_up(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """The rows of all words of all texts, and where each text's words end.
 
-        Words are parted by white space."""
+        Words are what split gives; by default they are parted by white space."""
         if len(self.numbers) > self.most:
             self._reset()
         number, found = self.numbers.__getitem__, []
         for t in texts:
-            words = t.split()
+            words = self.split(t)
             found.append(np.fromiter(map(number, words), dtype=np.int32, count=len(words)))
         if self.numbers.new:
             fresh = self.describe(self.numbers.new)
