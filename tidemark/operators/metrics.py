@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.coerce import money_sum, ratio, safe_corr
+from tidemark.operators.quantiles import exact_quantiles
 
 # Fixed values of the method: scale of the deviation, share cap, lift above which a year is discounted, tolerance.
 MAD_SCALE, SPIKE_Z, SHARE_CAP, MAX_LIFT, TOLERANCE, FEWEST_PAIRS = 1.4826, 3.0, 0.10, 0.50, 0.02, 10
@@ -30,22 +31,22 @@ def weighted_age(df: DataFrame, keys: list[str], age: str, weight: str) -> DataF
 
 def ratio_diagnostics(df: DataFrame, reported: str, constructions: dict[str, str], size: str) -> DataFrame:
     """For each construction: n, median and interquartile range of reported over it, correlation
-    (null below ten pairs); and the correlation of reported with the log of size."""
-    x, none = F.col(reported), F.lit(None).cast("double")
-    rows = []
-    for name, column in constructions.items():
-        used = x.isNotNull() & F.col(column).isNotNull()
-        n = F.count_if(used)
-        q = F.percentile(F.when(used, ratio(x, F.col(column))), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        enough = n >= FEWEST_PAIRS
-        rows.append((name, n, F.when(enough, q[1]), F.when(enough, q[2] - q[0]), F.when(enough, safe_corr(x, F.col(column)))))
+    (null below ten pairs); and the correlation of reported with the log of size.
+
+    Runs at once, in a few scans; quantiles are exact (see exact_quantiles)."""
+    x = F.col(reported)
+    used = {name: x.isNotNull() & F.col(column).isNotNull() for name, column in constructions.items()}
+    ratios = [F.when(used[name], ratio(x, F.col(column))) for name, column in constructions.items()]
     log = F.ln(F.greatest(F.col(size), F.lit(1.0)))
-    used = x.isNotNull() & F.col(size).isNotNull()
-    rows.append(("size", F.count_if(used), none, none, safe_corr(x, F.when(F.col(size).isNotNull(), log))))
-    names = ["construction", "n", "median_ratio", "iqr_ratio", "corr"]
-    made = [F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(k) for k, v in zip(names, row, strict=True)]) for row in rows]
-    # One scan and one aggregate for all constructions, a row each at the end.
-    return df.agg(F.array(*made).alias("rows")).select(F.inline("rows"))
+    of_size = [F.count_if(x.isNotNull() & F.col(size).isNotNull()), safe_corr(x, F.when(F.col(size).isNotNull(), log))]
+    sums = [F.count_if(u) for u in used.values()] + [safe_corr(x, F.col(column)) for column in constructions.values()]
+    quartiles, found = exact_quantiles(df, ratios, [0.25, 0.5, 0.75], also=sums + of_size)
+    k, rows = len(constructions), []
+    for i, name in enumerate(constructions):
+        q, enough = quartiles[i], found[i] >= FEWEST_PAIRS
+        rows.append((name, found[i], q[1] if enough else None, q[2] - q[0] if enough and q[1] is not None else None, found[k + i] if enough else None))
+    rows.append(("size", found[2 * k], None, None, found[2 * k + 1]))
+    return df.sparkSession.createDataFrame(rows, "construction string, n long, median_ratio double, iqr_ratio double, corr double")
 
 
 def spike_excess(df: DataFrame, entity: str, amount: str, z: float = SPIKE_Z) -> DataFrame:

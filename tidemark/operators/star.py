@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from tidemark.operators.flags import Rule, count_severity, flag_rows
 from tidemark.operators.ladder import rank_ladder, summarise_ladder, winning
 from tidemark.operators.metrics import share_of_total
 from tidemark.operators.observations import latest_observation
+from tidemark.operators.quantiles import exact_quantiles
 from tidemark.sources.tables import write_tables
 
 c = F.col
@@ -151,13 +154,15 @@ def field_coverage(frame: DataFrame, date: str, kind: str, sold: str, fields: li
 
 
 def age_check(rows: DataFrame, reported: str, size: str, age: str) -> DataFrame:
-    """Whether a reported age can be one: correlations, how often it exceeds the entity's age, median, maximum."""
+    """Whether a reported age can be one: correlations, how often it exceeds the entity's age, median, maximum.
+
+    Runs at once, in a few scans; the median is exact (see exact_quantiles)."""
     used = rows.filter(c(reported).isNotNull() & (c(size) > 0))
     log = F.ln(F.when(c(size) > 0, c(size)))
-    return used.agg(
-        F.count("*").alias("n"), safe_corr(c(reported), log).alias("corr_with_log_size"), safe_corr(c(reported), c(age)).alias("corr_with_age"),
-        F.count_if(c(reported) > c(age) + 0.51).alias("n_exceeds_age"), F.median(reported).alias("median_reported"), F.max(reported).alias("max_reported"),
-    )
+    sums = [F.count("*"), safe_corr(c(reported), log), safe_corr(c(reported), c(age)), F.count_if(c(reported) > c(age) + 0.51), F.max(c(reported).cast("double"))]
+    ((median,),), (n, with_size, with_age, exceeds, most) = exact_quantiles(used, [c(reported)], [0.5], also=sums)
+    schema = "n long, corr_with_log_size double, corr_with_age double, n_exceeds_age long, median_reported double, max_reported double"
+    return rows.sparkSession.createDataFrame([(n, with_size, with_age, exceeds, median, most)], schema)
 
 
 def repeat_pairs(sales: DataFrame, asset: str, sale: str, date: str, price: str, size: str) -> DataFrame:
@@ -174,7 +179,25 @@ def repeat_sales(assets: DataFrame, frame: DataFrame) -> DataFrame:
     return pairs.join(assets.select("asset_id", "n_sold_listings"), "asset_id")
 
 
-def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bool = False, folder: str | None = None) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name; one that is given as a function is made when it is first asked for."""
+
+    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
+        self._tables = dict(tables)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if callable(found := self._tables[name]):
+            found = self._tables[name] = found()
+        return found
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._tables)
+
+    def __len__(self) -> int:
+        return len(self._tables)
+
+
+def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bool = False, folder: str | None = None) -> Tables:
     """All analytic tables and views from obs_index and the tables of detail_observations.
 
     With a folder the tables that feed several others (latest observations,
@@ -191,15 +214,15 @@ def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bo
     outcomes, panel = keep(fact_outcome=fact_outcome(dim, det, idx, offers, all_access=all_access), fact_earnings_panel=fact_earnings_panel(det, observations["quarter"], dim))
     flags, assets = keep(data_quality_flag=quality_flags(dim, outcomes, panel, as_of), dim_asset=dim_asset(dim, outcomes))
     (frame,) = keep(v_pricing_frame=pricing_frame(dim, outcomes, flags))
-    return {
+    return Tables({
         "dim_listing": dim, "fact_offer": offers, "fact_outcome": outcomes, "fact_earnings_panel": panel, "fact_source_mix": fact_source_mix(det, observations["breakdown"]), "dim_asset": assets,
         "data_quality_flag": flags, "v_pricing_frame": frame,
         "v_field_coverage": field_coverage(frame, "deal_date", "kind", "sold", ["dollar_age", "three_years_average", "n_unique_bidders", "marketplace_median_multiplier"]),
-        "v_dollar_age_check": age_check(dim, "dollar_age", "ltm", "catalog_age_years"), "v_repeat_sales": repeat_sales(assets, frame),
-    }
+        "v_dollar_age_check": lambda: age_check(dim, "dollar_age", "ltm", "catalog_age_years"), "v_repeat_sales": repeat_sales(assets, frame),
+    })
 
 
-def publish(tables: dict[str, DataFrame], prefix: str = "") -> None:
+def publish(tables: Mapping[str, DataFrame], prefix: str = "") -> None:
     """Makes tables views of the session, under their names, for SQL; views of these names are replaced."""
     for name, df in tables.items():
         df.createOrReplaceTempView(prefix + name)
