@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,9 +150,16 @@ def test_landing_and_stream(spark, tmp_path):
     table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
     for _ in range(2):
         ingest_files(spark, str(plain), table, checkpoint, payloads.index_observations)
-    (plain / "b.json").write_text(page(INDEX))  # the same payload again: nothing new
+    (plain / "b.json").write_text(page(INDEX))  # the same payload of the same time again: nothing new
+    os.utime(plain / "b.json", ns=(0, (plain / "a.json").stat().st_mtime_ns))
     ingest_files(spark, str(plain), table, checkpoint, payloads.index_observations)
     assert spark.read.parquet(table).count() == 3
+    (plain / "c.json").write_text(page(INDEX))  # and of another day: an observation of its own
+    later = (plain / "a.json").stat().st_mtime + 2 * 86400
+    os.utime(plain / "c.json", (later, later))
+    ingest_files(spark, str(plain), table, checkpoint, payloads.index_observations)
+    seen = spark.read.parquet(table)
+    assert seen.count() == 6 == seen.select("obs_id").distinct().count() and seen.select("observed_on").distinct().count() == 2
     csv = tmp_path / "export.csv"
     csv.write_text(",".join(landing.EXPORT_COLUMNS) + "\r\n" + ",".join("2024" if x == "distribution_year" else "-1.25" if x == "payable_amount" else "" for x in landing.EXPORT_COLUMNS) + "\r\n")
     row = landing.earnings_export(spark, str(csv)).first()

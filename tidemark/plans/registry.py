@@ -433,6 +433,29 @@ def metadata_default(spark, sf):
     return named.withColumn("n", F.coalesce("n", F.lit(0)))
 
 
+WALK = """o AS (SELECT DISTINCT o_orderkey // 60 AS page FROM orders),
+p AS (SELECT page, CASE WHEN page % 40 = 39 THEN NULL WHEN page // 40 % 5 = 3 AND page % 40 = 30 THEN page - 25 ELSE page + 1 END AS next FROM o WHERE page // 40 % 5 <> 1 OR page % 40 <> 17)"""
+
+
+@query(f"""WITH RECURSIVE {WALK},
+w AS (SELECT page, page AS spot, 0::BIGINT AS steps FROM p UNION ALL SELECT w.page, p.next, steps + 1 FROM w JOIN p ON p.page = w.spot JOIN p n ON n.page = p.next WHERE steps < 100),
+e AS (SELECT page, max(steps) AS steps, arg_max(spot, steps) AS spot FROM w GROUP BY 1),
+r AS (SELECT e.page, CASE WHEN steps = 100 THEN 'cycles' WHEN p.next IS NULL THEN 'ends' ELSE 'breaks' END AS status, CASE WHEN steps < 100 THEN e.spot END AS last, CASE WHEN steps < 100 THEN steps END AS steps FROM e JOIN p ON p.page = e.spot)
+SELECT page, status, last, steps, CASE WHEN last IS NOT NULL THEN max(steps) OVER (PARTITION BY last) - steps END AS position FROM r""")
+def cursor_chain(spark, sf):
+    """Pages of orders whose cursors lead on: walks of 40 pages, of which some lack a page and some turn back."""
+    group, place = F.expr("page div 40 % 5"), c("page") % 40
+    pages = table(spark, sf, "orders").select(F.expr("o_orderkey div 60").alias("page"), "o_orderkey").groupBy("page").agg(F.sort_array(F.collect_list(F.struct(c("o_orderkey").alias("listing_id")))).alias("results"))
+    ahead = F.when(place == 39, None).when((group == 3) & (place == 30), c("page") - 25).otherwise(c("page") + 1).cast("string")
+    pages = pages.filter((group != 1) | (place != 17))
+    payload = F.to_json(F.struct("results", ahead.alias("next")))
+    landed = pages.select(c("page").cast("string").alias("url"), payload.alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
+    # An older look at each page, from before it led on.
+    older = landed.select("url", F.lit("{}").alias("payload"), F.lit("2023-01-01").cast("timestamp").alias("observed_at"))
+    found = payloads.crawl_order(landed.unionByName(older), scratch(spark))
+    return found.select(c("url").cast("long").alias("page"), "status", c("last").cast("long").alias("last"), "steps", "position")
+
+
 def detail_payloads(spark, sf, *, deals: bool = False) -> DataFrame:
     """Orders with their lines as detail payloads of JSON; with deals, two of three have sold to their
     highest line, and there are assets, income mixes, lifetime totals and counts."""
@@ -580,6 +603,16 @@ def landing_twice(spark, sf):
     return landing.landed(spark, where).select(F.sha2(c("payload").cast("binary"), 256).alias("content_sha256"), "n_bytes")
 
 
+@query("""SELECT DISTINCT sha256(text) AS content_sha256, sha256(text)[1:2] || '/' || sha256(text)[3:4] AS folder, octet_length(encode(text))::BIGINT AS n_bytes, true AS intact FROM documents WHERE text IS NOT NULL""")
+def landing_files(spark, sf):
+    """Texts land twice as files that their hashes name; the second time adds none."""
+    where = scratch(spark)
+    for _ in range(2):
+        landing.land_files(table(spark, sf, "documents"), where, "text")
+    found = landing.landed_files(spark, where)
+    return found.select("content_sha256", "folder", F.octet_length("payload").cast("long").alias("n_bytes"), "intact")
+
+
 @query("""SELECT 'listing' AS name, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'index', count(*) FROM orders WHERE o_orderkey % 10 <> 0
 UNION ALL SELECT 'offer', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 9 <> 0)
 UNION ALL SELECT 'quarter', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
@@ -603,5 +636,5 @@ def streaming_ingest(spark, sf):
     where = scratch(spark)
     schema = table(spark, sf, "events").schema
     for _ in range(2):
-        ingest.ingest_rows(spark, sf, schema, "events.parquet", f"{where}/table", f"{where}/checkpoint", "event_id")
+        ingest.ingest_rows(spark, sf, schema, "events.parquet", f"{where}/table", f"{where}/checkpoint", "event_id", at="ts")
     return spark.read.parquet(f"{where}/table").select("event_id", "user_id", "value")

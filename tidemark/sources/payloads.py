@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.coerce import to_day, to_integer, to_number, to_timestamp
+from tidemark.operators.chains import positions, ranked_chains
 from tidemark.sources.tables import write_tables
 
 #: Version of these rules, stamped on every observation.
@@ -114,6 +115,20 @@ def frontier(pages: DataFrame, url: str = "url", payload: str = "payload") -> Da
     return ahead.join(pages.select(F.col(url).alias("next_url")), "next_url", "left_anti")
 
 
+def crawl_order(pages: DataFrame, folder: str, url: str = "url", payload: str = "payload", observed_at: str = "observed_at") -> DataFrame:
+    """url, position, last, steps and status of every landed page, by following the cursors of all of them.
+
+    position counts pages from the head of the page's walk. A walk whose status is
+    "ends" has landed whole, one that "breaks" goes on at what frontier names, and
+    one that "cycles" never ends (position is null). A page that landed more than
+    once counts as it was observed last. Intermediate tables are written to folder."""
+    named = pages.select(F.col(url).alias("url"), F.col(observed_at).alias("_at"), F.col(payload).alias("payload"))
+    latest = index_pages(named).groupBy("url").agg(F.max(F.struct("_at", "next_url")).alias("_last"))
+    links = latest.select("url", F.col("_last.next_url").alias("next_url"))
+    keep = lambda df, name: write_tables({name: df}, folder)[name]
+    return positions(ranked_chains(links, "url", "next_url", keep)).withColumnRenamed("url", url)
+
+
 def index_listing_ids(pages: DataFrame, payload: str = "payload") -> DataFrame:
     found = pages.select(F.explode(_list(_object(F.col(payload))["results"])).alias("r"))
     return found.select(to_integer(_object(F.col("r"))["listing_id"]).alias("listing_id")).filter("listing_id IS NOT NULL")
@@ -122,7 +137,8 @@ def index_listing_ids(pages: DataFrame, payload: str = "payload") -> DataFrame:
 def index_observations(pages: DataFrame, payload: str = "payload", observed_at: str = "observed_at") -> DataFrame:
     """One row for each listing of each page; rows without an integer id are left out.
 
-    obs_id is a hash of the payload and the listing: loading a page again gives the same ids."""
+    obs_id is a hash of the payload, the listing and the instant: loading what was observed
+    once again gives the same ids, the same payload at another time is another observation."""
     rows = pages.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.explode(_list(_object(F.col(payload))["results"])).alias("_r"))
     rows, m = rows.withColumn("m", _object(F.col("_r"))), F.col("m")
     fields = [m[k].alias(k) for k in INDEX_TEXT] + [_flag(m[k]).alias(k) for k in INDEX_FLAG]
@@ -131,7 +147,7 @@ def index_observations(pages: DataFrame, payload: str = "payload", observed_at:
     out = rows.select(
         to_integer(m["listing_id"]).alias("listing_id"), "observed_at", "content_sha256", *fields, _array_text(m["tags"]).alias("tags"), _remainder(m, known).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version")
     )
-    return out.filter("listing_id IS NOT NULL").select(F.xxhash64("content_sha256", "listing_id").alias("obs_id"), "*")
+    return out.filter("listing_id IS NOT NULL").select(F.xxhash64("content_sha256", "listing_id", "observed_at").alias("obs_id"), "*")
 
 
 def detail_observations(payloads: DataFrame, payload: str = "payload", observed_at: str = "observed_at", *, folder: str | None = None) -> dict[str, DataFrame]:
@@ -142,7 +158,7 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     are parsed once into a table there that all of these read; without one each
     table parses the payloads for itself."""
     base = payloads.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.col(payload).alias("payload"), _object(F.col(payload)).alias("m"))
-    base = base.withColumn("listing_id", to_integer(F.col("m")["id"])).withColumn("obs_id", F.xxhash64("content_sha256", "listing_id"))
+    base = base.withColumn("listing_id", to_integer(F.col("m")["id"])).withColumn("obs_id", F.xxhash64("content_sha256", "listing_id", "observed_at"))
     base = _with_objects(base)
     if folder:
         base = write_tables({"parsed": base}, folder)["parsed"]
