@@ -235,3 +235,21 @@ def test_views_frontier_and_one_scan(spark, tables):
     assert found._jdf.queryExecution().executedPlan().toString().count("Range (") <= 1
     rows = {r.construction: r for r in found.collect()}
     assert (rows["b"].n, rows["c"].n, rows["c"].median_ratio, rows["size"].n) == (20, 5, None, 20)
+
+
+def test_sums_keep_parts_of_cents_and_take_any_size(spark):
+    rows = [("a", 0.004), ("a", 0.004), ("b", 1e17), ("b", 0.5), ("c", 1e200), ("c", 1e200), ("d", None), ("e", -1e16), ("e", 1e16), ("e", 0.25)] + [("f", 0.004)] * 40
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: r.t for r in df.groupBy("k").agg(fn.money_sum(F.col("x")).alias("t")).collect()}
+    assert got == {"a": 0.008, "b": 1e17 + 0.5, "c": 2e200, "d": None, "e": 0.25, "f": 0.16}
+    shares = {(r.k, r.x): r.share for r in metrics.share_of_total(df, ["k"], "x").collect()}
+    assert shares["a", 0.004] == 0.5 and shares["c", 1e200] == 0.5 and shares["d", None] is None
+    panel = metrics.panel_totals(df.withColumn("p", F.monotonically_increasing_id()), "k", "p", "x")
+    assert {r.k: r.panel_total for r in panel.collect()}["f"] == 0.16
+
+
+def test_messages_round_halves_to_even(spark):
+    rows = [(1, 100.0, 20.0, 90.0, None, None, 2, 2.5), (2, 100.0, None, None, 0.125, None, 0, None), (3, 162.5, None, None, None, 100.0, 0, None), (4, 100.0, 1.0, 9.0, None, None, 3, 1003.5)]
+    df = spark.createDataFrame(rows, "i int, raw double, spike double, panel double, share double, prior double, n int, med double")
+    got = [r.detail for r in metrics.normalise(df, "raw", "spike", "panel", "share", "prior", n_spikes="n", median="med").orderBy("i").collect()]
+    assert got[0].endswith("median of 2") and got[1].startswith("share of 12%") and got[2].startswith("+62%") and got[3].endswith("median of 1,004")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 #: What counts as a number in a payload: no suffixes, no words, no underscores.
@@ -91,6 +91,12 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(spread > 0, F.covar_pop(a, b) / spread)
 
 
-def money_sum(amount: Column) -> Column:
-    """A sum that doesn't depend on the order of rows: over DECIMAL(18,2), as a double."""
-    return F.sum(amount.cast("decimal(18,2)")).cast("double")
+def money_sum(amount: Column, over: WindowSpec | None = None) -> Column:
+    """A sum of amounts that keeps parts of cents and doesn't depend on the order of rows, as a double.
+
+    Ten digits after the point are summed exactly. Where an amount or the sum has
+    18 digits or more before it, or isn't finite, the sum is that of doubles."""
+    exact, plain = amount.try_cast("decimal(28,10)"), amount.cast("double")
+    of = (lambda x: x.over(over)) if over is not None else lambda x: x
+    whole = of(F.count(amount)) == of(F.count(exact))
+    return F.coalesce(F.when(whole, of(F.try_sum(exact)).cast("double")), of(F.sum(plain)))

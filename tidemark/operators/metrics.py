@@ -15,18 +15,14 @@ MAD_SCALE, SPIKE_Z, SHARE_CAP, MAX_LIFT, TOLERANCE, FEWEST_PAIRS = 1.4826, 3.0,
 
 def share_of_total(df: DataFrame, keys: list[str], amount: str, name: str = "share") -> DataFrame:
     """df with amount over its total in keys; null for a total of 0."""
-    total = F.sum(F.col(amount).cast("decimal(18,2)")).over(W.partitionBy(*keys)).cast("double")
-    return df.withColumn(name, ratio(F.col(amount), total))
+    return df.withColumn(name, ratio(F.col(amount), money_sum(F.col(amount), W.partitionBy(*keys))))
 
 
 def weighted_age(df: DataFrame, keys: list[str], age: str, weight: str) -> DataFrame:
     """keys, weighted_average (null unless the weights sum above 0), weighted_total (null without rows)."""
     used = df.filter(F.col(age).isNotNull() & F.col(weight).isNotNull())
-    total = F.sum((F.col(age) * F.col(weight)).cast("decimal(28,6)"))
-    weights = F.sum(F.col(weight).cast("decimal(28,6)"))
-    return used.groupBy(*keys).agg(
-        F.when(weights > 0, total.cast("double") / weights.cast("double")).alias("weighted_average"), total.cast("double").alias("weighted_total")
-    )
+    total, weights = money_sum(F.col(age) * F.col(weight)), money_sum(F.col(weight))
+    return used.groupBy(*keys).agg(F.when(weights > 0, total / weights).alias("weighted_average"), total.alias("weighted_total"))
 
 
 def ratio_diagnostics(df: DataFrame, reported: str, constructions: dict[str, str], size: str) -> DataFrame:
@@ -57,9 +53,9 @@ def spike_excess(df: DataFrame, entity: str, amount: str, z: float = SPIKE_Z) ->
     mad = dev.groupBy(entity).agg(F.median("dev").alias("mad"))
     both = dev.join(mad.withColumn("mad", F.coalesce(F.nullif("mad", F.lit(0.0)), F.lit(1.0))), entity)
     spike = F.col(amount) > F.col("median") + z * MAD_SCALE * F.col("mad")
-    over = F.when(spike, (F.col(amount) - F.col("median")).cast("decimal(18,6)"))
+    over = F.when(spike, F.col(amount) - F.col("median"))
     return both.groupBy(entity).agg(
-        F.first("median").alias("median"), F.first("mad").alias("mad"), F.count_if(spike).alias("n_spikes"), F.coalesce(F.sum(over).cast("double"), F.lit(0.0)).alias("excess")
+        F.first("median").alias("median"), F.first("mad").alias("mad"), F.count_if(spike).alias("n_spikes"), F.coalesce(money_sum(over), F.lit(0.0)).alias("excess")
     )
 
 
@@ -87,8 +83,9 @@ def normalise(df: DataFrame, raw: str, spike: str, panel_total: str, share: str,
             out = F.when(when, value).otherwise(out)
         return out
 
-    percent = lambda x, form="%.0f%%": F.format_string(form, x * 100)
-    trimmed = F.format_string("%d spikes trimmed to the median of %,.0f", n_spikes, median) if n_spikes and median else F.lit("spikes trimmed to their median")
+    # Halves go to the even neighbour, which the format alone doesn't do.
+    percent = lambda x, form="%.0f%%": F.format_string(form, F.rint(x * 100))
+    trimmed = F.format_string("%d spikes trimmed to the median of %,.0f", n_spikes, F.rint(median)) if n_spikes and median else F.lit("spikes trimmed to their median")
     cap = F.format_string("%.0f%%", F.lit(SHARE_CAP * 100))
     detail = (
         F.when(s.isNotNull(), trimmed)
@@ -139,12 +136,14 @@ def reconcile(totals: DataFrame, *, lifetime: str, ltm: str, panel: str, last4:
     return totals.withColumn("problems", F.when(none, F.array(F.lit("no periods"))).otherwise(found))
 
 
-def panel_totals(panel: DataFrame, entity: str, period: str, amount: str) -> DataFrame:
-    """entity, n_periods, panel total, and the total of its last four periods; null amounts count as 0."""
+def panel_totals(panel: DataFrame, entity: str, period: str, amount: str, *also: Column) -> DataFrame:
+    """entity, n_periods, panel total, and the total of its last four periods; null amounts count as 0.
+
+    also: further aggregates of the entity's rows, from the same scan."""
     rank = F.row_number().over(W.partitionBy(entity).orderBy(F.desc(period)))
     ranked = panel.withColumn("_rn", rank)
     value = F.coalesce(F.col(amount), F.lit(0.0))
-    return ranked.groupBy(entity).agg(F.count("*").alias("n_periods"), money_sum(value).alias("panel_total"), money_sum(F.when(F.col("_rn") <= 4, value)).alias("last4_total"))
+    return ranked.groupBy(entity).agg(F.count("*").alias("n_periods"), money_sum(value).alias("panel_total"), money_sum(F.when(F.col("_rn") <= 4, value)).alias("last4_total"), *also)
 
 
 def observation_totals(listing: DataFrame, offer: DataFrame, quarter: DataFrame) -> DataFrame:

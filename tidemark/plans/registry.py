@@ -2,7 +2,7 @@
 
 The driver's tables stand in for the domain's: an order is a listing, its lines
 are bids or income, a customer is an asset, events are monthly income. Money is
-summed as DECIMAL(18,2) so that a result doesn't depend on the order of rows.
+summed in decimals so that a result doesn't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -199,6 +199,15 @@ def source_mix_share(spark, sf):
     return metrics.share_of_total(mix, ["l_orderkey"], "amount")
 
 
+@query("""WITH m AS (SELECT l_orderkey, l_suppkey, l_extendedprice / 1e7::DOUBLE AS amount FROM lineitem WHERE l_suppkey % 3 = 0), t AS (SELECT l_orderkey, sum(amount::DECIMAL(28,10))::DOUBLE AS total FROM m GROUP BY 1)
+SELECT l_orderkey, l_suppkey, round(amount / nullif(total, 0), 6) AS share, round(total, 9) AS total FROM m JOIN t USING (l_orderkey)""")
+def small_amounts(spark, sf):
+    """Amounts below a cent: their shares and totals."""
+    m = table(spark, sf, "lineitem").filter("l_suppkey % 3 = 0").select("l_orderkey", "l_suppkey", (c("l_extendedprice") / 1e7).alias("amount"))
+    shared = metrics.share_of_total(m, ["l_orderkey"], "amount").withColumn("total", fn.money_sum(c("amount"), W.partitionBy("l_orderkey")))
+    return shared.select("l_orderkey", "l_suppkey", F.round("share", 6).alias("share"), F.round("total", 9).alias("total"))
+
+
 @query("""WITH q AS (SELECT l_suppkey, date_trunc('quarter', l_shipdate)::DATE AS period, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS total FROM lineitem GROUP BY 1, 2)
 SELECT l_suppkey, period::VARCHAR AS period, total, (datediff('month', min(period) OVER (PARTITION BY l_suppkey), period) // 3)::BIGINT AS quarter_index,
   datediff('day', DATE '1995-01-01' + (l_suppkey % 400)::INTEGER, period) / 91.31::DOUBLE AS quarters_before_listing FROM q""")
@@ -262,10 +271,9 @@ def quality_flags(spark, sf):
 SELECT l_orderkey, o_custkey, date_trunc('quarter', o_orderdate)::DATE::VARCHAR AS deal_quarter, ltm / nullif(three_years_average, 0) AS ltm_vs_3yr, price, second_price,
   (SELECT count(*) FROM flags q WHERE q.l_orderkey = p.l_orderkey AND severity = 'exclude') AS n_exclude_flags FROM priced p LEFT JOIN ladder USING (l_orderkey)""")
 def pricing_frame(spark, sf):
-    base = priced_orders(spark, sf)
-    n = flags.count_severity(flags.flag_rows(base, "l_orderkey", ORDER_RULES), "l_orderkey", "exclude", "n")
-    wide = base.join(ladder_summary(spark, sf), "l_orderkey", "left").join(n, "l_orderkey", "left")
-    return wide.select("l_orderkey", "o_custkey", F.date_trunc("quarter", "o_orderdate").cast("date").cast("string").alias("deal_quarter"), fn.ratio(c("ltm"), c("three_years_average")).alias("ltm_vs_3yr"), "price", "second_price", F.coalesce("n", F.lit(0)).alias("n_exclude_flags"))
+    base = priced_orders(spark, sf).withColumn("n", flags.n_flags(ORDER_RULES, "exclude"))
+    wide = base.join(ladder_summary(spark, sf), "l_orderkey", "left")
+    return wide.select("l_orderkey", "o_custkey", F.date_trunc("quarter", "o_orderdate").cast("date").cast("string").alias("deal_quarter"), fn.ratio(c("ltm"), c("three_years_average")).alias("ltm_vs_3yr"), "price", "second_price", c("n").alias("n_exclude_flags"))
 
 
 @query(f"""WITH {PRICED} SELECT date_trunc('year', o_orderdate)::DATE::VARCHAR AS deal_year, o_orderpriority AS kind, count(*) AS n, sum(CASE WHEN price > 0 THEN 1 ELSE 0 END)::BIGINT AS n_sold,
@@ -338,10 +346,9 @@ def normalise_cascade(spark, sf):
 
 def order_totals(spark, sf) -> DataFrame:
     lines = table(spark, sf, "lineitem")
-    panel = metrics.panel_totals(lines.withColumn("at", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")), "l_orderkey", "at", "l_extendedprice")
-    buyers = lines.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n_buyers"))
+    panel = metrics.panel_totals(lines.withColumn("at", F.struct("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")), "l_orderkey", "at", "l_extendedprice", F.size(F.collect_set("l_suppkey")).alias("n_buyers"))
     o = table(spark, sf, "orders").select(c("o_orderkey").alias("l_orderkey"), c("o_totalprice").alias("lifetime"), (c("o_orderkey") % 8).alias("count"))
-    return o.join(panel, "l_orderkey", "left").join(buyers, "l_orderkey", "left")
+    return o.join(panel, "l_orderkey", "left")
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem),
@@ -379,10 +386,10 @@ def term_taxonomy(spark, sf):
     return t.select("p_partkey", fn.term_family(c("t")).alias("family"), fn.term_years(c("t")).alias("years"), fn.is_partial_share(c("t")).alias("partial"))
 
 
-TEXTS = "CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN 'true' WHEN 3 THEN '1d' WHEN 4 THEN '1_000' WHEN 5 THEN NULL WHEN 6 THEN '-' || event_id || '.75' ELSE event_id || '.5' END"
+TEXTS = "CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'x' WHEN 2 THEN 'true' WHEN 3 THEN '1d' WHEN 4 THEN '1_000' WHEN 5 THEN NULL WHEN 6 THEN '-' || event_id || '.75' WHEN 7 THEN ' ' || event_id || 'e-1 ' ELSE event_id || '.5' END"
 
 
-@query(f"""SELECT event_id, CASE WHEN event_id % 9 >= 6 THEN try_cast(t AS DOUBLE) END AS number, CASE WHEN event_id % 9 >= 6 THEN trunc(try_cast(t AS DOUBLE))::BIGINT END AS whole FROM (SELECT event_id, {TEXTS} AS t FROM events)""")
+@query(f"""SELECT event_id, x AS number, trunc(x)::BIGINT AS whole FROM (SELECT event_id, CASE WHEN regexp_full_match(trim(t), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN try_cast(trim(t) AS DOUBLE) END AS x FROM (SELECT event_id, {TEXTS} AS t FROM events))""")
 def lenient_coercion(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.expr(TEXTS).alias("t"))
     return e.select("event_id", fn.to_number(c("t")).alias("number"), fn.to_integer(c("t")).alias("whole"))
