@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +14,7 @@ from tidemark.operators.ladder import rank_ladder, summarise_ladder, winning
 from tidemark.operators.metrics import share_of_total
 from tidemark.operators.observations import latest_observation
 from tidemark.operators.quantiles import exact_quantiles
+from tidemark.sources.snapshots import Tables
 from tidemark.sources.tables import write_tables
 
 c = F.col
@@ -153,6 +154,10 @@ def field_coverage(frame: DataFrame, date: str, kind: str, sold: str, fields: li
     return frame.groupBy(F.date_trunc("year", date).alias("deal_year"), c(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_if(sold).alias("n_sold"), *cover).orderBy(F.asc_nulls_last("deal_year"), F.asc_nulls_last("kind"))
 
 
+def coverage(frame: DataFrame) -> DataFrame:
+    return field_coverage(frame, "deal_date", "kind", "sold", ["dollar_age", "three_years_average", "n_unique_bidders", "marketplace_median_multiplier"])
+
+
 def age_check(rows: DataFrame, reported: str, size: str, age: str) -> DataFrame:
     """Whether a reported age can be one: correlations, how often it exceeds the entity's age, median, maximum.
 
@@ -179,24 +184,6 @@ def repeat_sales(assets: DataFrame, frame: DataFrame) -> DataFrame:
     return pairs.join(assets.select("asset_id", "n_sold_listings"), "asset_id")
 
 
-class Tables(Mapping):
-    """Tables by name; one that is given as a function is made when it is first asked for."""
-
-    def __init__(self, tables: dict[str, DataFrame | Callable[[], DataFrame]]):
-        self._tables = dict(tables)
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if callable(found := self._tables[name]):
-            found = self._tables[name] = found()
-        return found
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self._tables)
-
-    def __len__(self) -> int:
-        return len(self._tables)
-
-
 def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bool = False, folder: str | None = None) -> Tables:
     """All analytic tables and views from obs_index and the tables of detail_observations.
 
@@ -217,7 +204,7 @@ def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bo
     return Tables({
         "dim_listing": dim, "fact_offer": offers, "fact_outcome": outcomes, "fact_earnings_panel": panel, "fact_source_mix": fact_source_mix(det, observations["breakdown"]), "dim_asset": assets,
         "data_quality_flag": flags, "v_pricing_frame": frame,
-        "v_field_coverage": field_coverage(frame, "deal_date", "kind", "sold", ["dollar_age", "three_years_average", "n_unique_bidders", "marketplace_median_multiplier"]),
+        "v_field_coverage": coverage(frame),
         "v_dollar_age_check": lambda: age_check(dim, "dollar_age", "ltm", "catalog_age_years"), "v_repeat_sales": repeat_sales(assets, frame),
     })
 

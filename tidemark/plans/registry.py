@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import coerce as fn
-from tidemark.operators import flags, ladder, metrics, observations, star
+from tidemark.operators import flags, incremental, ladder, metrics, observations, star
 from tidemark.session import shared_folder
 from tidemark.sources import landing, payloads, tables
 from tidemark.streaming import ingest
@@ -563,6 +563,42 @@ def rebuild_repeat_sales(spark, sf):
     return rebuilt(spark, sf)["v_repeat_sales"].select("asset_id", "first_sale", "later_sale", "years_held", "price_ratio")
 
 
+def refreshed(spark, sf) -> dict[str, DataFrame]:
+    """The star schema after a full refresh from most payloads, and one of what the others add and change."""
+    landed = tables.write_tables({"details": detail_payloads(spark, sf, deals=True), "pages": index_payloads(spark, sf)}, scratch(spark))
+    details, pages = landed["details"].withColumn("late", F.get_json_object("payload", "$.id").cast("long") % 9 == 4), landed["pages"].withColumn("late", c("page") % 17 == 3)
+    where, keep = scratch(spark), lambda df, name: tables.write_tables({name: df}, scratch(spark))[name]
+    for late in (False, True):
+        obs = payloads.detail_observations(details.filter(c("late") == late), folder=scratch(spark))
+        batch = {name: obs[name] for name in ("listing", "offer", "quarter", "breakdown")}
+        batch["index"] = payloads.index_observations(pages.filter(c("late") == late))
+        batch = tables.write_tables(batch, scratch(spark))
+        for name, rows in batch.items():
+            rows.write.mode("append").parquet(f"{where}/observations/{name}")
+        every = {name: spark.read.parquet(f"{where}/observations/{name}") for name in batch}
+        store, as_of = incremental.star_store(spark, f"{where}/star", 16), F.lit("2024-01-01").cast("timestamp")
+        if late:
+            incremental.refresh(store, every, incremental.changed_listings(batch), as_of, keep, scratch(spark))
+        else:
+            incremental.full_refresh(store, every, as_of, scratch(spark))
+    return store.read()
+
+
+@query(f"""{REBUILT} SELECT coalesce(i.k, d.k) AS listing_id, d.k % 500 AS asset_id, d.d.a AS clearing_price, second_price, coalesce(d.d.a > 0, false) AS sold, (d.k IS NOT NULL)::BIGINT + (i.k IS NOT NULL)::BIGINT AS n_observations
+FROM i FULL OUTER JOIN d ON i.k = d.k LEFT JOIN l ON l.k = d.k""")
+def refresh_outcomes(spark, sf):
+    t = refreshed(spark, sf)
+    return t["fact_outcome"].join(t["dim_listing"].select("listing_id", "asset_id", "n_observations"), "listing_id").select("listing_id", "asset_id", "clearing_price", "second_price", "sold", "n_observations")
+
+
+@query(f"""{REBUILT}, s AS (SELECT * FROM dim WHERE price > 0), p AS (SELECT a.asset AS asset_id, count(*) AS n_pairs FROM s a JOIN s b ON a.asset = b.asset AND b.deal_date > a.deal_date GROUP BY 1)
+SELECT asset AS asset_id, count(*) AS n_listings, count(*) FILTER (price > 0) AS n_sold_listings, any_value(coalesce(n_pairs, 0)) AS n_pairs FROM dim LEFT JOIN p ON asset_id = asset WHERE asset IS NOT NULL GROUP BY 1""")
+def refresh_assets(spark, sf):
+    t = refreshed(spark, sf)
+    pairs = t["v_repeat_sales"].groupBy("asset_id").agg(F.count("*").alias("n_pairs"))
+    return t["dim_asset"].join(pairs, "asset_id", "left").select("asset_id", "n_listings", "n_sold_listings", F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"))
+
+
 @query("""WITH o AS (SELECT l_orderkey AS k, l_partkey AS p, count(*) AS c, max(struct_pack(s := l_suppkey, a := l_extendedprice)).s AS s FROM lineitem WHERE l_partkey % 9 <> 0 GROUP BY 1, 2),
 b AS (SELECT k, count(*) AS n_offers FROM o GROUP BY 1),
 q AS (SELECT l_orderkey AS k, l_linenumber AS m, arg_max(l_extendedprice, (l_partkey, l_suppkey, l_extendedprice)) AS t FROM lineitem GROUP BY 1, 2),
