@@ -170,11 +170,37 @@ def age_check(rows: DataFrame, reported: str, size: str, age: str) -> DataFrame:
     return rows.sparkSession.createDataFrame([(n, with_size, with_age, exceeds, median, most)], schema)
 
 
-def repeat_pairs(sales: DataFrame, asset: str, sale: str, date: str, price: str, size: str) -> DataFrame:
-    """All ordered pairs of sales of an asset with a later date: an equi-join with a residual range."""
-    a = sales.select(asset, *[c(x).alias(f"first_{n}") for x, n in ((sale, "sale"), (date, "date"), (price, "price"), (size, "size"))])
-    b = sales.select(asset, *[c(x).alias(f"later_{n}") for x, n in ((sale, "sale"), (date, "date"), (price, "price"), (size, "size"))])
-    pairs = a.join(b, asset).filter("later_date > first_date")
+#: Sales of an asset that are compared in one task; cuts that a larger asset's bands are chosen from.
+BAND_SALES, CUTS = 2000, 1000
+
+
+def date_bands(sales: DataFrame, asset: str, sale: str, date: str, most: int = BAND_SALES) -> DataFrame:
+    """sales with _band and _bands: an asset's sales in order of date, about most to a band; one band if it has no more.
+
+    Sales of one day are ordered by a hash, so even a day with most of an
+    asset's sales is cut. Only assets with more sales than most are looked at twice."""
+    large = sales.groupBy(asset).agg(F.count("*").alias("_n")).filter(c("_n") > most)
+    place = F.unix_date(c(date).cast("date")).cast("long") * F.lit(1 << 31) + F.pmod(F.xxhash64(sale), F.lit(1 << 31))
+    shares = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = sales.join(large, asset).groupBy(asset).agg(F.percentile_approx(place, shares, 10 * CUTS).alias("_cuts"), F.first("_n").alias("_n"))
+    bands = F.least(F.ceil(c("_n") / F.lit(most)).cast("int"), F.lit(CUTS))
+    chosen = F.transform(F.sequence(F.lit(1), bands - 1), lambda i: F.element_at("_cuts", F.greatest(F.lit(1), F.least(F.lit(CUTS - 1), (i * CUTS / bands).cast("int")))))
+    cuts = cuts.select(asset, chosen.alias("_cuts"), bands.alias("_bands"))
+    dealt = sales.join(cuts, asset, "left")
+    band = F.coalesce(F.size(F.filter("_cuts", lambda x: x < place)), F.lit(0))
+    return dealt.withColumns({"_band": F.when(c("_cuts").isNull(), 0).otherwise(band), "_bands": F.coalesce("_bands", F.lit(1))}).drop("_cuts")
+
+
+def repeat_pairs(sales: DataFrame, asset: str, sale: str, date: str, price: str, size: str, *, most: int = BAND_SALES) -> DataFrame:
+    """All ordered pairs of sales of an asset with a later date: an equi-join with a residual range.
+
+    Each pair of an asset's date bands is compared apart, so no key of the join has
+    more than about most sales on a side, however many an asset has. Sales without an asset or date are in no pair."""
+    used = date_bands(sales.filter(c(asset).isNotNull() & c(date).isNotNull()), asset, sale, date, most)
+    columns = lambda prefix: [c(x).alias(f"{prefix}_{n}") for x, n in ((sale, "sale"), (date, "date"), (price, "price"), (size, "size"))]
+    a = used.select(asset, *columns("first"), c("_band").alias("_i"), F.explode(F.sequence(c("_band"), c("_bands") - 1)).alias("_j"))
+    b = used.select(asset, *columns("later"), F.explode(F.sequence(F.lit(0), c("_band"))).alias("_i"), c("_band").alias("_j"))
+    pairs = a.join(b, [asset, "_i", "_j"]).filter("later_date > first_date").drop("_i", "_j")
     return pairs.withColumns({"years_held": years_between(c("first_date"), c("later_date")), "size_ratio": ratio(c("later_size"), c("first_size")), "price_ratio": ratio(c("later_price"), c("first_price"))})
 
 

@@ -17,7 +17,7 @@ from tidemark.functions import coerce as fn
 from tidemark.operators import flags, incremental, ladder, metrics, observations, star
 from tidemark.session import shared_folder
 from tidemark.sources import landing, payloads, tables
-from tidemark.streaming import ingest
+from tidemark.streaming import ingest, latest
 
 QUERIES = {}
 ORACLES = {}
@@ -681,3 +681,37 @@ def streaming_ingest(spark, sf):
     for _ in range(2):
         ingest.ingest_rows(spark, sf, schema, "events.parquet", f"{where}/table", f"{where}/checkpoint", "event_id", at="ts")
     return spark.read.parquet(f"{where}/table").select("event_id", "user_id", "value")
+
+
+@query("""SELECT o_custkey, o_orderkey, n_obs, first_obs::DATE::VARCHAR AS first_obs, last_obs::DATE::VARCHAR AS last_obs FROM (
+  SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey) AS n_obs, min(o_orderdate) OVER (PARTITION BY o_custkey) AS first_obs, max(o_orderdate) OVER (PARTITION BY o_custkey) AS last_obs
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)) WHERE rn = 1""")
+def streaming_latest(spark, sf):
+    """Orders come in three batches, late ones among them; the stream is run again at the end and finds nothing new."""
+    where, orders = scratch(spark), table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    store = latest.latest_store(spark, f"{where}/store", "o_custkey", 8)
+    for part in (0, 1, 2, 2):
+        fresh = orders.filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(3)) == part)
+        fresh.coalesce(1).write.mode("ignore").parquet(f"{where}/in/batch-{part}")
+        latest.stream_latest(latest.file_stream(spark, f"{where}/in/*", orders.schema), store, f"{where}/checkpoint", "o_custkey", "o_orderdate", "o_orderkey")
+    return store.read()["latest"].select("o_custkey", "o_orderkey", "n_obs", iso("first_obs"), iso("last_obs"))
+
+
+@query("""SELECT l_orderkey AS k, l_linenumber::BIGINT AS line, CASE WHEN l_orderkey % 13 = 5 THEN 'distribution_year is not int: MMXX' WHEN l_orderkey % 17 = 3 THEN '31 fields, not 32' WHEN l_orderkey % 19 = 2 THEN '33 fields, not 32' END AS reason,
+  CASE WHEN l_orderkey % 13 <> 5 AND l_orderkey % 17 <> 3 AND l_orderkey % 19 <> 2 THEN l_extendedprice END AS amount FROM lineitem""")
+def export_quarantine(spark, sf):
+    """Lines as an earnings export of which some have a word for a year, a field too few or one too many."""
+    k = c("l_orderkey")
+    texts = {"track_id": k.cast("string"), "track_title": F.concat(F.lit('"a, '), c("l_linenumber").cast("string"), F.lit('"')), "number_of_plays": c("l_linenumber").cast("string"), "payable_amount": c("l_extendedprice").cast("decimal(18,2)").cast("string")}
+    texts["distribution_year"] = F.when(k % 13 == 5, "MMXX").otherwise("2020")
+    fields = [texts.get(name, F.lit("")) for name in landing.EXPORT_COLUMNS]
+    few = (k % 13 != 5) & (k % 17 == 3)
+    many = (k % 13 != 5) & (k % 17 != 3) & (k % 19 == 2)
+    line = F.concat(F.concat_ws(",", *fields[:-1]), F.when(few, "").when(many, ",,").otherwise(","))
+    # An export of the lines of each 2,000 orders, with a head of its own.
+    exports = table(spark, sf, "lineitem").select(F.expr("l_orderkey div 2000").alias("export"), line.alias("line")).groupBy("export").agg(F.array_join(F.collect_list("line"), "\r\n").alias("lines"))
+    where = scratch(spark)
+    exports.select(F.concat(F.lit(",".join(landing.EXPORT_COLUMNS) + "\r\n"), "lines").alias("value")).write.option("maxRecordsPerFile", 1).text(where)
+    good = landing.earnings_export(spark, where).select(c("track_id").cast("long").alias("k"), c("number_of_plays").cast("long").alias("line"), F.lit(None).cast("string").alias("reason"), c("payable_amount").cast("double").alias("amount"))
+    bad = landing.rejected_earnings(spark, where).select(F.regexp_extract("line", r'"a, \d+",(\d+)', 1).cast("long").alias("k"), F.regexp_extract("line", r'"a, (\d+)"', 1).cast("long").alias("line"), "reason", F.lit(None).cast("double").alias("amount"))
+    return good.unionByName(bad)
