@@ -1,8 +1,9 @@
 """Typed observations from JSON payloads, with built-in functions only.
 
-Payloads are parsed as maps of raw JSON texts, so that a number that comes as a
-string, a boolean where a number is due, or a key never seen before all have a
-defined outcome: coercions give null, unknown keys go to raw_extra.
+Payloads are parsed as maps of raw JSON texts, and lists of children as structs of
+them, so that a number that comes as a string, a boolean where a number is due, or
+a key never seen before all have a defined outcome: coercions give null, unknown
+keys go to raw_extra.
 """
 
 from __future__ import annotations
@@ -62,6 +63,20 @@ def _list(text: Column) -> Column:
     return F.coalesce(F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
+def _structs(text: Column, fields: str) -> Column:
+    """The elements of a JSON array as structs of the fields; null for an element that is no object.
+
+    An array of objects alone is parsed at once; only one with another element in it, which
+    would be refused as a whole, is taken apart first."""
+    rows = F.when(F.trim(text).startswith("["), F.from_json(text, f"array<struct<{fields}>>"))
+    apart = F.transform(_list(text), lambda x: F.from_json(F.when(F.trim(x).startswith("{"), x), f"struct<{fields}>"))
+    return F.coalesce(rows, apart)
+
+
+def _texts(*names: str) -> str:
+    return ", ".join(f"{n}: string" for n in names)
+
+
 def _array_text(text: Column) -> Column:
     """The JSON text of an array, its elements as they are; "[]" for anything else."""
     return F.when(F.trim(text).startswith("["), text).otherwise("[]")
@@ -165,46 +180,49 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     good, m = base.filter("listing_id IS NOT NULL"), F.col("m")
     fields = [_dig(p).alias(c) for c, p in DETAIL_TEXT.items()]
     fields += [f(_dig(p)).alias(c) for f, paths in ((_flag, DETAIL_FLAG), (to_number, DETAIL_NUMBER), (to_integer, DETAIL_INTEGER), (to_timestamp, DETAIL_TIME)) for c, p in paths.items()]
-    payor = lambda x: F.struct(*[_object(x)[k].alias(k) for k in ("name", "display_name", "kind")])
+    payors = F.transform(_structs(_dig("asset.royalty_payors"), _texts("name", "display_name", "kind")), lambda x: F.struct(*[x[k].alias(k) for k in ("name", "display_name", "kind")]))
     consumed = [*NESTED, *DETAIL_TEXT, *DETAIL_FLAG, *DETAIL_NUMBER, *DETAIL_INTEGER, *DETAIL_TIME]
     listing = good.select(
         "obs_id", "listing_id", "observed_at", "content_sha256", *fields, _array_text(m["tags"]).alias("tags"), _array_text(m["media_urls"]).alias("media_urls"),
-        F.to_json(F.transform(_list(_dig("asset.royalty_payors")), payor)).alias("royalty_payors"), _remainder(m, consumed).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version"),
+        F.to_json(payors).alias("royalty_payors"), _remainder(m, consumed).alias("raw_extra"), F.lit(PARSER_VERSION).alias("parser_version"),
     )
 
-    def children(elements: Column, *columns: Column) -> DataFrame:
-        rows = good.select("obs_id", "listing_id", F.posexplode(elements).alias("seq", "_e")).withColumn("e", _object(F.col("_e")))
+    def children(text: Column, fields: str, *columns: Column) -> DataFrame:
+        rows = good.select("obs_id", "listing_id", F.posexplode(_structs(text, fields)).alias("seq", "e"))
         return rows.select("obs_id", "listing_id", F.col("seq").cast("long").alias("seq"), *columns)
 
     # An id of the number 0, false or an empty container is none; the text "0" is one.
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col("_e")), "$.id", "variant"))
-    falsy = (kind != "STRING") & ((to_number(F.col("e")["id"]) == 0) | F.col("e")["id"].isin("false", "[]", "{}"))
+    track, kind = F.try_variant_get(F.col("e")["id"], "$", "string"), F.schema_of_variant(F.col("e")["id"])
+    falsy = (kind != "STRING") & ((to_number(track) == 0) | track.isin("false", "[]", "{}"))
 
     def last(df: DataFrame, *keys: str) -> DataFrame:
         row = F.struct(*[df[c] for c in df.columns if c != "seq"])
         return df.groupBy("obs_id", *keys).agg(F.max_by(row, "seq").alias("_row")).select("_row.*")
 
     e = F.col("e")
-    integers = ["buyer_id", "bidder_index", "countered_offer_id", "counteroffer_id"]
+    integers, instants, others = ["buyer_id", "bidder_index", "countered_offer_id", "counteroffer_id"], ["created_at", "expiration"], ["multiple_source", "kind", "state", "term"]
     offers = children(
-        _list(m["offers"]), to_integer(e["id"]).alias("offer_id"), *[to_integer(e[k]).alias(k) for k in integers], *[to_number(e[k]).alias(k) for k in ("amount", "multiple")],
-        *[e[k].alias(k) for k in ("multiple_source", "kind", "state", "term")], *[to_timestamp(e[k]).alias(k) for k in ("created_at", "expiration")], _flag(e["incentive_pool_qualifying"]).alias("incentive_pool_qualifying"),
+        m["offers"], _texts("id", *integers, "amount", "multiple", *others, *instants, "incentive_pool_qualifying"), to_integer(e["id"]).alias("offer_id"), *[to_integer(e[k]).alias(k) for k in integers],
+        *[to_number(e[k]).alias(k) for k in ("amount", "multiple")], *[e[k].alias(k) for k in others], *[to_timestamp(e[k]).alias(k) for k in instants], _flag(e["incentive_pool_qualifying"]).alias("incentive_pool_qualifying"),
     )
-    buy_now = children(_list(m["buy_now_price_history"]), to_timestamp(e["created_at"]).alias("created_at"), to_number(e["buy_now_price"]).alias("buy_now_price"))
+    buy_now = children(m["buy_now_price_history"], _texts("created_at", "buy_now_price"), to_timestamp(e["created_at"]).alias("created_at"), to_number(e["buy_now_price"]).alias("buy_now_price"))
+    parts = ("domestic", "intl", "unreported", "total")
     pair = good.select("obs_id", "listing_id", F.posexplode(_list(_dig("valuation.earnings_by_region"))).alias("seq", "_e")).withColumn("p", _list(F.col("_e")))
-    pair = pair.filter((F.size("p") == 2) & F.trim(F.col("p")[1]).startswith("{")).withColumn("e", _object(F.col("p")[1])).withColumn("period_start", to_day(F.col("p")[0]))
-    quarters = pair.filter("period_start IS NOT NULL").select("obs_id", "listing_id", "seq", "period_start", *[to_number(e[k]).alias(k) for k in ("domestic", "intl", "unreported", "total")])
+    pair = pair.filter((F.size("p") == 2) & F.trim(F.col("p")[1]).startswith("{")).withColumn("e", F.from_json(F.col("p")[1], f"struct<{_texts(*parts)}>")).withColumn("period_start", to_day(F.col("p")[0]))
+    quarters = pair.filter("period_start IS NOT NULL").select("obs_id", "listing_id", "seq", "period_start", *[to_number(e[k]).alias(k) for k in parts])
 
-    def dimensioned(root: str, dimensions: dict[str, str]) -> DataFrame:
-        lists = F.array(*[F.struct(F.lit(d).alias("dimension"), _list(_dig(f"{root}.{k}")).alias("rows")) for k, d in dimensions.items()])
-        rows = good.select("obs_id", "listing_id", F.explode(lists).alias("d")).select("obs_id", "listing_id", "d.dimension", F.posexplode("d.rows").alias("row", "_e"))
-        return rows.filter(F.trim("_e").startswith("{")).withColumn("e", _object(F.col("_e")))
+    def dimensioned(root: str, dimensions: dict[str, str], elements) -> DataFrame:
+        lists = F.array(*[F.struct(F.lit(d).alias("dimension"), elements(_dig(f"{root}.{k}")).alias("rows")) for k, d in dimensions.items()])
+        rows = good.select("obs_id", "listing_id", F.explode(lists).alias("d")).select("obs_id", "listing_id", "d.dimension", F.posexplode("d.rows").alias("seq", "e"))
+        return rows.filter("e IS NOT NULL")
 
-    years = dimensioned("valuation.top_earnings_by_year", YEAR_DIMENSIONS)
+    members = lambda text: F.transform(_list(text), lambda x: F.when(F.trim(x).startswith("{"), _object(x)))
+    years = dimensioned("valuation.top_earnings_by_year", YEAR_DIMENSIONS, members)
     years = years.withColumn("year_index", to_integer(F.replace(e["year"], F.lit("year_"), F.lit("")))).filter("year_index IS NOT NULL")
-    years = years.select("obs_id", "listing_id", "dimension", "year_index", F.col("row").alias("seq"), F.explode(F.map_filter("e", lambda k, v: k != "year")).alias("member", "_a")).withColumn("amount", to_number(F.col("_a"))).drop("_a")
-    mix = dimensioned("valuation", LTM_DIMENSIONS).select("obs_id", "listing_id", F.col("row").alias("seq"), "dimension", F.coalesce(e["name"], F.lit("None")).alias("member"), to_number(e["earnings"]).alias("amount"), to_integer(e["track_count"]).alias("track_count"))
-    tracks = children(_list(_dig("valuation.track_list")), e["id"].alias("track_id"), F.nullif(e["parent_id"], F.lit("")).alias("parent_track_id"), e["title"].alias("title"), F.coalesce(falsy, F.lit(False)).alias("falsy"))
+    years = years.select("obs_id", "listing_id", "dimension", "year_index", "seq", F.explode(F.map_filter("e", lambda k, v: k != "year")).alias("member", "_a")).withColumn("amount", to_number(F.col("_a"))).drop("_a")
+    mix = dimensioned("valuation", LTM_DIMENSIONS, lambda text: _structs(text, _texts("name", "earnings", "track_count")))
+    mix = mix.select("obs_id", "listing_id", "seq", "dimension", F.coalesce(e["name"], F.lit("None")).alias("member"), to_number(e["earnings"]).alias("amount"), to_integer(e["track_count"]).alias("track_count"))
+    tracks = children(_dig("valuation.track_list"), f"id: variant, {_texts('parent_id', 'title')}", track.alias("track_id"), F.nullif(e["parent_id"], F.lit("")).alias("parent_track_id"), e["title"].alias("title"), F.coalesce(falsy, F.lit(False)).alias("falsy"))
     return {
         "listing": listing,
         "offer": last(offers.filter("offer_id IS NOT NULL"), "offer_id"),
