@@ -475,11 +475,16 @@ def detail_payloads(spark, sf, *, deals: bool = False) -> DataFrame:
     mix = F.to_json(F.transform("ls", lambda x: F.struct(F.concat(F.lit("s"), (x["l_suppkey"] % 3).cast("string")).alias("name"), x["l_extendedprice"].alias("earnings"))))
     total = F.aggregate("ls", F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + x["l_extendedprice"].cast("decimal(18,2)")).cast("decimal(18,2)"))
     more = F.concat(F.lit(',"top_sources":'), mix, F.lit(',"lifetime_amount":"'), F.when(c("l_orderkey") % 4 == 0, total * 2).otherwise(total).cast("string"), F.lit('"')) if deals else F.lit("")
+    if deals:
+        aged = '"dollar_age":30,"first_earnings_date":"2020-01-01T00:00:00Z"'
+        more = F.concat(more, *[F.when(c("l_orderkey") % n == r, f",{trait}").otherwise("") for n, r, trait in ((4, 1, '"three_years_average":6'), (8, 5, aged))])
     text = F.concat(F.lit('{"id":'), c("l_orderkey").cast("string"), F.lit(',"offers":'), F.to_json(offers), F.lit(',"valuation":{"ltm":"12.5","earnings_by_region":'), region, more, F.lit("}}"))
     best = F.array_max(F.transform("ls", lambda x: F.struct(x["l_extendedprice"].alias("amount"), x["l_partkey"].alias("id"))))
     if deals:
         deal = F.when(c("l_orderkey") % 3 != 0, F.concat(F.lit(',"deal":'), F.to_json(best), F.lit("}"))).otherwise("}")
         asset = F.concat(F.lit(',"asset":{"id":'), (c("l_orderkey") % 500).cast("string"), F.lit('},"offers_received_count":'), F.size("ls").cast("string"))
+        traits = [(6, 1, '"term":"fixed_return"'), (5, 2, '"kind":"secondary_listing"'), (7, 3, '"unique_bidder_count":"1"')]
+        asset = F.concat(asset, *[F.when(c("l_orderkey") % n == r, f",{trait}").otherwise("") for n, r, trait in traits])
         text = F.concat(F.left(text, F.length(text) - 1), asset, deal)
     return per.select(text.alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
 
@@ -522,6 +527,7 @@ def rebuild_outcomes(spark, sf):
 @query(f"""{REBUILT} SELECT * FROM (
   SELECT i.k AS listing_id, 'no_detail_payload' AS flag FROM i ANTI JOIN d USING (k) UNION ALL SELECT i.k, 'no_earnings_panel' FROM i ANTI JOIN d USING (k)
   UNION ALL SELECT i.k, 'missing_ltm' FROM i ANTI JOIN d USING (k) WHERE ltm <= 0
+  UNION ALL SELECT k, unnest(['fixed_return_instrument', 'secondary_listing', 'single_bidder', 'ltm_far_above_3yr', 'dollar_age_exceeds_catalog_age'][x + 1:x + 1]) FROM d JOIN (VALUES (0, 6, 1), (1, 5, 2), (2, 7, 3), (3, 4, 1), (4, 8, 5)) r(x, n, m) ON k % n = m
   UNION ALL SELECT k, 'fee_material_vs_price' FROM d WHERE greatest(500.0::DOUBLE, 0.01::DOUBLE * d.a) > 0.02::DOUBLE * d.a)""")
 def rebuild_flags(spark, sf):
     return rebuilt(spark, sf)["data_quality_flag"].select("listing_id", "flag")
@@ -550,7 +556,7 @@ def rebuild_assets(spark, sf):
 
 
 @query(f"""{REBUILT} SELECT k AS listing_id, date_trunc('quarter', deal_date)::DATE::VARCHAR AS deal_quarter, price AS clearing_price, price / nullif(ltm, 0) AS multiple_gross,
-  (coalesce(ltm, 0) <= 0)::BIGINT AS n_exclude_flags FROM dim""")
+  (coalesce(ltm, 0) <= 0)::BIGINT + (has_detail AND k % 6 = 1)::BIGINT AS n_exclude_flags FROM dim""")
 def rebuild_pricing(spark, sf):
     frame = rebuilt(spark, sf)["v_pricing_frame"]
     return frame.select("listing_id", c("deal_quarter").cast("date").cast("string").alias("deal_quarter"), "clearing_price", "multiple_gross", "n_exclude_flags")
@@ -656,17 +662,18 @@ def landing_files(spark, sf):
     return found.select("content_sha256", "folder", F.octet_length("payload").cast("long").alias("n_bytes"), "intact")
 
 
-@query("""SELECT 'listing' AS name, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'index', count(*) FROM orders WHERE o_orderkey % 10 <> 0
-UNION ALL SELECT 'offer', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 9 <> 0)
-UNION ALL SELECT 'quarter', count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
-UNION ALL SELECT 'breakdown', count(*) FROM (SELECT DISTINCT l_orderkey, l_suppkey % 3 FROM lineitem)""")
+@query("""WITH t AS (SELECT 'listing' AS name, l_orderkey AS k FROM lineitem GROUP BY ALL UNION ALL SELECT 'index', o_orderkey FROM orders WHERE o_orderkey % 10 <> 0
+UNION ALL SELECT 'offer', l_orderkey FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 9 <> 0)
+UNION ALL SELECT 'quarter', l_orderkey FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+UNION ALL SELECT 'breakdown', l_orderkey FROM (SELECT DISTINCT l_orderkey, l_suppkey % 3 FROM lineitem))
+SELECT name, k AS listing_id, count(*) AS n FROM t GROUP BY 1, 2""")
 def append_twice(spark, sf):
     """All tables of the payloads are appended twice; the second time adds nothing."""
     where = scratch(spark)
     for _ in range(2):
         obs = payloads.detail_observations(detail_payloads(spark, sf, deals=True), folder=scratch(spark))
         ingest.append_observations({"index": payloads.index_observations(index_payloads(spark, sf)), **obs}, where)
-    count = lambda name: spark.read.parquet(f"{where}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    count = lambda name: spark.read.parquet(f"{where}/{name}").groupBy("listing_id").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
     out = count("listing")
     for name in ("index", "offer", "quarter", "breakdown"):
         out = out.unionByName(count(name))
@@ -715,3 +722,73 @@ def export_quarantine(spark, sf):
     good = landing.earnings_export(spark, where).select(c("track_id").cast("long").alias("k"), c("number_of_plays").cast("long").alias("line"), F.lit(None).cast("string").alias("reason"), c("payable_amount").cast("double").alias("amount"))
     bad = landing.rejected_earnings(spark, where).select(F.regexp_extract("line", r'"a, \d+",(\d+)', 1).cast("long").alias("k"), F.regexp_extract("line", r'"a, (\d+)"', 1).cast("long").alias("line"), "reason", F.lit(None).cast("double").alias("amount"))
     return good.unionByName(bad)
+
+
+# -- nested payloads ---------------------------------------------------------------------------
+
+
+def nested_payloads(spark, sf) -> DataFrame:
+    """Orders as detail payloads with all nested lists; some have a text or a list where an object is due."""
+    k = c("o_orderkey").cast("string")
+    payors = F.when(c("o_orderkey") % 4 == 0, "null").otherwise(F.format_string('[{"name":"p%d","display_name":"P","kind":"k","more":[1]},{"name":"q%d","kind":null}]', c("o_orderkey") % 5, c("o_orderkey") % 3))
+    years = F.format_string('{"top_songs":[{"year":"year_1","S%d":%d,"T":"7.5"},{"year":"none","Z":1},9,{"year":"year_12","S":null}],"top_royalty_payors":[{"year":2,"R":"x"}],"top_sources":{}}', c("o_orderkey") % 3, c("o_orderkey") % 50)
+    tracks = F.format_string('[{"id":%s,"parent_id":"","title":"t"},{"id":0},{"id":"0","parent_id":"p%s"},{"id":""},{"title":"none"},{"id":false}]', k, k)
+    valuation = F.format_string('{"ltm":"%s","top_earnings_by_year":%s,"track_list":%s}', c("o_totalprice").cast("decimal(18,2)"), years, tracks)
+    deal = F.when(c("o_orderkey") % 3 == 0, "[1]").otherwise(F.format_string('{"id":%s,"amount":"%s"}', k, c("o_totalprice").cast("decimal(18,2)")))
+    history = F.format_string('[{"created_at":"2023-01-0%dT00:00:00Z","buy_now_price":%d},{"buy_now_price":-1},{"buy_now_price":"12.5"}]', c("o_orderkey") % 9 + 1, c("o_orderkey") % 100)
+    text = F.format_string(
+        '{"id":%s,"asset":{"id":%d,"royalty_payors":%s},"display_state":%s,"deal":%s,"buy_now_price_history":%s,"valuation":%s}',
+        k, c("o_orderkey") % 500, payors, F.when(c("o_orderkey") % 5 == 0, '"open"').otherwise('{"message":"m"}'), deal, history, F.when(c("o_orderkey") % 7 == 0, '"none"').otherwise(valuation),
+    )
+    return table(spark, sf, "orders").select(text.alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("observed_at"))
+
+
+def nested(spark, sf, name: str) -> DataFrame:
+    return payloads.detail_observations(nested_payloads(spark, sf))[name]
+
+
+@query("""SELECT o_orderkey AS listing_id, o_orderkey % 500 AS asset_id, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS ltm, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS deal_amount,
+  CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS deal_offer_id, CASE WHEN o_orderkey % 5 <> 0 THEN 'm' END AS display_state_msg FROM orders""")
+def nested_paths(spark, sf):
+    """Paths into objects; null where something else is on the way."""
+    return nested(spark, sf, "listing").select("listing_id", "asset_id", "ltm", "deal_amount", "deal_offer_id", "display_state_msg")
+
+
+@query("""SELECT o_orderkey AS listing_id, CASE WHEN o_orderkey % 4 = 0 THEN '[]' ELSE '[{"name":"p' || (o_orderkey % 5) || '","display_name":"P","kind":"k"},{"name":"q' || (o_orderkey % 3) || '"}]' END AS royalty_payors FROM orders""")
+def nested_payors(spark, sf):
+    return nested(spark, sf, "listing").select("listing_id", "royalty_payors")
+
+
+@query("""SELECT o_orderkey AS listing_id, seq, CASE seq WHEN 0 THEN (o_orderkey % 100)::DOUBLE WHEN 1 THEN -1 ELSE 12.5 END AS buy_now_price, CASE WHEN seq = 0 THEN '2023-01-0' || (o_orderkey % 9 + 1) END AS day FROM orders, (SELECT unnest([0, 1, 2])::BIGINT AS seq)""")
+def nested_history(spark, sf):
+    return nested(spark, sf, "buy_now").select("listing_id", "seq", "buy_now_price", day("created_at").cast("string").alias("day"))
+
+
+@query("""SELECT o_orderkey AS listing_id, dimension, year_index, CASE WHEN member = 'S?' THEN 'S' || (o_orderkey % 3) ELSE member END AS member, CASE WHEN member = 'S?' THEN (o_orderkey % 50)::DOUBLE ELSE amount END AS amount
+FROM orders, (VALUES ('song', 1::BIGINT, 'S?', NULL::DOUBLE), ('song', 1, 'T', 7.5), ('song', 12, 'S', NULL), ('royalty_payor', 2, 'R', NULL)) v(dimension, year_index, member, amount) WHERE o_orderkey % 7 <> 0""")
+def nested_years(spark, sf):
+    """Annual income by member: every key of a year but its number."""
+    return nested(spark, sf, "year").select("listing_id", "dimension", "year_index", "member", "amount")
+
+
+@query("""SELECT o_orderkey AS listing_id, CASE i WHEN 0 THEN o_orderkey::VARCHAR ELSE '0' END AS track_id, CASE i WHEN 1 THEN 'p' || o_orderkey END AS parent_track_id, CASE i WHEN 0 THEN 't' END AS title FROM orders, (SELECT unnest([0, 1]) AS i) WHERE o_orderkey % 7 <> 0""")
+def nested_tracks(spark, sf):
+    return nested(spark, sf, "track").select("listing_id", "track_id", "parent_track_id", "title")
+
+
+@query("""SELECT 'u/' || o_orderkey AS url, CASE WHEN o_orderkey % 6 = 0 THEN 404 ELSE 200 END AS http_status, (o_orderkey % 2 = 0) AS from_cache, 1::BIGINT AS n_ids FROM orders""")
+def manifest_append(spark, sf):
+    """Fetches are appended in two batches; each has an id of its own."""
+    where = scratch(spark)
+    fetches = table(spark, sf, "orders").select(F.concat(F.lit("u/"), c("o_orderkey")).alias("url"), F.when(c("o_orderkey") % 6 == 0, 404).otherwise(200).alias("http_status"), (c("o_orderkey") % 2 == 0).alias("from_cache"), c("o_orderkey").alias("not_in_the_manifest"))
+    for even in (True, False):
+        landing.append_manifest(fetches.filter(c("from_cache") == even), where)
+    found = spark.read.parquet(where)
+    return found.groupBy("url", "http_status", "from_cache").agg(F.count_distinct("fetch_id").alias("n_ids"))
+
+
+@query("""SELECT o_custkey AS asset_id, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 HAVING count(*) > 1""")
+def published_views(spark, sf):
+    """Tables under names of their own, asked by SQL."""
+    star.publish({"sold": table(spark, sf, "orders").filter("o_orderstatus = 'F'").select(c("o_custkey").alias("asset_id"))}, "published_")
+    return spark.sql("SELECT asset_id, count(*) AS n FROM published_sold GROUP BY asset_id HAVING count(*) > 1")
