@@ -190,7 +190,11 @@ def train(
     # A key that repeats brings all its rows; the first sample of them reach the driver, of at most a feature for each bucket.
     made = rows.mapInArrow(featurise, "key string, feature array<int>, value array<double>, y double")
     found = made.orderBy("key", "y", "feature", "value").limit(sample).toArrow()
-    pairs = [(np.array(f), np.array(v)) for f, v in zip(found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True)]
+    # As arrays, never as Python numbers, which would take the driver ten times the memory.
+    lists = [found.column(i).combine_chunks() for i in (1, 2)]
+    cuts = lists[0].offsets.to_numpy().tolist()
+    feature, value = (x.values.to_numpy() for x in lists)
+    pairs = [(feature[a:b], value[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
     machine = FactorisationMachine(BUCKETS + (len(STATISTICS) + len(metadata)) * (BINS + 1))
     return machine.fit(pairs, found.column(3).to_numpy())
 
