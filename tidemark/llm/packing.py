@@ -140,7 +140,7 @@ def whole_sequences(n: int, prompt: int, limits: tuple[int, int, int]) -> tuple[
 
 
 def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"))
 
 
 PIECES = "key long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -180,19 +180,19 @@ def pack_documents(
                 own = np.append(ids_of_all[begin:end], end_id).astype("<u4")
                 begin = end
                 whole, start, stop = whole_sequences(len(own), len(own) // PROMPT_PART, limits)
-                pieces = [(i, a, n) for i, sequence in enumerate(whole) for a, n in sequence]
-                crcs = [_crc(own[a : a + n]) for _, a, n in pieces]
-                head = np.concatenate([own[a : a + n] for _, a, n in pieces]).tobytes() if ids and pieces else b""
-                rows.append((k, len(own), *([x[c] for x in pieces] for c in range(3)), crcs, start, own[start:stop].tobytes(), head))
-            longs = pa.list_(pa.int64())
-            kinds = [pa.int64(), pa.int64(), longs, longs, longs, longs, pa.int64(), pa.binary(), pa.binary()]
+                pieces = [own[a : a + n] for sequence in whole for a, n in sequence]
+                head = np.concatenate(pieces).tobytes() if ids and pieces else None
+                rows.append((k, len(own), [_crc(x) for x in pieces], own[start:stop].tobytes(), head))
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, part.column(2)], names=["key", "n", "places", "starts", "sizes", "crcs", "begin", "rest", "head", "row"])
+            yield pa.RecordBatch.from_arrays([*columns, part.column(2)], names=["key", "n", "crcs", "rest", "head", "row"])
 
     def pack(group: pa.Table) -> pa.Table:
         number = group.column("grp")[0].as_py()
         group = group.sort_by([("key", "ascending"), ("n", "ascending"), ("rest", "ascending")])
-        keys, ns, begins = (group.column(c).to_pylist() for c in ("key", "n", "begin"))
+        keys, ns = group.column("key").to_pylist(), group.column("n").to_pylist()
+        # The same cuts as where the ids were: they depend on the number of ids alone.
+        wholes, begins, _ = zip(*(whole_sequences(n, n // PROMPT_PART, limits) for n in ns), strict=True)
         rest = [np.frombuffer(x, dtype="<u4") for x in group.column("rest").to_pylist()]
         lengths = np.array([len(x) for x in rest])
         rows = np.nonzero(lengths)[0]
@@ -201,14 +201,15 @@ def pack_documents(
         demand = np.array([(lengths[i], 1, loss_bearing(0, int(lengths[i]), prompts[i])) for i in rows], dtype=np.float64).reshape(-1, 3)
         bins = [[(int(rows[i]), 0, int(lengths[rows[i]])) for i in b] for b in dot_product_packing(demand, np.array(limits))]
         out, seq = [], number << 32
-        for i, parts in enumerate(zip(*(group.column(c).to_pylist() for c in ("places", "starts", "sizes", "crcs", "head")), strict=True)):
-            at = offset = 0
-            for j, (place, start, length, crc) in enumerate(zip(*parts[:4], strict=True)):
-                offset = 0 if j == 0 or place != parts[0][j - 1] else offset
-                piece = np.frombuffer(parts[4], dtype="<u4")[at : at + length].tolist() if ids else None
-                out.append((keys[i], start, length, crc, ns[i], seq + place, offset, piece))
-                offset, at = offset + length, at + length
-            seq += parts[0][-1] + 1 if parts[0] else 0
+        for i, (whole, crcs, head) in enumerate(zip(wholes, group.column("crcs").to_pylist(), group.column("head").to_pylist(), strict=True)):
+            crc, at = iter(crcs), 0
+            for sequence in whole:
+                offset = 0
+                for start, length in sequence:
+                    piece = np.frombuffer(head, dtype="<u4")[at : at + length].tolist() if ids else None
+                    out.append((keys[i], start, length, next(crc), ns[i], seq, offset, piece))
+                    offset, at = offset + length, at + length
+                seq += 1
         for own in close_gaps(bins, limits, prompts):
             offset = 0
             for i, start, length in own:
@@ -223,7 +224,7 @@ def pack_documents(
 
     # The number of a row in its partition parts rows that are equal in all.
     kept = kept.withColumn("row", F.monotonically_increasing_id())
-    dealt = kept.mapInArrow(cut, "key long, n long, places array<long>, starts array<long>, sizes array<long>, crcs array<long>, begin long, rest binary, head binary, row long").withColumn(
+    dealt = kept.mapInArrow(cut, "key long, n long, crcs array<long>, rest binary, head binary, row long").withColumn(
         "grp", F.pmod(F.xxhash64("key", F.crc32("rest"), "row"), F.lit(groups))
     ).drop("row")
     out = dealt.groupBy("grp").applyInArrow(pack, PIECES + (", ids array<int>" if ids else ""))
