@@ -94,7 +94,7 @@ class Pieces:
             part = order[at : at + step]
             sums = self._forward([spelled[i] for i in part])
             out[part] = np.log(np.maximum(sums, TINY))
-            faint += [i for i, least in zip(part, sums.min(axis=1, initial=1.0).tolist(), strict=True) if least < TINY]
+            faint += [part[i] for i in np.nonzero(sums.min(axis=1, initial=1.0) < TINY)[0]]
         for i in [*faint, *(i for i, w in enumerate(spelled) if len(w) > LINEAR)]:
             start, stop, piece = self._by_stop(spelled[i])
             out[i] = _log_sums(start, stop, self.logs[piece], len(spelled[i]))[-1]
