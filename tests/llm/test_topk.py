@@ -67,3 +67,27 @@ def test_reading_stops_early_when_few_rows_can_be_among_the_best():
     index._read = lambda segments, *rest: (read.append(len(segments)), plain_read(segments, *rest))
     rows, _ = index.top(v[3], 20, np.arange(20000), 3)
     assert set(rows.tolist()) <= set(range(30)) and len(read) < T.LEVELS and sum(read) < len(index.dim)
+
+
+def test_few_rows_are_scored_exactly_where_vectors_point_anywhere():
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20000, 64))
+    v = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    index, scored, ids = T.ImpactIndex(v), [], np.arange(20000)
+    plain_scores = index._scores
+    index._scores = lambda rows, query: (scored.append(len(rows)), plain_scores(rows, query))[1]
+    for q in range(0, 200, 20):
+        rows, scores = index.top(v[q], 20, ids, q)
+        assert [(-int(s), int(r)) for r, s in zip(rows, scores, strict=True)] == brute(v, ids, v[q], q, 20)
+    assert sum(scored) < 0.1 * 10 * len(v)
+
+
+def test_large_and_wide_components_are_exact():
+    rng = np.random.default_rng(9)
+    ids = np.arange(400)
+    for scale in (1, 10**3, 10**7):
+        v = rng.integers(-40, 40, (400, 16)) * scale + rng.integers(0, 7, (400, 16))
+        v[:, 3] = 0
+        for q in (0, 7):
+            rows, scores = T.ImpactIndex(v).top(v[q], 5, ids, q)
+            assert [(-int(s), int(r)) for r, s in zip(rows, scores, strict=True)] == brute(v, ids, v[q], q, 5)

@@ -3,16 +3,18 @@
 Rows are cut into candidate blocks and query blocks; each pair of blocks is one
 group of bounded size whatever the ids are. In a group, the candidates'
 components are quantised into bands, and the rows with one dimension's component
-in one band are a posting segment. A segment's impact for a query is what its
-band adds at most over the dimension's least value. A query reads segments
-score at a time: by descending quantised impact, one level of impact after
-another. Each row's accumulator is an upper bound: what it has read, and for
-each dimension not read the best that is left there.
-
-After a level the rows with the best accumulators are scored exactly. A row
-whose bound is below the k-th of those scores is proven out for good. Reading
-stops once no rows but k are left, or the exact scores of those left cost less
-than the next level's postings; they are all rescored exactly.
+in one band are a posting segment. A segment's impact for a query is the largest
+product, of either sign, that its band can have. Impacts are quantised into
+levels of about equally many postings, and a query reads segments score at a
+time: by descending level. Each row's accumulator holds the most that its read
+components can add up to. What a row has not been read of is bounded by the best
+that is left in each dimension; as the large products of both signs come first,
+what is left is small, and soon most accumulators are too low to make up for it.
+
+After a level the rows with the best bounds are scored exactly. A row whose
+bound is below the k-th of those scores is proven out for good. Reading stops
+once no rows but k are left, or the exact scores of those left cost less than
+the next level's postings. Only rows that are left are rescored exactly.
 """
 
 from __future__ import annotations
@@ -27,23 +29,24 @@ from tidemark.llm.common import stored
 
 #: Rows of a candidate block and of a query block.
 CANDIDATES, QUERIES = 32768, 8192
-#: Integers of a component that share a band, and levels of quantised impact.
-BAND, LEVELS = 2, 8
-#: Postings that one exact score is taken to cost (8 if all rows are scored, 80 if few are picked).
-EXACT_COST = 24
+#: Bands of a dimension at most (integers have a band each while they are fewer), and levels of quantised impact.
+BANDS, LEVELS = 256, 8
+#: Postings that one exact score is taken to cost.
+EXACT_COST = 64
 
 
 class ImpactIndex:
     """Posting segments of a block of integer vectors, by dimension and band."""
 
-    def __init__(self, vectors: np.ndarray, band: int = BAND):
-        self.vectors, self.band = vectors, band
+    def __init__(self, vectors: np.ndarray, band: int | None = None):
+        self.vectors = vectors
+        self.band = band or 1 + (int(vectors.max(initial=0)) - int(vectors.min(initial=0))) // BANDS
         self.most = float(np.abs(vectors).max(initial=0))
         # Floating point for exact scores: of what size their sums have to stay, as long as it is exact.
         self.exact = 2**24 if self.most < 2**12 else 2**53
         self.floats = vectors.astype(np.float32 if self.exact == 2**24 else np.float64) if self.most < 2**53 else None
         n, dims = vectors.shape
-        bands = np.floor_divide(vectors, band)
+        bands = np.floor_divide(vectors, self.band)
         order = np.argsort(bands, axis=0, kind="stable")
         self.dim, self.level, self.start, self.stop = [], [], [], []
         self.rows = order.T.ravel()
@@ -66,51 +69,55 @@ class ImpactIndex:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         weight = query[self.dim]
         ends = np.stack([weight * (self.level * self.band), weight * (self.level * self.band + self.band - 1)])
-        least = np.minimum.reduceat(ends.min(axis=0), self.first)
-        gain = ends.max(axis=0) - least[self.dim]
-        level = gain * LEVELS // (gain.max(initial=0) + 1)
-        base, sizes = int(least.sum()), self.stop - self.start
-        postings, most = np.bincount(level, sizes, LEVELS), np.maximum.reduceat(gain, self.first)
+        most, impact, sizes = ends.max(axis=0), np.abs(ends).max(axis=0), self.stop - self.start
+        level = self._levels(impact, sizes)
+        postings = np.bincount(level, sizes, LEVELS)
         # An accumulator holds the sum of what was read, and in its low bits how many dimensions that was.
         shift = dims.bit_length()
-        wide = int(most.sum()) << shift >= 2**31
-        total = np.zeros(n, dtype=np.int64 if wide else np.int32)
-        # The best so far are looked for once enough was read to tell them from others, and once more later.
-        kth, marks = -np.inf, sorted({k * dims, n})
-        for at in range(LEVELS - 1, -1, -1):
+        reach = sum(np.maximum.reduceat(impact, self.first).tolist()) + 1 << shift if dims else 0
+        total = np.zeros(n, dtype=np.int64 if reach >= 2**31 else np.int32)
+        kth, touched = -np.inf, np.zeros(dims, dtype=bool)
+        for at in range(LEVELS - 1, -1, -1) if reach < 2**63 else ():
             if len(left) <= k or len(left) * EXACT_COST <= postings[at]:
                 break
-            self._read(np.nonzero(level == at)[0], gain, sizes, shift, total)
-            rest = np.maximum.reduceat(np.where(level < at, gain, 0), self.first)
-            # Of a dimension that nothing was read of, every row has at most the rest; of the
-            # others, a row has at most the largest rests of as many as it was not found in.
-            opened = np.maximum.reduceat(level, self.first) >= at
-            unread = np.concatenate([[0], np.cumsum(np.sort(rest[opened])[::-1])]) + rest[~opened].sum()
-            if marks and postings[at:].sum() >= marks[0]:
-                kth = max(kth, self._kth(left, total[left], query, k))
-                marks = [m for m in marks if m > postings[at:].sum()]
-            # No row's bound is below that of one that nothing was read of.
-            if unread[-1] >= kth - base:
-                continue
+            segments = np.nonzero(level == at)[0]
+            self._read(segments, most, sizes, shift, total)
+            touched[self.dim[segments]] = True
+            # A row has at most the best that is left of each dimension that nothing was read of, and
+            # of the others at most the largest of what is left in as many as it was not found in.
+            ahead = level < at
+            begun = np.bincount(self.dim[ahead], minlength=dims) > 0
+            rest = np.maximum.reduceat(np.where(ahead, most, np.iinfo(most.dtype).min), self.first)
+            unread = np.concatenate([[0], np.cumsum(np.sort(rest[begun & touched])[::-1])]) + rest[~touched].sum()
             mine = total[left]
-            bound = (mine >> shift) + unread[opened.sum() - (mine & ((1 << shift) - 1))]
+            bound = (mine >> shift) + unread[touched.sum() - (mine & ((1 << shift) - 1))]
             kth = max(kth, self._kth(left, bound, query, k))
-            left = left[bound >= kth - base]
+            left = left[bound >= kth]
         scores = self._scores(left, query)
         best = np.lexsort((ids[left], -scores))[:k]
         return left[best], scores[best]
 
+    @staticmethod
+    def _levels(impact: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Each segment's level: the best impacts are in the last, and all levels hold about as many postings."""
+        order = np.argsort(-impact, kind="stable")
+        before = np.cumsum(sizes[order]) - sizes[order]
+        level = np.empty(len(impact), dtype=np.int64)
+        level[order] = LEVELS - 1 - before * LEVELS // max(1, int(sizes.sum()))
+        return level
+
     def _kth(self, rows: np.ndarray, promise: np.ndarray, query: np.ndarray, k: int) -> float:
         """The k-th best exact score of the most promising of the rows."""
         best = rows[np.argpartition(promise, -4 * k)[-4 * k :]] if len(rows) > 4 * k else rows
         return float(np.sort(self._scores(best, query))[-k]) if len(best) >= k else -np.inf
 
-    def _read(self, segments: np.ndarray, gain: np.ndarray, sizes: np.ndarray, shift: int, total: np.ndarray) -> None:
-        """Adds segments, which lie together in each dimension, to the accumulators."""
+    def _read(self, segments: np.ndarray, most: np.ndarray, sizes: np.ndarray, shift: int, total: np.ndarray) -> None:
+        """Adds segments to the accumulators, those that lie together in a dimension at once."""
         if not len(segments):
             return
-        adds = np.repeat(((gain[segments] << shift) + 1).astype(total.dtype), sizes[segments])
-        cuts = np.concatenate([[0], np.nonzero(np.diff(self.dim[segments]))[0] + 1, [len(segments)]])
+        adds = np.repeat(((most[segments] << shift) + 1).astype(total.dtype), sizes[segments])
+        parted = (np.diff(segments) > 1) | (np.diff(self.dim[segments]) > 0)
+        cuts = np.concatenate([[0], np.nonzero(parted)[0] + 1, [len(segments)]])
         begin = self.start[segments[cuts[:-1]]].tolist()
         end = self.stop[segments[cuts[1:] - 1]].tolist()
         at = 0
@@ -119,12 +126,9 @@ class ImpactIndex:
             at += b - a
 
     def _scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Exact inner products; floating point where it is exact."""
+        """Exact inner products of the rows alone; floating point where it is exact."""
         if self.floats is not None and np.abs(query).sum() * self.most < self.exact:
-            query = query.astype(self.floats.dtype)
-            # Picking rows costs more than scoring them: of many, all are scored.
-            found = self.floats[rows] @ query if 4 * len(rows) < len(self.floats) else (self.floats @ query)[rows]
-            return found.astype(np.int64)
+            return (self.floats[rows] @ query.astype(self.floats.dtype)).astype(np.int64)
         return self.vectors[rows] @ query
 
 
