@@ -160,13 +160,22 @@ priced AS (SELECT o_orderkey AS l_orderkey, o_custkey, o_orderdate, o_orderprior
   FROM orders JOIN spent USING (o_custkey) LEFT JOIN n ON l_orderkey = o_orderkey)"""
 
 
+def quotient_sql(over: str, under: str) -> str:
+    """A quotient of two columns; null where there is nothing to divide by."""
+    return f"CASE WHEN {under} <> 0 THEN {over} / {under} END"
+
+
 def outcome_sql(fee: str) -> str:
+    """Outcomes by cases: an order's states are looked up in two small tables of what they are called."""
     return f"""WITH {LADDER}, {PRICED},
-f AS (SELECT p.*, winner, second_price, opening_price, n_bids_by_winner, CASE WHEN price IS NOT NULL THEN {fee} END AS fee FROM priced p LEFT JOIN ladder USING (l_orderkey))
-SELECT l_orderkey, coalesce(price > 0, false) AS sold, CASE WHEN price > 0 THEN 'sold' WHEN coalesce(n_offers, 0) = 0 THEN 'no_offers' ELSE 'unknown' END AS outcome_reason,
-  fee AS buyer_fee_standard, price - second_price AS winner_margin_over_second, n_bids_by_winner, price + fee AS all_in_cost, price / nullif(ltm, 0) AS multiple_gross, (price + fee) / nullif(ltm, 0) AS multiple_all_in,
-  price / nullif(three_years_average, 0) AS multiple_normalized, (price / nullif(ltm, 0)) / nullif(median_multiplier, 0) AS multiple_vs_median,
-  CASE WHEN price IS NULL THEN 'unsold' WHEN minimum_price IS NOT NULL AND abs(price - minimum_price) < 1e-6 THEN 'left_at_reserve' ELSE 'none' END AS censoring_flag FROM f"""
+reasons(sold, offered, outcome_reason) AS (VALUES (true, true, 'sold'), (true, false, 'sold'), (false, true, 'unknown'), (false, false, 'no_offers')),
+censors(closed, at_floor, censoring_flag) AS (VALUES (true, true, 'left_at_reserve'), (true, false, 'none'), (false, true, 'unsold'), (false, false, 'unsold')),
+deals AS (SELECT p.*, {fee} AS standard_fee, price IS NOT NULL AS closed, ifnull(price, 0) > 0 AS sold, ifnull(n_offers, 0) > 0 AS offered,
+  ifnull(abs(minimum_price - price), 1) < 1e-6 AS at_floor FROM priced p),
+paid AS (SELECT *, CASE WHEN closed THEN standard_fee END AS buyer_fee_standard, CASE WHEN closed THEN price + standard_fee END AS all_in_cost, {quotient_sql("price", "ltm")} AS multiple_gross FROM deals)
+SELECT l_orderkey, sold, outcome_reason, buyer_fee_standard, price - second_price AS winner_margin_over_second, n_bids_by_winner, all_in_cost, multiple_gross, censoring_flag,
+  {quotient_sql("all_in_cost", "ltm")} AS multiple_all_in, {quotient_sql("price", "three_years_average")} AS multiple_normalized, {quotient_sql("multiple_gross", "median_multiplier")} AS multiple_vs_median
+FROM paid JOIN reasons USING (sold, offered) JOIN censors USING (closed, at_floor) LEFT JOIN ladder USING (l_orderkey)"""
 
 
 OUTCOME = ["l_orderkey", "sold", "outcome_reason", "buyer_fee_standard", "winner_margin_over_second", "n_bids_by_winner", "all_in_cost", "multiple_gross", "multiple_all_in", "multiple_normalized", "multiple_vs_median", "censoring_flag"]
