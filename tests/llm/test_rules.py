@@ -1,6 +1,8 @@
+import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import rules as R
@@ -41,6 +43,7 @@ def test_lines(spark):
         "a b c d e f g h i j # k.": True, "a# b# c# d.": False, "BUY!! NOW!! CHEAP!!": False, "We use cookies to serve you.": False,
         "We use cookies, " + "which is a plain word in a long paragraph of prose, " * 3 + "here.": True, "Click here, read more. " * 30: False,
         "Wow!! this is a long and calm sentence.": True, "“Quoted.”": True,
+        "यह एक वाक्य है।": True, "یہ ایک جملہ ہے۔": True, "هل هذا سؤال؟": True, "これは文です。": True, "「はい」": True, "ይህ ዓረፍተ ነገር ነው።": True, "यह एक": False, "a ] b": False, "a \\": False, "(so it is)": True, "[1]": True,
     }
     df = spark.createDataFrame(list(enumerate(cases)), "i int, line string").select("i", R.line_passes(F.col("line")).alias("ok"))
     assert [r.ok for r in df.orderBy("i").collect()] == list(cases.values())
@@ -63,3 +66,12 @@ def test_repeated_rows_get_equal_results(spark):
     out = [tuple(r)[1:] for r in R.judge(docs).collect() if r.n_words]
     assert len(out) == 4 and len(set(out)) == 1 and R.judge(docs).count() == 5
     assert R.clean(docs).count() == 4
+
+
+@pytest.mark.parametrize("spare", [0, 44, 52])
+def test_windows_whose_hashes_meet_hide_no_repeat(spark, spare):
+    rng = random.Random(spare)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 2, 3, 4, 30, 90, 110, 120)] + TEXTS[:11]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.n_repeat_words for r in R.measured(docs, spare_bits=spare).collect()}
+    assert out == {i: plain(t)[4] for i, t in enumerate(texts)}

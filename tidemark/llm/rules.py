@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE_CLASS, SPACES, rows_where
 
 SYMBOLS = "[#*$%&|<>]"
-#: A line may end in these.
-CLOSING = "[.!?…。！？:;,)\\]»”\"'][\\x20\\x09-\\x0D]*$"
+#: A line may end in these (fixed values): marks of Latin, Greek, Cyrillic and Armenian, Arabic and Urdu,
+#: Indic, Tibetan, Burmese, Khmer, Ethiopic, Chinese and Japanese script, closing brackets and quotes.
+MARKS = ".!?…:;,·։" + "؟،؛۔" + "।॥" + "།" + "။၊" + "។៕" + "።፧፣" + "。！？：；，、．｡" + ")\\]»”\"'’›」』）】》"
+CLOSING = f"[{MARKS}][\\x20\\x09-\\x0D]*$"
 #: Phrases of lines that frame a page.
 BOILERPLATE = (
     "(?i)\\b(all rights reserved|terms of (use|service)|privacy policy|cookies?|javascript|lorem ipsum|"
@@ -53,20 +55,22 @@ def word_chars(text: Column) -> Column:
     return F.char_length(text) - F.regexp_count(text, F.lit(SPACE_CLASS))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
+def measured(docs: DataFrame, text: str = "text", *, spare_bits: int = 0) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, kept_text.
 
     A null text counts as having no line and no word, and so fails. Columns of
     docs with these names are replaced; others stay. Rows are independent:
-    repeated rows get equal results, an empty table gives none."""
+    repeated rows get equal results, an empty table gives none. Results don't
+    depend on spare_bits (52 at most), by which the hashes of windows are shortened."""
     whole = F.coalesce(F.col(text), F.lit(""))
     trimmed = F.btrim(whole, F.lit(SPACES))
     a = docs.withColumns({"_text": whole, "_words": F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))})
     a = a.withColumns({"_n": F.size("_words"), "_lines": F.split("_text", "\n", -1)})
-    a = a.withColumn("_bits", F.ceil(F.log2(F.col("_n").cast("double") + 1)).cast("int"))
+    a = a.withColumn("_bits", F.ceil(F.log2(F.col("_n").cast("double") + 1)).cast("int") + F.lit(spare_bits))
     # A 3-word window becomes one long: the high bits of its hash, then its position. Sorted, equal
-    # windows are neighbours (their words are compared too); the positions found, in order, cover
-    # min(3, distance to the next) words each.
+    # windows are neighbours (their words are compared too), unless unlike windows share those bits;
+    # then the windows are sorted by their words. The positions found, in order, cover min(3,
+    # distance to the next) words each.
     a = a.withColumn(
         "_keys",
         F.expr(
@@ -74,18 +78,19 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                  shiftleft(shiftright(xxhash64(_words[i], _words[i + 1], _words[i + 2]), _bits), _bits) + i)))"""
         ),
     )
-    same = """(shiftright(_keys[{a}], _bits) = shiftright(_keys[{b}], _bits)
-               AND _words[cast(_keys[{a}] & (shiftleft(1L, _bits) - 1L) as int)] = _words[cast(_keys[{b}] & (shiftleft(1L, _bits) - 1L) as int)]
-               AND _words[cast(_keys[{a}] & (shiftleft(1L, _bits) - 1L) as int) + 1] = _words[cast(_keys[{b}] & (shiftleft(1L, _bits) - 1L) as int) + 1]
-               AND _words[cast(_keys[{a}] & (shiftleft(1L, _bits) - 1L) as int) + 2] = _words[cast(_keys[{b}] & (shiftleft(1L, _bits) - 1L) as int) + 2])"""
-    a = a.withColumn(
-        "_at",
-        F.expr(
-            f"""sort_array(transform(filter(_keys, (x, k) ->
-                  (k > 0 AND {same.format(a="k", b="k - 1")}) OR (k < size(_keys) - 1 AND {same.format(a="k", b="k + 1")})),
-                  x -> x & (shiftleft(1L, _bits) - 1L)))"""
-        ),
-    )
+    place = "cast(_keys[{k}] & (shiftleft(1L, _bits) - 1L) as int)"
+    alike = "shiftright(_keys[{a}], _bits) = shiftright(_keys[{b}], _bits)"
+    words = " AND ".join(f"_words[{place.format(k='{a}')} + {i}] = _words[{place.format(k='{b}')} + {i}]" for i in range(3))
+    before, after = {"a": "k", "b": "k - 1"}, {"a": "k", "b": "k + 1"}
+    clash = f"exists(sequence(1, size(_keys) - 1), k -> {alike.format(**before)} AND NOT ({words.format(**before)}))"
+    a = a.withColumn("_exact", F.expr(f"""if(size(_keys) > 1 AND {clash},
+        sort_array(transform(sequence(0, _n - 3), i -> struct(_words[i] AS a, _words[i + 1] AS b, _words[i + 2] AS c, i AS i))), null)"""))
+    equal = "(_exact[{b}].a = x.a AND _exact[{b}].b = x.b AND _exact[{b}].c = x.c)"
+    same = f"({alike} AND {words})"
+    at = """sort_array(transform(filter({of}, (x, k) -> (k > 0 AND {left}) OR (k < size({of}) - 1 AND {right})), x -> {position}))"""
+    hashed = at.format(of="_keys", left=same.format(**before), right=same.format(**after), position="x & (shiftleft(1L, _bits) - 1L)")
+    sorted_ = at.format(of="_exact", left=equal.format(**before), right=equal.format(**after), position="cast(x.i AS bigint)")
+    a = a.withColumn("_at", F.expr(f"if(_exact IS NULL, {hashed}, {sorted_})"))
     repeated = F.expr(
         """if(size(_at) = 0, 0L, aggregate(transform(_at, (x, k) -> if(k = size(_at) - 1, 3L, least(3L, _at[k + 1] - x))), 0L, (s, x) -> s + x))"""
     )
@@ -103,7 +108,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     a = a.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     kept = ~F.col("base_failed") & (word_chars(F.col("kept_text")) * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT)
-    return a.withColumn("kept", kept).drop("_text", "_words", "_n", "_lines", "_bits", "_keys", "_at", "_nonblank", "_good")
+    return a.withColumn("kept", kept).drop("_text", "_words", "_n", "_lines", "_bits", "_keys", "_exact", "_at", "_nonblank", "_good")
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -132,7 +137,7 @@ x AS (SELECT doc_id, ws, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) A
              len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
              list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS nb,
              list_sum(list_transform(list_filter(ls, lambda l:
-               regexp_matches(l, '[.!?…。！？:;,)\]»”"''][\x20\x09-\x0D]*$')
+               regexp_matches(l, '[MARKS][\x20\x09-\x0D]*$')
                AND len(regexp_extract_all(l, ' [|>»•·] ')) < 3
                AND len(regexp_extract_all(l, '[#*$%&|<>]')) * 5 < len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
                AND len(regexp_extract_all(l, '!!')) * 3 < len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))
@@ -147,4 +152,4 @@ z AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND good_chars * 100 >= word_chars * 50 AS kept
 FROM z
-"""
+""".replace("MARKS", MARKS.replace("'", "''"))
