@@ -78,19 +78,25 @@ def measured(docs: DataFrame, text: str = "text", *, spare_bits: int = 0) -> Dat
                  shiftleft(shiftright(xxhash64(_words[i], _words[i + 1], _words[i + 2]), _bits), _bits) + i)))"""
         ),
     )
-    place = "cast(_keys[{k}] & (shiftleft(1L, _bits) - 1L) as int)"
-    alike = "shiftright(_keys[{a}], _bits) = shiftright(_keys[{b}], _bits)"
+    # Most windows share their hash's bits with none; only those that do are looked at further.
+    a = a.withColumn(
+        "_near",
+        F.expr(
+            """filter(_keys, (x, k) -> (k > 0 AND shiftright(x, _bits) = shiftright(_keys[k - 1], _bits))
+                 OR (k < size(_keys) - 1 AND shiftright(x, _bits) = shiftright(_keys[k + 1], _bits)))"""
+        ),
+    )
+    place = "cast(_near[{k}] & (shiftleft(1L, _bits) - 1L) as int)"
+    alike = "shiftright(_near[{a}], _bits) = shiftright(_near[{b}], _bits)"
     words = " AND ".join(f"_words[{place.format(k='{a}')} + {i}] = _words[{place.format(k='{b}')} + {i}]" for i in range(3))
     before, after = {"a": "k", "b": "k - 1"}, {"a": "k", "b": "k + 1"}
-    clash = f"exists(sequence(1, size(_keys) - 1), k -> {alike.format(**before)} AND NOT ({words.format(**before)}))"
-    a = a.withColumn("_exact", F.expr(f"""if(size(_keys) > 1 AND {clash},
-        sort_array(transform(sequence(0, _n - 3), i -> struct(_words[i] AS a, _words[i + 1] AS b, _words[i + 2] AS c, i AS i))), null)"""))
+    clash = f"exists(sequence(1, size(_near) - 1), k -> {alike.format(**before)} AND NOT ({words.format(**before)}))"
+    windows = "transform(transform(_near, x -> cast(x & (shiftleft(1L, _bits) - 1L) as int)), i -> struct(_words[i] AS a, _words[i + 1] AS b, _words[i + 2] AS c, i AS i))"
+    a = a.withColumn("_exact", F.expr(f"if(size(_near) > 1 AND {clash}, sort_array({windows}), null)"))
     equal = "(_exact[{b}].a = x.a AND _exact[{b}].b = x.b AND _exact[{b}].c = x.c)"
-    same = f"({alike} AND {words})"
     at = """sort_array(transform(filter({of}, (x, k) -> (k > 0 AND {left}) OR (k < size({of}) - 1 AND {right})), x -> {position}))"""
-    hashed = at.format(of="_keys", left=same.format(**before), right=same.format(**after), position="x & (shiftleft(1L, _bits) - 1L)")
     sorted_ = at.format(of="_exact", left=equal.format(**before), right=equal.format(**after), position="cast(x.i AS bigint)")
-    a = a.withColumn("_at", F.expr(f"if(_exact IS NULL, {hashed}, {sorted_})"))
+    a = a.withColumn("_at", F.expr(f"if(_exact IS NULL, sort_array(transform(_near, x -> x & (shiftleft(1L, _bits) - 1L))), {sorted_})"))
     repeated = F.expr(
         """if(size(_at) = 0, 0L, aggregate(transform(_at, (x, k) -> if(k = size(_at) - 1, 3L, least(3L, _at[k + 1] - x))), 0L, (s, x) -> s + x))"""
     )
@@ -108,7 +114,7 @@ def measured(docs: DataFrame, text: str = "text", *, spare_bits: int = 0) -> Dat
     )
     a = a.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
     kept = ~F.col("base_failed") & (word_chars(F.col("kept_text")) * 100 >= F.col("word_chars") * MIN_KEPT_PERCENT)
-    return a.withColumn("kept", kept).drop("_text", "_words", "_n", "_lines", "_bits", "_keys", "_exact", "_at", "_nonblank", "_good")
+    return a.withColumn("kept", kept).drop("_text", "_words", "_n", "_lines", "_bits", "_keys", "_near", "_exact", "_at", "_nonblank", "_good")
 
 
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
