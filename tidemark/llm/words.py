@@ -10,11 +10,13 @@ import numpy as np
 
 def ascii_words(text: str) -> list[str]:
     """The words between ASCII white space, as SPACE_CLASS parts them: other spaces belong to words."""
-    return text.split() if text.isascii() and not _SEPARATORS.search(text) else [w.decode() for w in text.encode().split()]
+    other = _SEPARATORS if text.isascii() else _OTHER_SPACES
+    return [w.decode() for w in text.encode().split()] if other.search(text) else text.split()
 
 
-#: ASCII characters that str.split takes for white space and bytes.split doesn't.
+#: Characters that str.split takes for white space and bytes.split doesn't: those of ASCII, and all.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class _Numbers(dict):
