@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import compress, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -268,30 +270,18 @@ class Ragged:
         return self.flat[spans(self.start[numbers], self.length[numbers])].tobytes()
 
 
-def word_chunks(text: str) -> list[str] | None:
-    """text cut before every single space or newline that a word follows.
+def chunks(text: str) -> list[str]:
+    """text cut before every space and newline.
 
-    The split pattern never joins what such a cut parts, so each chunk can be
-    encoded alone. None if the text holds other white space: then the words
-    and one space or newline between each two don't add up to the text."""
-    words = text.split()
-    gaps = len(words) - 1
-    if sum(map(len, words)) + gaps != len(text) or text.count(" ") + text.count("\n") != gaps or "\0" in text:
-        return None
+    The split pattern never joins what such a cut parts if all chunks are words (is_word): each
+    can then be encoded alone."""
     return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
 
-class _Numbers(dict):
-    """Numbers chunks in the order of their first lookup, and lists the new ones."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        number = self[chunk] = len(self)
-        self.new.append(chunk)
-        return number
+def is_word(chunk: str) -> bool:
+    """Whether a chunk is a word without white space, but for one space or newline before it."""
+    words = chunk.split()
+    return len(words) == 1 and len(words[0]) == len(chunk) - (chunk[0] in " \n")
 
 
 class TextEncoder:
@@ -302,8 +292,9 @@ class TextEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.numbers = _Numbers()
-        self.start, self.count = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
+        self.numbers = defaultdict(count().__next__)  # of chunks, in the order of their first lookup
+        self.known = 0
+        self.start, self.count, self.plain = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, bool)
         self.flat, self.used = np.zeros(4096, np.int32), 0
 
     def _keep(self, numbers: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
@@ -314,27 +305,37 @@ class TextEncoder:
         self.count[numbers] = counts
         self.used = need
 
+    def _grow(self, size: int) -> None:
+        if (short := size - len(self.start)) > 0:
+            more = max(short, len(self.start))
+            self.start, self.count, self.plain = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.start, self.count, self.plain))
+
     def _learn(self) -> None:
         """Encodes the new chunks: single matches by merging, others from the ids of their matches."""
         numbers, findall = self.numbers, self.bpe.pattern.findall
         single, single_at, parts, parts_at, parts_n = [], [], [], [], []
-        at = 0
-        while at < len(numbers.new):  # matches of a chunk may be new themselves
-            chunk = numbers.new[at]
-            at += 1
-            found = (chunk,) if chunk[1:].isalpha() and chunk[0] == " " else findall(chunk)
-            if len(found) == 1:
-                single.append(chunk.encode())
-                single_at.append(numbers[chunk])
-            else:
-                parts += [numbers[x] for x in found]
-                parts_at.append(numbers[chunk])
-                parts_n.append(len(found))
-        numbers.new.clear()
-        if (short := len(numbers) - len(self.start)) > 0:
-            grown = np.zeros(max(short, len(self.start)), np.int32)
-            self.start, self.count = np.concatenate([self.start, grown]), np.concatenate([self.count, grown])
-        self._keep(np.array(single_at, dtype=np.int64), *self.bpe.encode_many(single))
+        while self.known < len(numbers):  # matches of a chunk may be new themselves
+            first = self.known
+            new = list(islice(reversed(numbers), len(numbers) - first))[::-1]
+            self.known += len(new)
+            alone = [c[1:].isalpha() and c[0] == " " for c in new]
+            single += compress(new, alone)
+            single_at += compress(range(first, self.known), alone)
+            plain = np.array(alone)
+            for at in np.flatnonzero(~plain).tolist():
+                found, plain[at] = findall(new[at]), is_word(new[at])
+                if not found:
+                    continue
+                if len(found) == 1:
+                    single.append(new[at])
+                    single_at.append(first + at)
+                else:
+                    parts += map(numbers.__getitem__, found)
+                    parts_at.append(first + at)
+                    parts_n.append(len(found))
+            self._grow(self.known)
+            self.plain[first : self.known] = plain
+        self._keep(np.array(single_at, dtype=np.int64), *self.bpe.encode_many([c.encode() for c in single]))
         if parts_at:
             own = np.array(parts, dtype=np.int64)
             lengths = np.add.reduceat(self.count[own], np.cumsum(parts_n) - parts_n)
@@ -344,13 +345,25 @@ class TextEncoder:
         """The ids of all texts one after another, and where each text's end."""
         if len(self.numbers) > self.most:
             self._reset()
-        number, rows = self.numbers.__getitem__, []
-        for t in texts:
-            chunks = (word_chunks(t) or self.bpe.pattern.findall(t)) if t else ()
-            rows.append(np.fromiter(map(number, chunks), dtype=np.int32, count=len(chunks)))
-        if self.numbers.new:
-            self._learn()
-        own = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+        number = self.numbers.__getitem__
+
+        def look_up(chunks: list[str]) -> np.ndarray:
+            return np.fromiter(map(number, chunks), dtype=np.int32, count=len(chunks))
+
+        def learnt() -> np.ndarray:
+            if self.known < len(self.numbers):
+                self._learn()
+            return np.concatenate(rows) if rows else np.zeros(0, np.int32)
+
+        cut = [bool(t) and "\0" not in t for t in texts]
+        rows = [look_up(chunks(t) if c else self.bpe.pattern.findall(t)) for t, c in zip(texts, cut, strict=True)]
+        own = learnt()
+        if not (plain := self.plain[own]).all():
+            # Texts with other chunks than words are cut by the pattern.
+            odd = np.unique(np.searchsorted(np.cumsum([len(r) for r in rows]), np.flatnonzero(~plain), side="right"))
+            for i in (i for i in odd.tolist() if cut[i]):
+                rows[i] = look_up(self.bpe.pattern.findall(texts[i]))
+            own = learnt()
         counts = self.count[own]
         ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[np.cumsum([len(r) for r in rows])] if rows else np.zeros(0, np.int64)
         return self.flat[spans(self.start[own], counts)], ends
