@@ -99,7 +99,7 @@ _SPACE: dict[str, np.ndarray] = {}
 
 
 def _space(name: str, rows: int, width: int, kind: np.dtype) -> np.ndarray:
-    """An array to be filled, kept for the next call: pages that are new each time cost a fifth of the training."""
+    """An array to be filled, kept for the next call: pages that are new each time took a sixth of the time of training."""
     have = _SPACE.get(name)
     if have is None or len(have) < rows or have.shape[1] != width or have.dtype != kind:
         have = _SPACE[name] = np.empty((max(rows, BATCH), width), kind)
