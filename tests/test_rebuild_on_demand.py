@@ -1,10 +1,15 @@
 """A table of the star schema costs what it is made of, and pairs of sales aren't stored."""
 
+import os
+import re
+
 from pyspark.sql import functions as F
 from test_snapshots import AT, index_row, observed
 from test_star import detail
 
 from tidemark.operators import star
+from tidemark.plans import registry
+from tidemark.sources import payloads, tables
 
 as_of = lambda: F.lit(AT).cast("timestamp")
 
@@ -14,6 +19,26 @@ def some(spark, n=12):
     return observed(spark, details, [index_row(i, deal_date=f"2024-01-{1 + i // 2:02}T00:00:00Z") for i in range(1, n)], AT)
 
 
+def test_a_table_is_made_with_those_that_it_needs_only(spark, tmp_path):
+    built = star.rebuild(some(spark), as_of(), folder=str(tmp_path))
+    assert not os.listdir(tmp_path)
+    built["fact_source_mix"].collect()
+    assert os.listdir(tmp_path) == ["latest_listing"]
+
+
+def test_queries_of_one_table_write_none(spark, monkeypatch):
+    monkeypatch.setattr(tables, "write_tables", lambda *a, **b: 1 / 0)
+    monkeypatch.setattr(star, "write_tables", lambda *a, **b: 1 / 0)
+    for name in ("source_mix", "offers", "outcomes", "pricing", "listings", "flags", "assets", "repeat_sales"):
+        assert registry.QUERIES[f"rebuild_{name}"](spark, "/root/testdata/sf0.001").columns
+
+
+def test_a_payload_is_parsed_once(spark):
+    raw = spark.createDataFrame([(detail(), AT)], "payload string, observed_at timestamp")
+    plan = payloads.detail_observations(raw)["offer"]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"evaluate\(payload#", plan)) == 1
+
+
 def test_pairs_of_sales_are_not_joined_again(spark):
     built = star.rebuild(some(spark), as_of())
     plan = star.repeat_sales(built["dim_asset"], built["v_pricing_frame"])._jdf.queryExecution().optimizedPlan().toString()

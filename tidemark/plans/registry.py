@@ -518,12 +518,11 @@ dim AS (SELECT coalesce(i.k, d.k) AS k, d.k % 500 AS asset, title, deal_date, CA
 
 
 def rebuilt(spark, sf) -> dict[str, DataFrame]:
-    """The star schema rebuilt from observations, written first, of JSON payloads made of orders and their lines."""
-    landed = tables.write_tables({"details": detail_payloads(spark, sf, deals=True), "pages": index_payloads(spark, sf)}, scratch(spark))
-    obs = payloads.detail_observations(landed["details"], folder=scratch(spark))
-    used = {name: obs[name] for name in ("listing", "offer", "quarter", "breakdown")}
-    used["index"] = payloads.index_observations(landed["pages"])
-    return star.rebuild(tables.write_tables(used, scratch(spark)), F.lit("2024-01-01").cast("timestamp"), folder=scratch(spark))
+    """The star schema rebuilt from observations of JSON payloads made of orders and their lines.
+
+    A query asks for one table, so nothing is written for others to read."""
+    obs = payloads.detail_observations(detail_payloads(spark, sf, deals=True))
+    return star.rebuild({**obs, "index": payloads.index_observations(index_payloads(spark, sf))}, F.lit("2024-01-01").cast("timestamp"))
 
 
 @query(f"""{REBUILT} SELECT coalesce(i.k, d.k) AS listing_id, d.d.a AS clearing_price, second_price, opening_price, coalesce(d.d.a > 0, false) AS sold,

@@ -77,6 +77,11 @@ def _texts(*names: str) -> str:
     return ", ".join(f"{n}: string" for n in names)
 
 
+def _once(value: Column) -> Column:
+    """The value, to be selected; a generator, so that conditions on it aren't pushed below it with a copy of it."""
+    return F.explode(F.array(value))
+
+
 def _array_text(text: Column) -> Column:
     """The JSON text of an array, its elements as they are; "[]" for anything else."""
     return F.when(F.trim(text).startswith("["), text).otherwise("[]")
@@ -154,8 +159,8 @@ def index_observations(pages: DataFrame, payload: str = "payload", observed_at:
 
     obs_id is a hash of the payload, the listing and the instant: loading what was observed
     once again gives the same ids, the same payload at another time is another observation."""
-    rows = pages.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.explode(_list(_object(F.col(payload))["results"])).alias("_r"))
-    rows, m = rows.withColumn("m", _object(F.col("_r"))), F.col("m")
+    rows = pages.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.explode(F.transform(_list(_object(F.col(payload))["results"]), _object)).alias("m"))
+    m = F.col("m")
     fields = [m[k].alias(k) for k in INDEX_TEXT] + [_flag(m[k]).alias(k) for k in INDEX_FLAG]
     fields += [f(m[k]).alias(k) for f, keys in ((to_number, INDEX_NUMBER), (to_integer, INDEX_INTEGER), (to_timestamp, INDEX_TIME)) for k in keys]
     known = [*INDEX_TEXT, *INDEX_FLAG, *INDEX_NUMBER, *INDEX_INTEGER, *INDEX_TIME, "listing_id", "tags"]
@@ -172,7 +177,7 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     key the last in the payload stays. With a folder the payloads' outer objects
     are parsed once into a table there that all of these read; without one each
     table parses the payloads for itself."""
-    base = payloads.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.col(payload).alias("payload"), _object(F.col(payload)).alias("m"))
+    base = payloads.select(F.col(observed_at).alias("observed_at"), F.sha2(F.col(payload).cast("binary"), 256).alias("content_sha256"), F.col(payload).alias("payload"), _once(_object(F.col(payload))).alias("m"))
     base = base.withColumn("listing_id", to_integer(F.col("m")["id"])).withColumn("obs_id", F.xxhash64("content_sha256", "listing_id", "observed_at"))
     base = _with_objects(base)
     if folder:
