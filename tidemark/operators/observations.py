@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unpacked(columns: list[str], keys: list[str], row: str = "_row") -> list[Column]:
+    """The columns of a struct that an aggregate by keys has made of rows; keys are the groups' own, so
+    that Spark knows how the rows lie and a join or an aggregate by them shuffles nothing again."""
+    return [F.col(x) if x in keys else F.col(row)[x].alias(x) for x in columns]
+
+
 def latest_observation(obs: DataFrame, entity: str, observed_at: str, tie: str) -> DataFrame:
     """The last observation of each entity, with n_obs, first_obs and last_obs.
 
@@ -15,7 +21,7 @@ def latest_observation(obs: DataFrame, entity: str, observed_at: str, tie: str)
     row = F.struct(*[obs[c] for c in obs.columns])
     best = F.max_by(row, F.struct(obs[observed_at], obs[tie]))
     found = obs.groupBy(entity).agg(best.alias("_row"), F.count("*").alias("n_obs"), F.min(observed_at).alias("first_obs"), F.max(observed_at).alias("last_obs"))
-    return found.select("_row.*", "n_obs", "first_obs", "last_obs")
+    return found.select(*unpacked(obs.columns, [entity]), "n_obs", "first_obs", "last_obs")
 
 
 def keep_last(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

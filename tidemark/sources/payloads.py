@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.coerce import to_day, to_integer, to_number, to_timestamp
 from tidemark.operators.chains import positions, ranked_chains
+from tidemark.operators.observations import unpacked
 from tidemark.sources.tables import write_tables
 
 #: Version of these rules, stamped on every observation.
@@ -201,8 +202,9 @@ def detail_observations(payloads: DataFrame, payload: str = "payload", observed_
     falsy = (kind != "STRING") & ((to_number(track) == 0) | track.isin("false", "[]", "{}"))
 
     def last(df: DataFrame, *keys: str) -> DataFrame:
-        row = F.struct(*[df[c] for c in df.columns if c != "seq"])
-        return df.groupBy("obs_id", *keys).agg(F.max_by(row, "seq").alias("_row")).select("_row.*")
+        names = [c for c in df.columns if c != "seq"]
+        made = df.groupBy("obs_id", *keys).agg(F.max_by(F.struct(*names), "seq").alias("_row"))
+        return made.select(*unpacked(names, ["obs_id", *keys]))
 
     e = F.col("e")
     integers, instants, others = ["buyer_id", "bidder_index", "countered_offer_id", "counteroffer_id"], ["created_at", "expiration"], ["multiple_source", "kind", "state", "term"]

@@ -27,6 +27,11 @@ def touched(batch: DataFrame, within: str) -> Column:
 
     Only such a condition prunes partitions whatever the plan: a semi-join with
     the batch does so by chance, an anti-join never."""
+    return _touched(batch, within)[0]
+
+
+def _touched(batch: DataFrame, within: str) -> tuple[Column, list | None]:
+    """The condition, and the values if they are few and none of them is null."""
     values = batch.select(within).distinct()
     few = values.limit(MOST_PARTITIONS + 2).agg(F.array_agg(within).alias("v"), F.bool_or(F.col(within).isNull()).alias("none")).first()
     if len(few.v) > MOST_PARTITIONS:
@@ -34,7 +39,7 @@ def touched(batch: DataFrame, within: str) -> Column:
         inside, none = F.col(within).between(ends[0], ends[1]), ends[2]
     else:
         inside, none = F.col(within).isin(few.v) if few.v else F.lit(False), few.none
-    return inside | F.col(within).isNull() if none else inside
+    return (inside | F.col(within).isNull(), None) if none else (inside, few.v if len(few.v) <= MOST_PARTITIONS else None)
 
 
 def existing(spark: SparkSession, table: str, columns: Iterable[str], where: Column | None = None) -> DataFrame | None:
@@ -71,17 +76,22 @@ def append_observations(tables: dict[str, DataFrame], folder: str, observed_at:
     """Appends the tables of index_observations ("index") and detail_observations, each by its own keys.
 
     All are partitioned by the day that their observation was made on, which
-    children take from their listing; the batch's days are found once for all
+    children take from their listing (in a batch of one day they have that); the batch's days are found once for all
     tables. Loading the same payloads again adds nothing."""
     dated = {name: tables[name].withColumn(DAY, F.to_date(observed_at)) for name in KEYS if name in tables and observed_at in tables[name].columns}
     days = None
     for rows in dated.values():
         days = rows.select(DAY) if days is None else days.unionByName(rows.select(DAY))
-    where = touched(days, DAY) if days is not None else None
+    where, values = _touched(days, DAY) if days is not None else (None, None)
     parents = dated["listing"].select("obs_id", DAY) if "listing" in dated else None
     for name, keys in KEYS.items():
         if name in tables:
-            rows = dated[name] if name in dated else tables[name].join(parents, "obs_id")
+            if name in dated:
+                rows = dated[name]
+            elif parents is not None and values and len(values) == 1:  # no join finds another day
+                rows = tables[name].withColumn(DAY, F.lit(values[0]))
+            else:
+                rows = tables[name].join(parents, "obs_id")
             append_new(rows, f"{folder}/{name}", keys, within=DAY, where=where)
 
 
