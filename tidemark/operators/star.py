@@ -242,6 +242,12 @@ OBSERVED = {
     ).split(),
 }
 
+#: What is read of them beside dim_listing.
+FACTS = {
+    "listing": "obs_id listing_id observed_at asset_id deal_amount deal_offer_id deal_buyer_id offers_received_count unique_bidder_count".split(),
+    "index": "obs_id listing_id observed_at deal_amount".split(),
+}
+
 
 def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bool = False, folder: str | None = None, keep: Callable[[str, DataFrame], DataFrame] | None = None) -> Tables:
     """All analytic tables and views from obs_index and the tables of detail_observations.
@@ -254,21 +260,23 @@ def rebuild(observations: dict[str, DataFrame], as_of: Column, *, all_access: bo
     write = lambda name, df: write_tables({name: df}, folder)[name] if folder else df
     kept = lambda name, df: (keep or write)(name, df)
     stored = bool(folder or keep)
-    seen = lambda name: observations[name].select(*OBSERVED[name])
+    of = lambda name, columns: latest_observation(observations[name].select(*columns[name]), "listing_id", "observed_at", "obs_id")
     latest = Tables({
-        "listing": lambda: write("latest_listing", latest_observation(seen("listing"), "listing_id", "observed_at", "obs_id")),
-        "index": lambda: write("latest_index", latest_observation(seen("index"), "listing_id", "observed_at", "obs_id")),
+        "listing": lambda: write("latest_listing", of("listing", OBSERVED)),
+        "index": lambda: write("latest_index", of("index", OBSERVED)),
+        "det": lambda: latest["listing"] if folder else of("listing", FACTS),
+        "idx": lambda: latest["index"] if folder else of("index", FACTS),
         # Where nothing is stored, an outcome is made anew for each that reads it, and then without what it doesn't read.
-        "sales": lambda: t["fact_outcome"] if stored else sales(t["dim_listing"], latest["listing"], latest["index"], all_access=all_access),
-        "panel": lambda: t["fact_earnings_panel"] if stored else latest["listing"].join(observations["quarter"].select("obs_id"), "obs_id", "left_semi"),
+        "sales": lambda: t["fact_outcome"] if stored else sales(t["dim_listing"], latest["det"], latest["idx"], all_access=all_access),
+        "panel": lambda: t["fact_earnings_panel"] if stored else latest["det"].join(observations["quarter"].select("obs_id"), "obs_id", "left_semi"),
         "frame": lambda: t["v_pricing_frame"] if stored else t["dim_listing"].join(latest["sales"], "listing_id", "left"),
     })
     t = Tables({
         "dim_listing": lambda: kept("dim_listing", dim_listing(latest["index"], latest["listing"], as_of)),
-        "fact_offer": lambda: kept("fact_offer", fact_offer(latest["listing"], observations["offer"])),
-        "fact_outcome": lambda: kept("fact_outcome", fact_outcome(t["dim_listing"], latest["listing"], latest["index"], t["fact_offer"], all_access=all_access)),
-        "fact_earnings_panel": lambda: kept("fact_earnings_panel", fact_earnings_panel(latest["listing"], observations["quarter"], t["dim_listing"])),
-        "fact_source_mix": lambda: (keep or (lambda _, df: df))("fact_source_mix", fact_source_mix(latest["listing"], observations["breakdown"])),
+        "fact_offer": lambda: kept("fact_offer", fact_offer(latest["det"], observations["offer"])),
+        "fact_outcome": lambda: kept("fact_outcome", fact_outcome(t["dim_listing"], latest["det"], latest["idx"], t["fact_offer"], all_access=all_access)),
+        "fact_earnings_panel": lambda: kept("fact_earnings_panel", fact_earnings_panel(latest["det"], observations["quarter"], t["dim_listing"])),
+        "fact_source_mix": lambda: (keep or (lambda _, df: df))("fact_source_mix", fact_source_mix(latest["det"], observations["breakdown"])),
         "dim_asset": lambda: kept("dim_asset", dim_asset(t["dim_listing"], latest["sales"])),
         "data_quality_flag": lambda: kept("data_quality_flag", quality_flags(t["dim_listing"], latest["sales"], latest["panel"], as_of)),
         "v_pricing_frame": lambda: kept("v_pricing_frame", pricing_frame(t["dim_listing"], t["fact_outcome"])),
